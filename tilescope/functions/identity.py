@@ -18,16 +18,10 @@ def point_id(tile_id: Column, namespace: str = POINT_NAMESPACE) -> Column:
     """Name-based (version 5) UUID of a tile id; a random one where the id is missing or empty."""
     space = F.unhex(F.lit(namespace.replace("-", "")))
     digest = F.sha1(F.concat(space, F.encode(tile_id, "UTF-8")))
-    nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
-    variant = F.lower(F.hex(nibble.bitwiseAND(3).bitwiseOR(8)))
-    named = F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
-    )
+    # Version 5 replaces the 13th digit; the 17th keeps its low two bits under binary 10.
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+    layout = r"^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$"
+    named = F.regexp_replace(digest, F.lit(layout), F.concat(F.lit("$1-$2-5$3-"), variant, F.lit("$4-$5")))
     return F.when(tile_id.isNull() | (tile_id == ""), F.uuid()).otherwise(named)
 
 

@@ -22,6 +22,10 @@ from tilescope.config import ZERO_NORM
 # A model matrix travels inside the task closure, so its size is checked.
 MAX_MODEL_VALUES = 4_000_000
 
+# Matrix products may differ in the last bit with a row's place in its batch.
+# Rounding there lets copies of a vector tie, so tie rules decide between them.
+SCORE_DIGITS = 12
+
 
 def as_double(vec: Column) -> Column:
     return vec.cast("array<double>")
@@ -87,7 +91,7 @@ def cosine_to(vec: Column, model: Sequence[Sequence[float]]) -> Column:
         rows = batch_matrix(batch, matrix.shape[1])
         scale = np.linalg.norm(rows, axis=1)[:, None] * lengths[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            cos = np.where(scale <= ZERO_NORM, 0.0, rows @ matrix.T / scale)
+            cos = np.round(np.where(scale <= ZERO_NORM, 0.0, rows @ matrix.T / scale), SCORE_DIGITS)
         offsets = np.arange(0, cos.size + 1, matrix.shape[0], dtype="int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cos.ravel()))
 
@@ -104,7 +108,7 @@ def cosine_to_one(vec: Column, query: Sequence[float]) -> Column:
         rows = batch_matrix(batch, len(matrix))
         scale = np.linalg.norm(rows, axis=1) * length
         with np.errstate(divide="ignore", invalid="ignore"):
-            cos = np.where(scale <= ZERO_NORM, 0.0, rows @ matrix / scale)
+            cos = np.round(np.where(scale <= ZERO_NORM, 0.0, rows @ matrix / scale), SCORE_DIGITS)
         return pa.array(cos, from_pandas=True)
 
     return score(vec)

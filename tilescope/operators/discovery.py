@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tilescope.functions import vectors
 from tilescope.functions.ranking import top_per_key
+from tilescope.session import checkpointed
 
 Model = list[list[float]]
 
@@ -176,11 +179,19 @@ def k_sweep(tiles: DataFrame, starts: Model, themes: Sequence[tuple[str, Sequenc
 def kmeans_insights(tiles: DataFrame, n_clusters: int = 3, n_init: int = 5, seed: int = 42, vector: str = "embedding") -> DataFrame:
     """Best of several MLlib k-means runs, by training cost."""
     data = tiles.withColumn("features", array_to_vector(vectors.as_double(F.col(vector))))
-    fits = [
-        KMeans(k=n_clusters, seed=seed + i, maxIter=50, featuresCol="features", predictionCol="cluster").fit(data)
-        for i in range(n_init)
-    ]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
+    spark = tiles.sparkSession
+    shared = data.select("features").persist(StorageLevel.MEMORY_AND_DISK)  # read by every run
+    try:
+        def fit(i: int):
+            means = KMeans(k=n_clusters, seed=seed + i, maxIter=50, featuresCol="features", predictionCol="cluster")
+            return means.fit(shared)
+
+        # The runs are independent jobs, so they share the cluster.
+        with ThreadPoolExecutor(n_init) as pool:
+            fits = list(pool.map(inheritable_thread_target(spark)(fit), range(n_init)))
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+    finally:
+        shared.unpersist()
     return best.transform(data).drop("features")
 
 
@@ -233,7 +244,8 @@ def discovery_report(
     max_iter: int = 50,
 ) -> dict[str, DataFrame] | None:
     """Points, cluster summaries and separation; None when fewer than three tiles remain."""
-    tiles = aoi_tiles(points, prefix)
+    # Every k-means round reads the tiles, so removing repeats is done once.
+    tiles = checkpointed(aoi_tiles(points, prefix))
     n = tiles.count()
     if n < 3:
         return None

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +21,7 @@ from tilescope.functions import vectors
 from tilescope.functions.ranking import exact_quantile, top_per_key
 from tilescope.operators import discovery
 from tilescope.operators.change import confidence_fallback
+from tilescope.session import checkpointed
 
 # ---------------------------------------------------------------------------
 # Random forest
@@ -64,7 +65,12 @@ def rf_train(
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol=label, featuresCol="features", weightCol="weight"
     )
-    return Pipeline(stages=[assembler, forest]).fit(balanced_weights(rows, label))
+    # Training makes several passes over these few columns.
+    weighted = balanced_weights(rows.select(*features, label), label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[assembler, forest]).fit(weighted)
+    finally:
+        weighted.unpersist()
 
 
 def rf_score(rows: DataFrame, model: PipelineModel | None, calibration: float = config.DRIFT_THRESHOLD) -> DataFrame:
@@ -182,22 +188,27 @@ NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int,
 
 
 def isolation_trees(
-    tiles: DataFrame, key: str, trees: int = 100, sample: int = 256, seed: int = 42, vector: str = "embedding"
+    tiles: DataFrame,
+    key: str,
+    n_rows: int,
+    trees: int = 100,
+    sample: int = 256,
+    seed: int = 42,
+    vector: str = "embedding",
 ) -> DataFrame:
     """Grow the forest: one small sample per tree, one task-sized group per tree.
 
     A pool of at most trees * sample rows is drawn by key hash; each tree then
     takes `sample` rows of the pool by a hash of its own. Pool and samples are
-    bounded by the forest's size, whatever the table's.
+    bounded by the forest's size, whatever the table's: a hash threshold thins
+    the scan to little more than the pool before anything is ordered.
     """
     pool_size = trees * sample
-    pool = (
-        tiles.select(key, vector)
-        .withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-        .orderBy("__h", key)
-        .limit(pool_size)
-        .drop("__h")
-    )
+    share = min(1.0, (1.2 * pool_size + 1000) / max(n_rows, 1))
+    hashed = tiles.select(key, vector).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    if share < 1.0:
+        hashed = hashed.filter(F.pmod(F.col("__h"), F.lit(2**20)) < F.lit(int(share * 2**20) + 1))
+    pool = checkpointed(hashed.orderBy("__h", key).limit(pool_size).drop("__h"))
     numbered = pool.select(key).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     drawn = top_per_key(
         numbered.withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))),
@@ -258,15 +269,16 @@ def isolation_forest(
     seed: int = 42,
     vector: str = "embedding",
 ) -> DataFrame:
-    """Score every row and flag the most anomalous share.
+    """Score every row and flag the most anomalous share; the vector is left out of the result.
 
-    The forest (a bounded table) is collected and broadcast. The cut is the exact
-    linear percentile of all scores, found by bracketing rather than sorting.
+    The forest (a bounded table) is collected and broadcast. Scores are written
+    once, because the cut - the exact linear percentile of all scores, found by
+    bracketing rather than sorting - reads them twice more.
     """
     n = tiles.count()
     sample = min(sample, n)
-    forest = isolation_trees(tiles, key, trees, sample, seed, vector).toPandas()
-    scored = isolation_score(tiles, forest, sample, vector)
+    forest = isolation_trees(tiles, key, n, trees, sample, seed, vector).toPandas()
+    scored = checkpointed(isolation_score(tiles, forest, sample, vector).drop(vector))
     cut = exact_quantile(
         scored.select("anomaly_score"), [], "anomaly_score", lambda m: (m - 1) * (1 - contamination), "cut"
     )
@@ -278,8 +290,7 @@ def ml_insights_report(tiles: DataFrame, key: str = "tile_id", n_clusters: int =
     if tiles.limit(n_clusters).count() < n_clusters:
         return None
     grouped = discovery.kmeans_insights(tiles, n_clusters)
-    judged = isolation_forest(grouped, key)
-    listed = judged.drop("embedding")
+    listed = isolation_forest(grouped, key)
     return {
         "clusters": listed,
         "distribution": discovery.cluster_distribution(listed, n_clusters),

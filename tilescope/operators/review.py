@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.functions.ranking import top_per_key, with_global_rank
+from tilescope.session import checkpointed
 
 STATUSES = ("PENDING", "CONFIRMED", "REJECTED", "FLAGGED")  # fixed values: queue states
 BBOX_SCHEMA = "type string, crs string, bounds array<double>"
@@ -18,7 +19,8 @@ def review_append(queue: DataFrame, rows: DataFrame, order: list[str], now: Colu
     uniqueness rule.
     """
     start = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start")).scalar()
-    numbered = with_global_rank(rows, order, "__rank")
+    # Numbering reads the rows more than once and must see the same rows each time.
+    numbered = with_global_rank(checkpointed(rows), order, "__rank")
     added = (
         numbered.withColumn("id", start + F.col("__rank"))
         .withColumn("created_at", now)

@@ -8,6 +8,7 @@ from tilescope import config
 from tilescope.functions.ranking import exact_quantile
 from tilescope.operators import change, discovery, learning
 from tilescope.plans.registry import DATES, Data, query, r6
+from tilescope.session import checkpointed
 
 STARTS = [0, 1, 2, 3]
 ROUNDS = 4
@@ -213,15 +214,16 @@ def ml_insights_report(d: Data):
 
 
 def training_pairs(d: Data):
-    """Tile pairs with the classifier's features; a pair counts as real when its cell keeps its label."""
+    """Tile pairs with the classifier's features; a clear pair with drift over 1 counts as real."""
     carry = ["embedding", "cloud", "date", "label"]
     pairs = change.scene_interval_pairs(change.dated_cells(d.points, DATES), carry)
     scored = change.change_pair_score(pairs, max_ratio=1.0)
-    return scored.select(
+    pairs = scored.select(
         F.concat("t1_tile_id", F.lit("__"), "t2_tile_id").alias("pair_id"),
         *config.CHANGE_FEATURES,
         ((F.col("drift") > 1.0) & (F.greatest("cloud_t1", "cloud_t2") <= 0.15)).cast("int").alias("label"),
     )
+    return checkpointed(pairs)  # narrow rows, read by every training pass
 
 
 @query("rf_train")

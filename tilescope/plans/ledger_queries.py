@@ -190,14 +190,15 @@ def bbox_from_json(d: Data):
     )
 
 
+SCORE_TEXT = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE concat(CAST(event_id % 4 - 1 AS STRING), '.', CAST(event_id % 7 AS STRING)) END AS score FROM {events}"
+
+
 @query(
     "clamp_confidence",
-    """
-SELECT event_id, greatest(0, least(1, coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN CAST(event_type AS STRING) ELSE CAST(round(value / 100 - 1, 2) AS STRING) END AS DOUBLE), 0))) AS confidence FROM events""",
+    f"SELECT event_id, greatest(0, least(1, coalesce(try_cast(score AS DOUBLE), 0))) AS confidence FROM ({SCORE_TEXT.format(events='events')})",
 )
 def clamp_confidence(d: Data):
-    text = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.round(F.col("value") / 100 - 1, 2).cast("string"))
-    return d.table("events").select("event_id", identity.clamp_confidence(text).alias("confidence"))
+    return d.sql(SCORE_TEXT, "events").select("event_id", identity.clamp_confidence(F.col("score")).alias("confidence"))
 
 
 @query(
@@ -355,8 +356,8 @@ def hotspot_payload_join(d: Data):
 ), top AS (
   SELECT * FROM pair_ledger WHERE primary_tag <> 'unassigned' OR anomaly_score > 0 ORDER BY anomaly_score DESC, created_at DESC, id LIMIT 100
 )
-SELECT l.id, round(coalesce(p.lat, 19.28 - (CAST(regexp_extract(l.id, '_r(\d+)_c(\d+)', 1) AS INT) + 128) / 1024 * 0.43), 6) AS lat,
-  round(coalesce(p.lng, 72.72 + (CAST(regexp_extract(l.id, '_r(\d+)_c(\d+)', 2) AS INT) + 128) / 1024 * 0.33), 6) AS lng,
+SELECT l.id, round(coalesce(p.lat, 19.28 - (CAST(regexp_extract(l.id, '_r(\d+)_c(\d+)', 1) AS INT) + 128) / 1024 * 0.43), 5) AS lat,
+  round(coalesce(p.lng, 72.72 + (CAST(regexp_extract(l.id, '_r(\d+)_c(\d+)', 2) AS INT) + 128) / 1024 * 0.33), 5) AS lng,
   coalesce(nullif(primary_tag, ''), 'unassigned') AS classification, round(greatest(0, least(1, anomaly_score)), 6) AS confidence,
   coalesce(nullif(l.sensor, ''), nullif(p.sensor, ''), 'Sentinel-2') AS sensor,
   coalesce(nullif(l.date, ''), nullif(p.date, ''), '') AS date,
@@ -369,8 +370,8 @@ def hotspot_list(d: Data):
     listed = hotspots.hotspot_list(d.view("pair_ledger"), payload(d), EXTENT)
     return listed.select(
         "id",
-        r6("lat"),
-        r6("lng"),
+        F.round("lat", 5).alias("lat"),
+        F.round("lng", 5).alias("lng"),
         "classification",
         r6("confidence"),
         "sensor",

@@ -24,16 +24,18 @@ class Data:
     spark: SparkSession
     root: str
 
+    def __post_init__(self) -> None:
+        self._open: dict[str, DataFrame] = {}
+
     def table(self, name: str) -> DataFrame:
-        return tables.table(self.spark, self.root, name)
+        return self.view(name)
 
     def view(self, name: str) -> DataFrame:
-        return tables.view(self.spark, self.root, name)
+        return tables.view(self.spark, self.root, name, self._open)
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """SQL over views or tables, named `{like_this}`."""
-        known = {n: self.view(n) if n in tables.VIEWS else self.table(n) for n in names}
-        return self.spark.sql(text, **known)
+        return self.spark.sql(text, **{n: self.view(n) for n in names})
 
     @cached_property
     def tiles(self) -> DataFrame:
@@ -49,11 +51,11 @@ class Data:
 
     @cached_property
     def scenes(self) -> DataFrame:
-        return tables.scenes(self.spark, self.root)
+        return tables.with_affine(self.view("scenes"))
 
     @cached_property
     def tile_points(self) -> DataFrame:
-        return tables.tile_points(self.spark, self.root)
+        return tables.with_bounds(self.view("tile_points"))
 
     def vectors(self, ids: list[int]) -> list[list[float]]:
         """Stored vectors by id, in the order asked for: a handful of model vectors."""

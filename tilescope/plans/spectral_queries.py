@@ -71,11 +71,11 @@ WITH diff AS (
 @query(
     "pixel_diff",
     DIFF_SQL
-    + "SELECT tile_row, tile_col, round(mean_diff, 6) AS mean_diff, round(max_diff, 6) AS max_diff, round(p98, 6) AS p98 FROM per_tile",
+    + "SELECT tile_row, tile_col, round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff, round(p98, 6) AS p98 FROM per_tile",
     ("raster",),
 )
 def pixel_diff(d: Data):
-    return spectral.difference_summary(raster_diff(d), TILE).select(*TILE, r6("mean_diff"), r6("max_diff"), r6("p98"))
+    return spectral.difference_summary(raster_diff(d), TILE).select(*TILE, F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), r6("p98"))
 
 
 @query(
@@ -184,7 +184,7 @@ WITH px AS (
     + NARRATIVE_SQL
     + """
 SELECT told.tile, 'multispectral' AS mode, round(v, 4) AS ndvi_change, round(b, 4) AS ndbi_change, round(w, 4) AS ndwi_change,
-  round(mean_diff, 6) AS mean_diff, round(max_diff, 6) AS max_diff, vegetation, infrastructure, water, atmosphere
+  round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff, vegetation, infrastructure, water, atmosphere
 FROM told JOIN diff USING (tile)""",
     ("raster",),
 )
@@ -199,7 +199,7 @@ def spectral_report(d: Data):
     report = spectral.spectral_report(pixels, diff, ["tile"])
     changes = [F.round(f"{n}_change", 4).alias(f"{n}_change") for n in ("ndvi", "ndbi", "ndwi")]
     return report.select(
-        "tile", "mode", *changes, r6("mean_diff"), r6("max_diff"), "vegetation", "infrastructure", "water", "atmosphere"
+        "tile", "mode", *changes, F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), "vegetation", "infrastructure", "water", "atmosphere"
     )
 
 
@@ -219,7 +219,7 @@ WITH px AS (
     max((abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3) AS max_diff
   FROM px a JOIN px b ON a.y = b.y AND a.x = b.x AND a.scene_id = 0 AND b.scene_id = 1 GROUP BY ALL
 )
-SELECT tile_row, tile_col, 'rgb_visual_only' AS mode, round(mean_diff, 6) AS mean_diff, round(max_diff, 6) AS max_diff,
+SELECT tile_row, tile_col, 'rgb_visual_only' AS mode, round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff,
   printf('Cloud/shadow change: %.1f%% → %.1f%%', round(c1 * 100, 1), round(c2 * 100, 1)) AS atmosphere,
   printf('Overall visual dissimilarity: %.3f (OpenCLIP embedding distance)', mean_diff / 255) AS visual_dissimilarity
 FROM diff JOIN cloud USING (tile_row, tile_col)""",
@@ -235,4 +235,4 @@ def visual_report(d: Data):
     # No network here, so the share of full scale stands in for embedding drift.
     drift = spectral.difference_summary(diff, TILE).select(*TILE, (F.col("mean_diff") / 255).alias("drift"))
     report = spectral.visual_report(diff, cloud, drift, TILE)
-    return report.select(*TILE, "mode", r6("mean_diff"), r6("max_diff"), "atmosphere", "visual_dissimilarity")
+    return report.select(*TILE, "mode", F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), "atmosphere", "visual_dissimilarity")
