@@ -36,7 +36,7 @@ def test_utm_sample_and_round_trip(spark):
     x, y = spark.range(1).select(there[0].alias("x"), there[1].alias("y")).first()
     assert abs(x - 275400) < 1e-3 and abs(y - 2111870) < 1e-3
     south = geodesy.utm_to_degrees(F.lit(500000.0), F.lit(10000000.0), F.lit(32731))
-    lat, lng = spark.range(1).select(*south).first()
+    lat, lng = spark.range(1).select(south.alias("s")).select("s.*").first()
     assert abs(lat) < 1e-9 and abs(lng - 3) < 1e-9
 
 

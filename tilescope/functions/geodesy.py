@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,20 @@ def bbox_center(bounds: Column) -> tuple[Column, Column]:
     return (bounds[0] + bounds[2]) / 2.0, (bounds[1] + bounds[3]) / 2.0
 
 
-def utm_to_degrees(easting: Column, northing: Column, epsg: Column) -> tuple[Column, Column]:
-    """(lat, lng) by the inverse transverse Mercator series in the third flattening.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it in `body` by name.
 
-    The zone comes from EPSG 326xx / 327xx. This form of the series uses each
-    intermediate value only a few times, so the expression stays small even when
-    the optimizer copies it into filters and join keys.
+    Plain expressions are copied wherever they are used: nested series would
+    outgrow what Spark can compile, above all once the optimizer copies them into
+    filters and join keys.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def utm_to_degrees(easting: Column, northing: Column, epsg: Column) -> Column:
+    """struct(lat, lng) by the inverse transverse Mercator series in the third flattening.
+
+    The zone comes from EPSG 326xx / 327xx.
     """
     n = WGS84_F / (2 - WGS84_F)
     radius = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -71,16 +80,28 @@ def utm_to_degrees(easting: Column, northing: Column, epsg: Column) -> tuple[Col
     south = F.floor(epsg / 100) == 327
     xi = (northing - F.when(south, F.lit(UTM_FALSE_NORTHING_SOUTH)).otherwise(F.lit(0.0))) / (UTM_SCALE * radius)
     eta = (easting - UTM_FALSE_EASTING) / (UTM_SCALE * radius)
-    xi1, eta1 = xi, eta
-    for k, b in enumerate(beta, 1):
-        xi1 = xi1 - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-        eta1 = eta1 - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for k, c in enumerate(delta, 1):
-        lat = lat + c * F.sin(2 * k * chi)
+
+    def straighten(p: Column) -> Column:
+        x, y = p["xi"], p["eta"]
+        for k, b in enumerate(beta, 1):
+            x = x - b * F.sin(2 * k * p["xi"]) * F.cosh(2 * k * p["eta"])
+            y = y - b * F.cos(2 * k * p["xi"]) * F.sinh(2 * k * p["eta"])
+        return F.struct(x.alias("xi"), y.alias("eta"))
+
+    def to_sphere(p: Column) -> Column:
+        chi = F.asin(F.sin(p["xi"]) / F.cosh(p["eta"]))
+        turn = F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))
+        return F.struct(chi.alias("chi"), turn.alias("turn"))
+
+    def to_ellipsoid(p: Column) -> Column:
+        lat = p["chi"]
+        for k, c in enumerate(delta, 1):
+            lat = lat + c * F.sin(2 * k * p["chi"])
+        return F.struct(F.degrees(lat).alias("lat"), (meridian + F.degrees(p["turn"])).alias("lng"))
+
     meridian = (epsg % 100) * 6 - 183
-    return F.degrees(lat), meridian + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
+    grid = F.struct(xi.alias("xi"), eta.alias("eta"))
+    return _let(_let(_let(grid, straighten), to_sphere), to_ellipsoid)
 
 
 def degrees_to_utm(lat: Column, lng: Column, epsg: Column) -> tuple[Column, Column]:
@@ -116,7 +137,7 @@ def add_center_wgs84(
     x, y = bbox_center(F.col(bounds))
     code = F.upper(F.trim(F.col(crs)))
     epsg = F.regexp_extract(code, r"^EPSG:(32[67]\d\d)$", 1).try_cast("int")
-    lat_p, lng_p = utm_to_degrees(x, y, epsg)
+    out = df.withColumn("__spot", utm_to_degrees(x, y, epsg))
     planar = F.col(crs).isNull() | (code == "") | (code == "EPSG:4326")
     missing = F.col(bounds).isNull() | (F.size(bounds) != 4)
     unknown = F.raise_error(F.concat(F.lit("no projection for "), F.col(crs))).cast("double")
@@ -126,7 +147,8 @@ def add_center_wgs84(
             F.when(missing, F.lit(0.0)).when(planar, plain).when(epsg.isNotNull(), projected).otherwise(unknown)
         )
 
-    return df.withColumns({lat: pick(lat_p, y), lng: pick(lng_p, x)})
+    spot = F.col("__spot")
+    return out.withColumns({lat: pick(spot["lat"], y), lng: pick(spot["lng"], x)}).drop("__spot")
 
 
 def grid_geolocate(tile_id: Column, extent: SceneExtent) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilescope.session import checkpointed
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first k rows of every key.
@@ -63,6 +65,21 @@ def with_global_rank(df: DataFrame, order: Sequence[str], rank: str, buckets: in
     )
 
 
+MAX_BROADCAST_ROWS = 200_000
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a per-key table that is usually small without shuffling the big side.
+
+    The small side is written and counted first. Within the limit it is
+    broadcast; beyond it the join is left to the optimizer, which splits skewed
+    partitions.
+    """
+    kept = checkpointed(small)
+    side = F.broadcast(kept) if kept.count() <= MAX_BROADCAST_ROWS else kept
+    return big.join(side, list(keys))
+
+
 def exact_quantile(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,7 +113,7 @@ def exact_quantile(
         .drop("__marks", "__from", "__to")
     )
     if keys:
-        placed = values.join(summary, keys)
+        placed = join_small(values, summary, keys)
     else:
         one = summary.select(F.struct("__n", "__pos", "__lo", "__hi"))
         placed = values.withColumn("__s", one.scalar()).select("__v", "__s.*")

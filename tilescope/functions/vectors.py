@@ -40,10 +40,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(a), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 when either vector has no length."""
+def cosine(a: Column, b: Column, product: Column | None = None) -> Column:
+    """Cosine similarity; 0 when either vector has no length. `product` is their dot, if already computed."""
     length = norm(a) * norm(b)
-    return F.when(length <= ZERO_NORM, F.lit(0.0)).otherwise(dot(a, b) / length)
+    product = dot(a, b) if product is None else product
+    return F.when(length <= ZERO_NORM, F.lit(0.0)).otherwise(product / length)
 
 
 def unit(a: Column) -> Column:

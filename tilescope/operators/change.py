@@ -57,9 +57,10 @@ def change_pair_score(pairs: DataFrame, calibration: float = config.DRIFT_THRESH
     scored = (
         pairs.withColumn("reason", reason)
         .withColumn("suppressed", F.col("reason").isNotNull())
-        .withColumn("cos", vectors.cosine(F.col("embedding_t1"), F.col("embedding_t2")))
-        .withColumn("raw_drift", vectors.raw_drift(F.col("embedding_t1"), F.col("embedding_t2")))
-        .drop("embedding_t1", "embedding_t2")
+        .withColumn("dot", vectors.dot(F.col("embedding_t1"), F.col("embedding_t2")))
+        .withColumn("cos", vectors.cosine(F.col("embedding_t1"), F.col("embedding_t2"), F.col("dot")))
+        .withColumn("raw_drift", vectors.drift(F.col("dot")))
+        .drop("embedding_t1", "embedding_t2", "dot")
     )
     return (
         scored.withColumn("similarity", F.when(F.col("suppressed"), F.lit(1.0)).otherwise(F.col("cos")))

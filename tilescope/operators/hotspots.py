@@ -16,7 +16,9 @@ from tilescope.session import checkpointed
 def hotspot_payload_join(ledger: DataFrame, payload: DataFrame) -> DataFrame:
     """Ledger rows with the payload of the first half of their id that exists."""
     halves = ledger.select("id", F.posexplode(identity.id_halves(F.col("id"))).alias("part", "tile_id"))
-    stored = top_per_key(payload, ["tile_id"], [F.col("point_id")])
+    # Only payloads that some ledger row asks for are ranked.
+    asked = payload.join(halves.select("tile_id").distinct(), "tile_id", "left_semi")
+    stored = top_per_key(asked, ["tile_id"], [F.col("point_id")])
     found = top_per_key(halves.join(stored, "tile_id"), ["id"], [F.col("part")])
     renamed = found.select("id", "part", *[F.col(c).alias(f"p_{c}") for c in payload.columns])
     return ledger.join(renamed, "id", "left")

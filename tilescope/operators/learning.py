@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tilescope import config
 from tilescope.functions import vectors
-from tilescope.functions.ranking import exact_quantile, top_per_key
+from tilescope.functions.ranking import exact_quantile, join_small, top_per_key
 from tilescope.operators import discovery
 from tilescope.operators.change import confidence_fallback
 from tilescope.session import checkpointed
@@ -37,7 +37,7 @@ def stratified_split(rows: DataFrame, key: str, label: str = "label", test_share
     hashed = rows.withColumn("__h", F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)).cast("double"))
     cut = exact_quantile(hashed, [label], "__h", lambda n: F.greatest(F.floor(n * test_share) - 1, F.lit(0)), "__cut")
     return (
-        hashed.join(cut.select(label, "__cut"), label)
+        join_small(hashed, cut.select(label, "__cut"), [label])
         .withColumn("is_test", F.col("__h") <= F.col("__cut"))
         .drop("__h", "__cut")
     )
@@ -308,4 +308,4 @@ def latency_stats(calls: DataFrame, keys: Sequence[str], ms: str) -> DataFrame:
     spread = calls.groupBy(*keys).agg(F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.avg(ms).alias("avg_ms"))
     place = lambda n: F.greatest(F.floor(n * 0.95) - 1, F.lit(0))
     p95 = exact_quantile(calls, keys, ms, place, "p95_ms")
-    return spread.join(p95, list(keys))
+    return join_small(p95, spread, keys)

@@ -41,15 +41,24 @@ def knn_search(
 ) -> DataFrame:
     """The top_k tiles by cosine similarity to one query vector.
 
-    The query is a constant of the scan; repeats of a tile are removed before
-    the limit, so k rows come back whenever k distinct tiles match. Vectors are
-    dropped right after scoring and never shuffled.
+    The query is a constant of the scan; vectors are dropped right after scoring
+    and never shuffled. Repeats of a tile must not use up places, so the best
+    few times top_k rows are taken first: in that order the first top_k distinct
+    tiles are the answer, whatever follows. Only when repeats leave fewer
+    distinct tiles than asked for are all scored rows deduplicated.
     """
     found = meta_filter(tiles, date, sensor)
     hits = found.withColumn("score", vectors.cosine_to_one(F.col(vector), query)).drop(vector)
-    if unique:
-        hits = dedupe_hits(hits, tie)
-    return hits.orderBy(F.col("score").desc(), *tie).limit(top_k)
+    order = [F.col("score").desc(), *[F.col(c) for c in tie]]
+    if not unique:
+        return hits.orderBy(*order).limit(top_k)
+    ahead = max(4 * top_k, 25)
+    rows = hits.orderBy(*order).limit(ahead).collect()
+    blank = sum(1 for r in rows if not r["tile_id"])
+    distinct = len({r["tile_id"] for r in rows if r["tile_id"]}) + blank
+    if len(rows) < ahead or distinct >= top_k:
+        hits = tiles.sparkSession.createDataFrame(rows, hits.schema)
+    return dedupe_hits(hits, tie).orderBy(*order).limit(top_k)
 
 
 def knn_batch(tiles: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], top_k: int, vector: str = "embedding") -> DataFrame:

