@@ -238,6 +238,26 @@ def change_top_k(candidates: DataFrame, top_k: int = config.CHANGE_TOP_K) -> Dat
     return candidates.orderBy(F.col("drift").desc(), "t1_tile_id").limit(top_k)
 
 
+def describe_candidates(candidates: DataFrame, sensor: str, classifier: str = config.FALLBACK_LABEL) -> DataFrame:
+    """Candidates with classifier inputs, whole-percent cloud cover and before / after texts."""
+    return candidates.select(
+        "*",
+        F.lit(sensor).alias("sensor"),
+        F.rint(F.col("cloud_t2") * 100).cast("int").alias("cloud_cover"),
+        before_text(sensor).alias("before_desc"),
+        after_text().alias("after_desc"),
+        confidence_factors(candidates, classifier).alias("confidence_factors"),
+    )
+
+
+def before_text(sensor: str) -> Column:
+    return F.concat(F.lit("Baseline observation from "), "date_t1", F.lit(f" ({sensor})"))
+
+
+def after_text() -> Column:
+    return F.concat(F.lit("Spectral drift: "), F.format_number("drift", 3), F.lit(" observed on "), F.col("date_t2"))
+
+
 def detect_tile_change(
     tiles: DataFrame,
     reviews: DataFrame,
@@ -309,10 +329,8 @@ def audit_rows(candidates: DataFrame, sensor: str) -> DataFrame:
         F.lit(0).alias("cluster"),
         F.col("confidence").alias("anomaly_score"),
         F.lit("pending").alias("status"),
-        F.concat(F.lit("Baseline observation from "), "date_t1", F.lit(f" ({sensor})")).alias("before_desc"),
-        F.concat(
-            F.lit("Spectral drift: "), F.format_number("drift", 3), F.lit(" observed on "), F.col("date_t2")
-        ).alias("after_desc"),
+        before_text(sensor).alias("before_desc"),
+        after_text().alias("after_desc"),
         F.lit(sensor).alias("sensor"),
         F.col("date_t2").alias("date"),
     )

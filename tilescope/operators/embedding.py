@@ -37,13 +37,22 @@ def _run(values: Column, factory: ModelFactory) -> Column:
 def tile_chips(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
     """(keys, chip): pixel values of a tile, row-major with bands together.
 
-    A chip is one tile, so its size is fixed by the tile size.
+    A chip is one tile, so its size is fixed by the tile size; copies of a pixel
+    fall together before the shuffle.
     """
     record = F.struct("y", "x", F.array(*[F.col(b).cast("double") for b in bands]).alias("v"))
-    ordered = F.sort_array(F.collect_list(record))
+    ordered = F.sort_array(F.collect_set(record))
     return pixels.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda r: r["v"])).alias("chip"))
 
 
+def to_8bit(chips: DataFrame, full_scale: float = 255.0, chip: str = "chip") -> DataFrame:
+    """Chips as 0..255 image values: unit-scaled if their maximum exceeds 1, clipped, then whole numbers."""
+    divisor = F.when(F.array_max(chip) > 1.0, F.lit(full_scale)).otherwise(F.lit(1.0))
+    scaled = chips.withColumn("__d", divisor)
+    level = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.col("__d"))) * 255.0)
+    return scaled.withColumn(chip, F.transform(chip, lambda v: level(v).cast("double"))).drop("__d")
+
+
 def embed_tiles(chips: DataFrame, factory: ModelFactory, chip: str = "chip") -> DataFrame:
     """Replace each chip by its unit-length embedding."""
     return chips.withColumn("embedding", _run(F.col(chip), factory)).drop(chip)

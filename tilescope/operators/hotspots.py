@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilescope import config
 from tilescope.config import SceneExtent
 from tilescope.functions import geodesy, identity
 from tilescope.functions.identity import first_truthy
@@ -27,7 +28,7 @@ def hotspot_payload_join(ledger: DataFrame, payload: DataFrame) -> DataFrame:
 def cloud_cover_pick(stored: list[Column], computed_ratio: Column, default: int = 5) -> Column:
     """First stored percentage that is set and not zero, else the computed one, else the default."""
     return F.coalesce(
-        identity.first_nonzero(*stored).cast("int"), F.round(computed_ratio * 100).cast("int"), F.lit(default)
+        identity.first_nonzero(*stored).cast("int"), F.rint(computed_ratio * 100).cast("int"), F.lit(default)
     )
 
 
@@ -53,10 +54,22 @@ def hotspot_list(
         F.coalesce(first_truthy("status"), F.lit("pending")).alias("status"),
         first_truthy("before_desc").alias("before_desc"),
         first_truthy("after_desc").alias("after_desc"),
+        "image_path",
+        first_truthy("before_image_path").alias("before_image_path"),
+        first_truthy("after_image_path").alias("after_image_path"),
+        F.col("p_bounds").alias("bounds"),
         "created_at",
     )
 
 
+def with_factors(spots: DataFrame, scored: DataFrame) -> DataFrame:
+    """Add drift and similarity: the stored drift of the same id, else a quarter of the confidence."""
+    stored = scored.groupBy("tile_id").agg(F.min(F.struct("id", "drift_score")).alias("__s"))
+    drift = F.coalesce(F.col("__s.drift_score"), F.col("confidence") * config.DRIFT_THRESHOLD)
+    joined = spots.join(stored.withColumnRenamed("tile_id", "id"), "id", "left")
+    return joined.withColumn("drift", drift).withColumn("similarity", F.lit(1.0) - F.col("drift")).drop("__s")
+
+
 def hotspot_decide(ledger: DataFrame, queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply analyst decisions (id, new_status) to the ledger and mirror them in the queue.
 

@@ -11,6 +11,29 @@ from tilescope.functions.ranking import top_per_key
 from tilescope.operators.review import bbox_from_json
 
 SCHEMA_NAME = "HotspotProvenance.v1"
+FEATURE_ORDER = ["drift", "similarity", "cloud_ratio_t1", "cloud_ratio_t2", "days_between", "month_t1", "month_t2"]
+
+
+def audit_items(ledger: DataFrame, queue: DataFrame) -> DataFrame:
+    """Ledger rows without a queue item, shaped like queue items, so they can be exported too."""
+    alone = ledger.join(queue.select(F.col("tile_id").alias("id")), "id", "left_anti")
+    none = F.lit(None).cast("string")
+    score = F.coalesce("anomaly_score", F.lit(0.0))
+    return alone.select(
+        F.lit(None).cast("long").alias("id"),
+        F.col("id").alias("tile_id"),
+        none.alias("t1_tile_id"),
+        none.alias("t2_tile_id"),
+        "status",
+        score.alias("confidence"),
+        score.alias("drift_score"),
+        none.alias("remarks"),
+        none.alias("bbox_json"),
+        F.col("date").alias("date_t1"),
+        none.alias("date_t2"),
+        "created_at",
+        F.col("created_at").alias("updated_at"),
+    )
 
 
 def _half(part: int) -> Column:
@@ -117,6 +140,7 @@ def provenance_doc(
             drift.alias("drift_score"),
             similarity.alias("similarity_score"),
             F.round("confidence", 4).alias("rf_confidence_score"),
+            F.array(*[F.lit(name) for name in FEATURE_ORDER]).alias("feature_order"),
             features.alias("exact_7_features"),
         ).alias("metrics_and_classification"),
         F.struct(
@@ -141,7 +165,8 @@ def provenance_doc(
 
 def export_name(tile_id: Column, item_id: Column) -> Column:
     prefix = identity.safe_name(tile_id, 32)
-    return F.concat(F.lit("provenance_hotspot_"), item_id.cast("string"), F.lit("_"), prefix, F.lit(".json"))
+    number = F.coalesce(item_id.cast("string"), F.lit("rec"))
+    return F.concat(F.lit("provenance_hotspot_"), number, F.lit("_"), prefix, F.lit(".json"))
 
 
 def provenance_export(documents: DataFrame) -> DataFrame:

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilescope import config
+from tilescope.functions.ranking import join_small
 
 
-def to_unit(pixels: DataFrame, tile_keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """Scale bands to [0, 1]; a tile whose maximum exceeds 1 is taken as 8-bit.
+def to_unit(
+    pixels: DataFrame, tile_keys: Sequence[str], bands: Sequence[str], full_scale: float = 255.0
+) -> DataFrame:
+    """Scale bands to [0, 1]; a tile whose maximum exceeds 1 is divided by `full_scale`.
 
-    The window spans one tile, so it is bounded by the tile size.
+    Tile maxima combine before the shuffle and come back as a small table, so
+    pixels stay where they are.
     """
     top = F.greatest(*[F.col(b) for b in bands]) if len(bands) > 1 else F.col(bands[0])
-    peak = F.max(top).over(Window.partitionBy(*tile_keys))
-    divisor = F.when(F.col("__peak") > 1.0, F.lit(255.0)).otherwise(F.lit(1.0))
-    out = pixels.withColumn("__peak", peak)
+    peaks = pixels.groupBy(*tile_keys).agg(F.max(top).alias("__peak"))
+    divisor = F.when(F.col("__peak") > 1.0, F.lit(full_scale)).otherwise(F.lit(1.0))
     scaled = {b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(b) / divisor)) for b in bands}
-    return out.withColumns(scaled).drop("__peak")
+    return join_small(pixels, peaks, tile_keys).withColumns(scaled).drop("__peak")
 
 
 def grey(bands: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilescope import config
+from tilescope.functions.ranking import join_small
 
 
 def normalized_difference(a: Column | str, b: Column | str) -> Column:
@@ -66,7 +67,7 @@ def difference_scaled(diff: DataFrame, tile_keys: Sequence[str], epsilon: float
     """Differences divided by the tile's 98th percentile and clipped to [0, 1]."""
     tops = diff.groupBy(*tile_keys).agg(F.percentile("diff", 0.98).alias("__p98"))
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("diff") / (F.col("__p98") + epsilon)))
-    return diff.join(tops, list(tile_keys)).withColumn("level", level).drop("__p98")
+    return join_small(diff, tops, tile_keys).withColumn("level", level).drop("__p98")
 
 
 def percentile_stretch(
@@ -86,7 +87,7 @@ def percentile_stretch(
     def stretch(b: str) -> Column:
         return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col(b) - low) / span * 255.0))).cast("int")
 
-    return pixels.join(cuts, list(tile_keys)).withColumns({b: stretch(b) for b in bands}).drop("__cut")
+    return join_small(pixels, cuts, tile_keys).withColumns({b: stretch(b) for b in bands}).drop("__cut")
 
 
 def index_scale(index: Column, name: str) -> Column:

@@ -49,13 +49,14 @@ def tile_grid(
     overlap: int = 0,
     black: float = config.BLACK_PIXEL_THRESHOLD,
     rules: config.QualityRules = config.QualityRules(),
+    full_scale: float = 255.0,
 ) -> DataFrame:
     """One row per window with everything the quality filters need.
 
     Pixels are first reduced to blocks of gcd(size, stride) pixels, which every
     window is a whole number of; only block totals are copied into overlapping
     windows, never pixels. Ratios under both scalings (as stored, and divided by
-    255) are tallied in the same pass because the window maximum that selects
+    `full_scale`) are tallied in the same pass because the window maximum that selects
     between them is known only at the end.
     """
     stride = stride_of(size, overlap)
@@ -90,12 +91,12 @@ def tile_grid(
             F.count_if(is_valid).alias("n_valid"),
             F.max(F.greatest(*colour) if len(colour) > 1 else colour[0]).alias("max_value"),
             F.sum(dark(1.0)).alias("dark_raw"),
-            F.sum(dark(255.0)).alias("dark_255"),
+            F.sum(dark(full_scale)).alias("dark_scaled"),
             F.sum(murky(1.0)).alias("murky_raw"),
-            F.sum(murky(255.0)).alias("murky_255"),
+            F.sum(murky(full_scale)).alias("murky_scaled"),
         )
     )
-    counts = ["n_pixels", "n_valid", "dark_raw", "dark_255", "murky_raw", "murky_255"]
+    counts = ["n_pixels", "n_valid", "dark_raw", "dark_scaled", "murky_raw", "murky_scaled"]
     placed = place_in_windows(blocks, size, stride, "by", "bx")
     if block == size:
         windows = placed.drop("by", "bx")
@@ -103,7 +104,7 @@ def tile_grid(
         windows = placed.groupBy(*TILE_KEYS, "width", "height").agg(
             *[F.sum(c).alias(c) for c in counts], F.max("max_value").alias("max_value")
         )
-    stored_8bit = F.col("max_value") > 1.0
+    needs_scale = F.col("max_value") > 1.0
     n = F.col("n_pixels")
     return windows.select(
         *TILE_KEYS,
@@ -112,8 +113,8 @@ def tile_grid(
         "n_pixels",
         "max_value",
         (F.col("n_valid") / n).alias("valid_ratio"),
-        (F.when(stored_8bit, F.col("dark_255")).otherwise(F.col("dark_raw")) / (n * len(colour))).alias("dark_ratio"),
-        (F.when(stored_8bit, F.col("murky_255")).otherwise(F.col("murky_raw")) / n).alias("cloud_ratio"),
+        (F.when(needs_scale, F.col("dark_scaled")).otherwise(F.col("dark_raw")) / (n * len(colour))).alias("dark_ratio"),
+        (F.when(needs_scale, F.col("murky_scaled")).otherwise(F.col("murky_raw")) / n).alias("cloud_ratio"),
     )
 
 

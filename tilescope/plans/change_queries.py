@@ -336,6 +336,28 @@ def detect_audit_rows(d: Data):
     return rows.select("id", "primary_tag", r6("anomaly_score"), "before_desc", "after_desc")
 
 
+@query(
+    "describe_candidates",
+    CANDIDATES.replace("s.n_dates, least(1", "s.n_dates, s.c1, s.c2, least(1")
+    + """
+SELECT t1_tile_id || '__' || t2_tile_id AS id, CAST(round_even(c2 * 100, 0) AS INT) AS cloud_cover,
+  'Baseline observation from 2023-12-08 (Sentinel-2)' AS before_desc, round(c1, 4) AS cloud_ratio_t1, 375 AS days_between,
+  'Deterministic Calibration' AS rf_model FROM found""",
+    ("points", "pixels_grey"),
+)
+def describe_candidates(d: Data):
+    found = change.detect_scene_change(measured_points(d), DATES, None, RULES, limit=False)
+    told = change.describe_candidates(found, "Sentinel-2")
+    return told.select(
+        F.concat("t1_tile_id", F.lit("__"), "t2_tile_id").alias("id"),
+        "cloud_cover",
+        "before_desc",
+        F.col("confidence_factors.cloud_contamination_ratio_t1").alias("cloud_ratio_t1"),
+        F.col("confidence_factors.days_between"),
+        F.col("confidence_factors.rf_model"),
+    )
+
+
 REVIEWED = """
 , stored AS (
   SELECT h.*, coalesce(r0.id, r1.id, r2.id) AS review_id,

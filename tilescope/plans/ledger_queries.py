@@ -204,7 +204,7 @@ def clamp_confidence(d: Data):
 @query(
     "cloud_cover_pick",
     """
-SELECT l.id, CAST(coalesce(nullif(l.cloud_cover, 0), round(t.cloud * 100), 5) AS INT) AS cloud_cover
+SELECT l.id, CAST(coalesce(nullif(l.cloud_cover, 0), round_even(t.cloud * 100, 0), 5) AS INT) AS cloud_cover
 FROM pair_ledger l LEFT JOIN tiles t ON t.tile_id = l.id""",
     ("pair_ledger",),
 )
@@ -361,7 +361,7 @@ SELECT l.id, round(coalesce(p.lat, 19.28 - (CAST(regexp_extract(l.id, '_r(\d+)_c
   coalesce(nullif(primary_tag, ''), 'unassigned') AS classification, round(greatest(0, least(1, anomaly_score)), 6) AS confidence,
   coalesce(nullif(l.sensor, ''), nullif(p.sensor, ''), 'Sentinel-2') AS sensor,
   coalesce(nullif(l.date, ''), nullif(p.date, ''), '') AS date,
-  CAST(coalesce(nullif(l.cloud_cover, 0), round(r.cloud * 100), 5) AS INT) AS cloud_cover, status,
+  CAST(coalesce(nullif(l.cloud_cover, 0), round_even(r.cloud * 100, 0), 5) AS INT) AS cloud_cover, status,
   coalesce(nullif(before_desc, ''), 'none') AS before_desc
 FROM top l LEFT JOIN payload p ON p.id = l.id LEFT JOIN ratios r ON r.tile_id = p.tile_id""",
     ("tile_points", "pair_ledger", "pixels_grey"),
@@ -408,6 +408,21 @@ def hotspot_decide(d: Data):
     )
 
 
+@query(
+    "hotspot_factors",
+    """
+WITH top AS (
+  SELECT * FROM pair_ledger WHERE primary_tag <> 'unassigned' OR anomaly_score > 0 ORDER BY anomaly_score DESC, created_at DESC, id LIMIT 100
+)
+SELECT t.id, round(coalesce(r.drift_score, greatest(0, least(1, anomaly_score)) * 0.25), 6) AS drift,
+  round(1 - coalesce(r.drift_score, greatest(0, least(1, anomaly_score)) * 0.25), 6) AS similarity FROM top t LEFT JOIN pair_reviews r ON r.tile_id = t.id""",
+    ("pair_ledger", "pair_reviews"),
+)
+def hotspot_factors(d: Data):
+    listed = hotspots.hotspot_list(d.view("pair_ledger"), payload(d), EXTENT)
+    return hotspots.with_factors(listed, d.view("pair_reviews")).select("id", r6("drift"), r6("similarity"))
+
+
 # -- provenance ----------------------------------------------------------------
 
 
@@ -418,9 +433,9 @@ def documents(d: Data):
     indexed = spectral.index_change(d.view("pixels_ms"), ["tile"])
     keyed = d.tiles.filter("scene_no = 2").select("tile_id", (F.col("cell") + 1).alias("tile"))
     tile_index = keyed.join(indexed, "tile").select("tile_id", *names)
-    return provenance.provenance_doc(
-        d.view("pair_reviews"), d.view("pair_ledger"), quality, tile_index, D1, D3, F.lit("2025-03-01T00:00:00Z")
-    )
+    queue, audit = d.view("pair_reviews"), d.view("pair_ledger")
+    items = queue.unionByName(provenance.audit_items(audit, queue))
+    return provenance.provenance_doc(items, audit, quality, tile_index, D1, D3, F.lit("2025-03-01T00:00:00Z"))
 
 
 PROVENANCE = """
@@ -429,13 +444,19 @@ WITH ratios AS (
 ), nd AS (
   SELECT tile, round(avg((b08 - b04) / (b08 + b04 + 1e-6)) FILTER (WHERE t = 2) - avg((b08 - b04) / (b08 + b04 + 1e-6)) FILTER (WHERE t = 1), 4) AS ndvi_change
   FROM pixels_ms GROUP BY tile
+), items AS (
+  SELECT id, tile_id, t1_tile_id, t2_tile_id, status, confidence, drift_score, remarks, date_t1, date_t2, CAST(id AS DOUBLE) AS left_x FROM pair_reviews
+  UNION ALL
+  SELECT NULL, id, CASE WHEN contains(id, '__') THEN split_part(id, '__', 1) ELSE id || '_t1' END,
+    CASE WHEN contains(id, '__') THEN split_part(id, '__', 2) ELSE id || '_t2' END, upper(status), anomaly_score, anomaly_score, NULL, date, NULL, NULL
+  FROM pair_ledger WHERE id NOT IN (SELECT tile_id FROM pair_reviews)
 ), docs AS (
   SELECT q.id, q.tile_id, q.t1_tile_id, q.t2_tile_id, coalesce(l.sensor, CASE WHEN l.id IS NULL THEN 'Sentinel-2 (MSI L2A)' END, 'none') AS sensor,
-    date_diff('day', DATE '2023-12-08', CAST(coalesce(q.date_t2, '2024-12-17') AS DATE)) AS days_between,
-    round(coalesce(drift_score, 0), 4) AS drift, round(confidence, 4) AS confidence, round(c1.cloud, 6) AS cloud_t1, round(c2.cloud, 6) AS cloud_t2,
-    CASE q.status WHEN 'CONFIRMED' THEN 'accept' WHEN 'FLAGGED' THEN 'flag' ELSE 'pending' END AS decision,
-    q.status IN ('CONFIRMED', 'REJECTED') AS verified, CAST(q.id AS DOUBLE) AS left_x, coalesce(nd.ndvi_change, -9) AS ndvi_change, q.remarks
-  FROM pair_reviews q LEFT JOIN pair_ledger l ON l.id = q.tile_id
+    abs(date_diff('day', CAST(coalesce(q.date_t1, '2023-12-08') AS DATE), CAST(coalesce(q.date_t2, '2024-12-17') AS DATE))) AS days_between,
+    round(coalesce(drift_score, 0), 4) AS drift, round(confidence, 4) AS confidence, coalesce(round(c1.cloud, 6), -1) AS cloud_t1, coalesce(round(c2.cloud, 6), -1) AS cloud_t2,
+    CASE q.status WHEN 'CONFIRMED' THEN 'accept' WHEN 'FLAGGED' THEN 'flag' WHEN 'PENDING' THEN 'pending' ELSE lower(q.status) END AS decision,
+    q.status IN ('CONFIRMED', 'REJECTED') AS verified, coalesce(left_x, -1) AS left_x, coalesce(nd.ndvi_change, -9) AS ndvi_change, q.remarks
+  FROM items q LEFT JOIN pair_ledger l ON l.id = q.tile_id
   LEFT JOIN ratios c1 ON c1.tile_id = q.t1_tile_id LEFT JOIN ratios c2 ON c2.tile_id = q.t2_tile_id
   LEFT JOIN tiles t ON t.tile_id = q.t2_tile_id LEFT JOIN nd ON nd.tile = t.cell + 1
 )
@@ -447,14 +468,14 @@ PROVENANCE_VIEWS = ("pixels_grey", "pixels_ms", "pair_reviews")
     "provenance_doc",
     PROVENANCE
     + """
-SELECT id, tile_id, t1_tile_id, t2_tile_id, sensor, days_between, drift, confidence, cloud_t1, cloud_t2, decision, verified, left_x, ndvi_change,
+SELECT coalesce(id, -1) AS id, tile_id, t1_tile_id, t2_tile_id, sensor, days_between, drift, confidence, cloud_t1, cloud_t2, decision, verified, left_x, ndvi_change,
   coalesce(remarks, 'Triage status: ' || decision) AS remarks FROM docs""",
     PROVENANCE_VIEWS,
 )
 def provenance_doc(d: Data):
     doc = documents(d)
     return doc.select(
-        "id",
+        F.coalesce("id", F.lit(-1)).alias("id"),
         "tile_id",
         F.col("doc.source_scenes.t1_tile_id"),
         F.col("doc.source_scenes.t2_tile_id"),
@@ -462,11 +483,13 @@ def provenance_doc(d: Data):
         F.col("doc.source_scenes.acquisition_dates.temporal_interval_days").alias("days_between"),
         F.col("doc.metrics_and_classification.drift_score").alias("drift"),
         F.col("doc.metrics_and_classification.rf_confidence_score").alias("confidence"),
-        r6("doc.processing_steps.cloud_shadow_masking.cloud_shadow_masking_ratio_t1", "cloud_t1"),
-        r6("doc.processing_steps.cloud_shadow_masking.cloud_shadow_masking_ratio_t2", "cloud_t2"),
+        *[
+            F.coalesce(r6(f"doc.processing_steps.cloud_shadow_masking.cloud_shadow_masking_ratio_{t}"), F.lit(-1.0)).alias(f"cloud_{t}")
+            for t in ("t1", "t2")
+        ],
         F.col("doc.analyst_review.decision_display").alias("decision"),
         F.col("doc.analyst_review.verified_by_analyst").alias("verified"),
-        F.col("doc.source_scenes.bounding_box.bounds")[0].alias("left_x"),
+        F.coalesce(F.col("doc.source_scenes.bounding_box.bounds")[0], F.lit(-1.0)).alias("left_x"),
         F.coalesce("doc.spectral_indices.ndvi.change", F.lit(-9.0)).alias("ndvi_change"),
         F.col("doc.analyst_review.remarks").alias("remarks"),
     )
@@ -476,14 +499,14 @@ def provenance_doc(d: Data):
     "provenance_export",
     PROVENANCE
     + """
-SELECT id, 'provenance_hotspot_' || id || '_' || substring(regexp_replace(tile_id, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 32) || '.json' AS file_name,
+SELECT coalesce(id, -1) AS id, 'provenance_hotspot_' || coalesce(CAST(id AS STRING), 'rec') || '_' || substring(regexp_replace(tile_id, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 32) || '.json' AS file_name,
   decision, drift, days_between FROM docs""",
     PROVENANCE_VIEWS,
 )
 def provenance_export(d: Data):
     exports = provenance.provenance_export(documents(d))
     return exports.select(
-        "id",
+        F.coalesce("id", F.lit(-1)).alias("id"),
         "file_name",
         F.get_json_object("json", "$.analyst_review.decision_display").alias("decision"),
         F.get_json_object("json", "$.metrics_and_classification.drift_score").cast("double").alias("drift"),

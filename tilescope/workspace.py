@@ -149,7 +149,7 @@ class Workspace:
             self.queue_store.write(review.review_append(self.queue(), rows, ["tile_id"], self.now()))
         top = change.change_top_k(found, rules.top_k)
         self._upsert_ledger(change.audit_rows(top, sensor).withColumn("image_path", F.col("id")))
-        return top
+        return change.describe_candidates(top, sensor)
 
     def detect_tile(self, tile_id: str, dates: Sequence[str], rules: ChangeRules = ChangeRules()) -> DataFrame:
         return change.detect_tile_change(self.points(), self.queue(), tile_id, list(dates), rules)
@@ -164,7 +164,8 @@ class Workspace:
 
     def hotspots(self, limit: int = 100) -> DataFrame:
         payload = self.points().withColumn("cloud_cover", F.lit(None).cast("double"))
-        return hotspots.hotspot_list(self.ledger(), payload, self.extent, limit)
+        listed = hotspots.hotspot_list(self.ledger(), payload, self.extent, limit)
+        return hotspots.with_factors(listed, self.queue())
 
     def decide(self, decisions: DataFrame) -> None:
         audit, queue = hotspots.hotspot_decide(self.ledger(), self.queue(), decisions)
@@ -174,7 +175,10 @@ class Workspace:
     def provenance(self, spectral: DataFrame, date_first: str, date_last: str) -> DataFrame:
         quality = self.points().select("tile_id", "cloud")
         stamp = F.date_format(self.now(), "yyyy-MM-dd'T'HH:mm:ss")
-        return provenance.provenance_doc(self.queue(), self.ledger(), quality, spectral, date_first, date_last, stamp)
+        queue, audit = self.queue(), self.ledger()
+        changes = audit.filter(F.col("primary_tag") != "unassigned")
+        items = queue.unionByName(provenance.audit_items(changes, queue))
+        return provenance.provenance_doc(items, audit, quality, spectral, date_first, date_last, stamp)
 
     def export(self, documents: DataFrame, folder: str) -> None:
         write_documents(provenance.provenance_export(documents), folder)
