@@ -11,7 +11,7 @@ from tilescope.config import ChangeRules
 from tilescope.functions import geodesy, identity, vectors
 from tilescope.functions.ranking import exact_quantile, top_per_key, with_global_rank
 from tilescope.operators import change, hotspots, ledger, review, search, tiling
-from tilescope.sources.stores import VersionedTable
+from tilescope.sources.stores import VersionedTable, read_rasters
 
 
 def test_point_id_is_a_version_5_uuid(spark):
@@ -205,6 +205,8 @@ def test_a_cell_with_very_many_copies_leaves_tasks_as_one_row(spark):
     assert [r.drift for r in found.collect()] == [1.0, 1.0]
     initial = found._jdf.queryExecution().sparkPlan().toString()
     assert "partial_min" in initial, "copies must combine before the shuffle"
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(site") == 1, "the whole history is one shuffle by cell"
     one = change.detect_scene_change(rows.coalesce(1), DATES, None, RULES)
     assert sorted(map(str, one.collect())) == sorted(map(str, found.collect()))
 
@@ -284,3 +286,37 @@ def test_aoi_window_is_clamped(spark):
     for x, y, want in ((500.0, 500.0, (40, 40)), (0.0, 1000.0, (0, 0)), (999.0, 1.0, (80, 80))):
         row = tiling.aoi_windows(scenes, F.lit(x), F.lit(y), 20).first()
         assert (row.row_off, row.col_off) == want
+
+
+def test_raster_files_are_decoded_in_parallel(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    scenes = {i: np.random.default_rng(i).integers(0, 255, (4, 6)).astype("uint8") for i in range(3)}
+    for i, scene in scenes.items():
+        np.save(f"{folder}/scene_{i}.npy", scene)
+
+    def decode(batches):
+        import io
+
+        import numpy
+        import pandas
+
+        for files in batches:
+            for path, content in zip(files["path"], files["content"]):
+                image = numpy.load(io.BytesIO(content))
+                y, x = numpy.indices(image.shape)
+                number = int(path.rsplit("_", 1)[1].split(".")[0])
+                yield pandas.DataFrame({"scene_id": number, "y": y.ravel(), "x": x.ravel(), "v": image.ravel()})
+
+    pixels = read_rasters(spark, folder, decode, "scene_id int, y int, x int, v int", "*.npy")
+    got = {(r.scene_id, r.y, r.x): r.v for r in pixels.collect()}
+    assert got == {(i, y, x): int(s[y, x]) for i, s in scenes.items() for y in range(4) for x in range(6)}
+
+
+def test_store_reads_only_the_dates_asked_for(spark):
+    store = VersionedTable(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/p", ["date"])
+    store.write(spark.createDataFrame([("2024-01-01", 1), ("2024-06-01", 2)], "date string, n int"))
+    rows = store.read()
+    assert dict(rows.dtypes)["date"] == "string"
+    one = rows.filter(F.col("date") == "2024-06-01")
+    assert [r.n for r in one.collect()] == [2]
+    assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().executedPlan().toString()

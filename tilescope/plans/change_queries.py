@@ -88,9 +88,8 @@ FROM (SELECT event_id, try_cast(date AS DATE) AS a, DATE '2024-12-17' AS b FROM
 )
 def date_features(d: Data):
     days, first, second = identity.date_features(F.col("date"), F.lit("2024-12-17T10:00:00"))
-    return d.view("audit_changes").select(
-        "event_id", days.alias("days_between"), first.alias("month_t1"), second.alias("month_t2")
-    )
+    named = {"days_between": days, "month_t1": first, "month_t2": second}
+    return d.view("audit_changes").select("event_id", *[c.cast("long").alias(n) for n, c in named.items()])
 
 
 @query(

@@ -382,7 +382,7 @@ def hotspot_list(d: Data):
     )
 
 
-DECISIONS = "SELECT id, CASE WHEN cell % 3 = 0 THEN 'Accepted' WHEN cell % 3 = 1 THEN 'reject' ELSE 'watch' END AS new_status FROM {pair_ledger} WHERE cluster < 7"
+DECISIONS = "SELECT id, CASE WHEN cell % 3 = 0 THEN 'Accepted' WHEN cell % 3 = 1 THEN 'reject' ELSE 'watch' END AS new_status FROM {pair_ledger} WHERE status = 'pending'"
 
 
 @query(
@@ -480,7 +480,7 @@ def provenance_doc(d: Data):
         F.col("doc.source_scenes.t1_tile_id"),
         F.col("doc.source_scenes.t2_tile_id"),
         F.coalesce("doc.source_scenes.sensor", F.lit("none")).alias("sensor"),
-        F.col("doc.source_scenes.acquisition_dates.temporal_interval_days").alias("days_between"),
+        F.col("doc.source_scenes.acquisition_dates.temporal_interval_days").cast("long").alias("days_between"),
         F.col("doc.metrics_and_classification.drift_score").alias("drift"),
         F.col("doc.metrics_and_classification.rf_confidence_score").alias("confidence"),
         *[
@@ -510,5 +510,5 @@ def provenance_export(d: Data):
         "file_name",
         F.get_json_object("json", "$.analyst_review.decision_display").alias("decision"),
         F.get_json_object("json", "$.metrics_and_classification.drift_score").cast("double").alias("drift"),
-        F.get_json_object("json", "$.source_scenes.acquisition_dates.temporal_interval_days").cast("int").alias("days_between"),
+        F.get_json_object("json", "$.source_scenes.acquisition_dates.temporal_interval_days").cast("long").alias("days_between"),
     )

@@ -142,11 +142,11 @@ SELECT id, CASE WHEN contains(id, '__') THEN split_part(id, '__', 1) WHEN contai
     ELSE replace(id, '2024-12-17', '2023-12-08') END AS t1,
   CASE WHEN contains(id, '__') THEN split_part(id, '__', 2) WHEN contains(id, '2023-12-08') THEN replace(id, '2023-12-08', '2024-12-17')
     ELSE id END AS t2
-FROM (SELECT id FROM pair_ledger UNION ALL SELECT tile_id FROM tiles WHERE scene_no = 0)""",
+FROM (SELECT id FROM pair_ledger UNION ALL SELECT tile_id FROM tiles)""",
     ("pair_ledger",),
 )
 def change_id_split(d: Data):
-    ids = d.view("pair_ledger").select("id").unionAll(d.tiles.filter("scene_no = 0").select("tile_id"))
+    ids = d.view("pair_ledger").select("id").unionAll(d.tiles.select("tile_id"))
     halves = identity.split_change_id(F.col("id"), D1, D3)
     return ids.select("id", halves.alias("h")).select("id", "h.t1", "h.t2")
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class VersionedTable:
@@ -32,7 +33,9 @@ class VersionedTable:
         known = self.versions()
         if not known:
             return None
-        return self.spark.read.parquet(f"{self.folder}/v={known[-1] if version is None else version}")
+        found = self.spark.read.parquet(f"{self.folder}/v={known[-1] if version is None else version}")
+        # Folder names lose their type; partition columns here are text.
+        return found.withColumns({c: F.col(c).cast("string") for c in self.partition_by})
 
     def write(self, df: DataFrame, version: int | None = None) -> int:
         known = self.versions()

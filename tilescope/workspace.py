@@ -35,7 +35,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, folder: str, extent: SceneExtent, now: Callable[[], Column] = F.current_timestamp):
         self.spark, self.extent, self.now = ship_package(spark), extent, now
-        self.points_store = VersionedTable(spark, f"{folder}/points")
+        # Searches and change detection name dates, so dates are folders and the rest is not read.
+        self.points_store = VersionedTable(spark, f"{folder}/points", ["date"])
         self.ledger_store = VersionedTable(spark, f"{folder}/ledger")
         self.queue_store = VersionedTable(spark, f"{folder}/queue")
 
@@ -128,7 +129,7 @@ class Workspace:
 
     def search(self, query: Sequence[float], top_k: int = config.SEARCH_TOP_K, date: str | None = None, sensor: str | None = None) -> DataFrame:
         """Nearest tiles to a query vector (of an image or a text), with positions."""
-        hits = search.knn_search(self.points(), query, top_k, date, sensor)
+        hits = search.knn_search(self.points(), query, top_k, date, sensor, tie=("tile_id", "point_id"))
         return geodesy.add_center_wgs84(hits)
 
     def similar(self, tile_id: str, top_k: int = 6, exclude_self: bool = True) -> DataFrame:
