@@ -272,6 +272,15 @@ def test_dedupe_keeps_blank_ids(spark):
     assert got == [("", 0.2), ("", 0.2), ("", 0.3), ("a", 0.9)]
 
 
+def test_search_returns_k_tiles_however_often_they_repeat(spark):
+    rows = [(f"p{i:03d}", "best", [1.0, 0.0]) for i in range(200)]
+    rows += [("q1", "second", [1.0, 0.1]), ("q2", "third", [0.0, 1.0]), ("q3", "gone", None)]
+    points = spark.createDataFrame(rows, "point_id string, tile_id string, embedding array<double>")
+    got = search.knn_search(points, [1.0, 0.0], 3, tie=("tile_id", "point_id")).collect()
+    assert [(r.tile_id, r.point_id) for r in got] == [("best", "p000"), ("second", "q1"), ("third", "q2")]
+    assert search.knn_search(points, [1.0, 0.0], 3, unique=False).filter("tile_id = 'best'").count() == 3
+
+
 def test_versions_never_overwrite_what_is_read(spark):
     store = VersionedTable(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t")
     assert store.read() is None and store.versions() == []

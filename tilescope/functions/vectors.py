@@ -62,7 +62,7 @@ def raw_drift(a: Column, b: Column) -> Column:
     return drift(dot(a, b))
 
 
-def _model_matrix(rows: Sequence[Sequence[float]]) -> np.ndarray:
+def model_matrix(rows: Sequence[Sequence[float]]) -> np.ndarray:
     matrix = np.asarray(rows, dtype="float64")
     if matrix.ndim != 2 or matrix.size == 0:
         raise ValueError("expected a non-empty list of vectors of one length")
@@ -84,7 +84,7 @@ def batch_matrix(vectors: pa.Array, width: int) -> np.ndarray:
 
 def cosine_to(vec: Column, model: Sequence[Sequence[float]]) -> Column:
     """array<double>: cosine of a vector column with each model vector."""
-    matrix = _model_matrix(model)
+    matrix = model_matrix(model)
     lengths = np.linalg.norm(matrix, axis=1)
 
     @F.arrow_udf("array<double>")
@@ -101,7 +101,7 @@ def cosine_to(vec: Column, model: Sequence[Sequence[float]]) -> Column:
 
 def cosine_to_one(vec: Column, query: Sequence[float]) -> Column:
     """double: cosine of a vector column with one query vector."""
-    matrix = _model_matrix([query])[0]
+    matrix = model_matrix([query])[0]
     length = float(np.linalg.norm(matrix))
 
     @F.arrow_udf("double")
@@ -115,16 +115,21 @@ def cosine_to_one(vec: Column, query: Sequence[float]) -> Column:
     return score(vec)
 
 
+def nearest_rows(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Index of the nearest model vector for every row of a matrix (lowest index on ties)."""
+    square = np.empty((len(rows), len(matrix)))
+    for index, centre in enumerate(matrix):
+        square[:, index] = ((rows - centre) ** 2).sum(axis=1)
+    return np.argmin(square, axis=1).astype("int32")
+
+
 def nearest_index(vec: Column, model: Sequence[Sequence[float]]) -> Column:
-    """int: index of the nearest model vector (Euclidean, lowest index on ties)."""
-    matrix = _model_matrix(model)
+    """int: index of the nearest model vector (Euclidean); null where the vector is missing."""
+    matrix = model_matrix(model)
 
     @F.arrow_udf("int")
     def assign(batch: pa.Array) -> pa.Array:
         rows = batch_matrix(batch, matrix.shape[1])
-        square = np.empty((len(rows), len(matrix)))
-        for index, centre in enumerate(matrix):
-            square[:, index] = ((rows - centre) ** 2).sum(axis=1)
-        return pa.array(np.argmin(square, axis=1).astype("int32"))
+        return pa.array(nearest_rows(rows, matrix), mask=np.isnan(rows[:, 0]))
 
     return assign(vec)

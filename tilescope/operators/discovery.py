@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -36,38 +36,60 @@ def mean_vector(vector: Column) -> Column:
     return Summarizer.mean(array_to_vector(vectors.as_double(vector)))
 
 
+def lloyd_round(vectors_only: DataFrame, centroids: Model, previous: Model | None) -> DataFrame:
+    """(label, n, moved, total): size, changed labels and vector sum of each cluster.
+
+    Every task reduces its rows to one row per cluster before anything is
+    shuffled, so a cluster that holds most rows costs no more than a small one.
+    """
+    now = vectors.model_matrix(centroids)
+    before = vectors.model_matrix(previous) if previous else None
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, moved = np.zeros(now.shape), np.zeros(len(now), "int64"), np.zeros(len(now), "int64")
+        for batch in batches:
+            rows = vectors.batch_matrix(batch.column(0), now.shape[1])
+            label = vectors.nearest_rows(rows, now)
+            # Before the first round every label counts as 0.
+            old = vectors.nearest_rows(rows, before) if before is not None else np.zeros_like(label)
+            for c in np.unique(label):
+                mine = label == c
+                total[c] += rows[mine].sum(axis=0)
+                n[c] += mine.sum()
+                moved[c] += (old[mine] != c).sum()
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen.astype("int32")), pa.array(n[seen]), pa.array(moved[seen]), pa.array(list(total[seen]), pa.list_(pa.float64()))],
+            names=["label", "n", "moved", "total"],
+        )
+
+    parts = vectors_only.mapInArrow(partial, "label int, n long, moved long, total array<double>")
+    return parts.groupBy("label").agg(
+        F.sum("n").alias("n"), F.sum("moved").alias("moved"), Summarizer.sum(array_to_vector("total")).alias("total")
+    )
+
+
 def kmeans(tiles: DataFrame, starts: Model, max_iter: int = 50, vector: str = "embedding") -> Model:
     """Lloyd rounds from given start vectors; returns the centroids that label the data.
 
-    One aggregation per round. Both the previous and the current assignment are
-    functions of the row and two sets of centroids, so counting changed labels
-    needs no stored labels and lineage never grows. Only k centroids and k
-    counts reach the driver; an empty cluster keeps its centroid, and the loop
-    ends when no label changes.
+    Both the previous and the current assignment are functions of the row and
+    two sets of centroids, so counting changed labels needs no stored labels and
+    lineage never grows. Only k sums and counts reach the driver; an empty
+    cluster keeps its centroid, and the loop ends when no label changes.
     """
     centroids = [list(map(float, c)) for c in starts]
     previous: Model | None = None
-    base = tiles.select(vector)
+    base = tiles.filter(F.col(vector).isNotNull()).select(vector)
     for _ in range(max_iter):
-        label = vectors.nearest_index(F.col(vector), centroids)
-        # Before the first round every label counts as 0.
-        before = vectors.nearest_index(F.col(vector), previous) if previous else F.lit(0)
-        marked = base.withColumn("label", label).withColumn("before", before)
-        rows = (
-            marked.groupBy("label")
-            .agg(mean_vector(F.col(vector)).alias("mean"), F.count_if(F.col("label") != F.col("before")).alias("moved"))
-            .collect()
-        )
+        rows = lloyd_round(base, centroids, previous).collect()
         if sum(r["moved"] for r in rows) == 0:
-            break
+            return centroids
         previous = centroids
         centroids = list(centroids)
         for r in rows:
-            centroids[r["label"]] = [float(x) for x in r["mean"].toArray()]
-    else:
-        return previous or centroids
-    # Unmoved labels belong to the centroids of the round before.
-    return centroids
+            centroids[r["label"]] = (r["total"].toArray() / r["n"]).tolist()
+    # The last assignment was made with the centroids before the last update.
+    return previous or centroids
 
 
 def with_cluster(tiles: DataFrame, model: Model, vector: str = "embedding") -> DataFrame:
