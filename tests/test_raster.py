@@ -111,6 +111,27 @@ def test_histogram_match_equals_numpy(spark):
     assert np.abs(np.array([r.matched_value for r in matched]) - want).max() < 1e-12
 
 
+def test_matching_removes_a_brightness_shift(spark):
+    first = planted_scenes(SIZE)[1][:, :SIZE, :SIZE]
+    shifted = np.clip(first * 0.6 + 20, 0, 255).astype(int)
+    one = pixel_table(spark, {1: first}).withColumn("tile", F.lit(0))
+    two = pixel_table(spark, {1: shifted}).withColumn("tile", F.lit(0))
+    rows = matching.match_images(one, two, ["tile"], ["r", "g", "b", "nir"]).orderBy("y", "x").collect()
+    for i, band in enumerate("rgb"):
+        want = reference_match(shifted[i], first[i]).ravel()
+        assert np.abs(np.array([r[band] for r in rows]) - want).max() < 1e-9
+    model = embedding.BandHistogramEmbedder(3)
+    vector = lambda px: np.array(embedding.embed_tiles(embedding.tile_chips(px, ["tile"], ["r", "g", "b"]), model).first().embedding)
+    matched = np.array(embedding.embed_matched(one, two, ["tile"], ["r", "g", "b"], model).first().embedding)
+    assert 1 - vector(one) @ matched < 0.2 * (1 - vector(one) @ vector(two))
+
+
+def test_8bit_chips(spark):
+    chips = spark.createDataFrame([(1, [0.0, 0.5, 1.0]), (2, [0.0, 127.0, 300.0])], "tile int, chip array<double>")
+    got = {r.tile: list(r.chip) for r in embedding.to_8bit(chips).collect()}
+    assert got == {1: [0.0, 127.0, 255.0], 2: [0.0, 127.0, 255.0]}
+
+
 def test_pixel_difference_percentile_equals_numpy(spark):
     scenes = planted_scenes(SIZE)
     pixels = pixel_table(spark, scenes)

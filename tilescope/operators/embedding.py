@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.config import ZERO_NORM
+from tilescope.operators.matching import match_images
 
 Model = Callable[[list], np.ndarray]
 ModelFactory = Callable[[], Model]
@@ -94,3 +95,15 @@ class LetterCountEmbedder:
             codes = np.bincount(np.frombuffer(text.encode("utf-8"), dtype="uint8"), minlength=256)
             out[i] = codes[97:123] + codes[65:91]
         return out
+
+
+def embed_matched(
+    first: DataFrame, second: DataFrame, tile_keys: Sequence[str], bands: Sequence[str], factory: ModelFactory
+) -> DataFrame:
+    """(tile_keys, embedding) of the second image after matching its histograms to the first.
+
+    Put in place of the stored second vector, this scores change on radiometrically
+    matched pixels; stored vectors are those of the images as taken.
+    """
+    matched = match_images(first, second, tile_keys, bands)
+    return embed_tiles(tile_chips(matched, tile_keys, bands[:3]), factory)

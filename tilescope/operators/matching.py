@@ -51,3 +51,25 @@ def apply_match(pixels: DataFrame, table: DataFrame, keys: Sequence[str], value:
     """Replace T2 pixel values by their matched values."""
     lookup = table.select(*keys, F.col("source_value").alias(value), "matched_value")
     return pixels.join(lookup, [*keys, value])
+
+
+def match_images(
+    first: DataFrame, second: DataFrame, tile_keys: Sequence[str], bands: Sequence[str], y: str = "y", x: str = "x"
+) -> DataFrame:
+    """The second image with each of its first three bands matched to the first image, tile by tile.
+
+    Bands travel as rows, so one match table serves them all.
+    """
+    used = list(bands[:3])
+    place = [*tile_keys, y, x]
+
+    def long(pixels: DataFrame, side: int) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value")) for b in used])
+        return pixels.select(*place, F.inline(values)).withColumn("side", F.lit(side))
+
+    after = long(second, 2)
+    table = match_table(long(first, 1).unionByName(after), [*tile_keys, "band"], "side", "value")
+    matched = apply_match(after, table, [*tile_keys, "band"], "value")
+    return matched.groupBy(*place).agg(
+        *[F.max(F.when(F.col("band") == b, F.col("matched_value"))).alias(b) for b in used]
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilescope.operators import spectral, tiling
+from tilescope.operators import matching, spectral, tiling
 from tilescope.plans.registry import Data, query, r6
 
 SIZE = 16
@@ -68,6 +68,33 @@ WITH diff AS (
 """
 
 
+@query(
+    "hist_match_bands",
+    """
+WITH px AS (
+  SELECT CAST(floor(y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(x / 16) AS BIGINT) * 16 AS tile_col, y, x, scene_id + 1 AS side,
+    unnest(['b04', 'b03', 'b02']) AS band, CAST(unnest([b04, b03, b02]) AS DOUBLE) AS v FROM raster WHERE scene_id IN (0, 1)
+), tally AS (SELECT tile_row, tile_col, band, side, v, count(*) AS n FROM px GROUP BY ALL
+), curve AS (
+  SELECT *, sum(n) OVER (PARTITION BY tile_row, tile_col, band, side ORDER BY v) / sum(n) OVER (PARTITION BY tile_row, tile_col, band, side) AS q FROM tally
+), joined AS (
+  SELECT s.tile_row, s.tile_col, s.band, s.v, s.q, max(t.v) FILTER (WHERE t.q <= s.q) AS v0, max(t.q) FILTER (WHERE t.q <= s.q) AS q0,
+    min(t.v) FILTER (WHERE t.q >= s.q) AS v1, min(t.q) FILTER (WHERE t.q >= s.q) AS q1
+  FROM curve s JOIN curve t ON s.side = 2 AND t.side = 1 AND s.tile_row = t.tile_row AND s.tile_col = t.tile_col AND s.band = t.band GROUP BY ALL
+), mapped AS (
+  SELECT *, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR q1 = q0 THEN v0 ELSE v0 + (v1 - v0) * (q - q0) / (q1 - q0) END AS m FROM joined
+)
+SELECT y, x, round(max(m) FILTER (WHERE band = 'b04'), 6) AS b04, round(max(m) FILTER (WHERE band = 'b03'), 6) AS b03,
+  round(max(m) FILTER (WHERE band = 'b02'), 6) AS b02
+FROM px JOIN mapped USING (tile_row, tile_col, band, v) WHERE side = 2 GROUP BY y, x""",
+    ("raster",),
+)
+def hist_match_bands(d: Data):
+    placed = tiling.place_in_windows(d.raster, SIZE, SIZE)
+    first, second = (placed.filter(F.col("scene_id") == i) for i in (0, 1))
+    return matching.match_images(first, second, TILE, RGB).select("y", "x", *[r6(b) for b in RGB])
+
+
 @query(
     "pixel_diff",
     DIFF_SQL
