@@ -23,6 +23,9 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return out if rank else out.drop(name)
 
 
+MAX_RANK_BUCKETS = 512  # every row is compared with the borders
+
+
 def with_global_rank(df: DataFrame, order: Sequence[str], rank: str, buckets: int | None = None) -> DataFrame:
     """Number all rows 1..n by `order` (which must be unique) without one big task.
 
@@ -30,7 +33,7 @@ def with_global_rank(df: DataFrame, order: Sequence[str], rank: str, buckets: in
     pure function of the row: a recomputed task gives the same ranks.
     """
     spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(MAX_RANK_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*[F.col(c) for c in order])
     total = df.count()
     share = min(1.0, 200.0 * buckets / max(total, 1))

@@ -46,7 +46,11 @@ def confidence_fallback(drift: Column, calibration: float = config.DRIFT_THRESHO
     return F.least(F.lit(1.0), drift / max(calibration, 1e-6))
 
 
-def change_pair_score(pairs: DataFrame, calibration: float = config.DRIFT_THRESHOLD, max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO) -> DataFrame:
+def change_pair_score(
+    pairs: DataFrame,
+    calibration: float = config.DRIFT_THRESHOLD,
+    max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
+) -> DataFrame:
     """Score tile pairs that carry embedding, cloud and date on both sides.
 
     Suppressed pairs get drift 0, similarity 1, confidence 0 and a reason. The

@@ -183,7 +183,13 @@ def cluster_distribution(labelled: DataFrame, k: int) -> DataFrame:
     return ids.join(counts, "cluster", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def k_sweep(tiles: DataFrame, starts: Model, themes: Sequence[tuple[str, Sequence[float]]], ks: Sequence[int] = (3, 4, 5), max_iter: int = 50) -> DataFrame:
+def k_sweep(
+    tiles: DataFrame,
+    starts: Model,
+    themes: Sequence[tuple[str, Sequence[float]]],
+    ks: Sequence[int] = (3, 4, 5),
+    max_iter: int = 50,
+) -> DataFrame:
     """Number of distinct themes found for each k."""
     out = None
     for k in ks:

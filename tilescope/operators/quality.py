@@ -32,7 +32,9 @@ def grey(bands: Sequence[str]) -> Column:
     return sum(used[1:], used[0]) / len(used)
 
 
-def cloud_ratio(pixels: DataFrame, tile_keys: Sequence[str], level: Column, rules: config.QualityRules = config.QualityRules()) -> DataFrame:
+def cloud_ratio(
+    pixels: DataFrame, tile_keys: Sequence[str], level: Column, rules: config.QualityRules = config.QualityRules()
+) -> DataFrame:
     """Share of very bright or very dark pixels per tile, from unit grey levels."""
     murky = (level >= rules.cloud) | (level <= rules.shadow)
     return pixels.groupBy(*tile_keys).agg(F.avg(murky.cast("double")).alias("cloud_ratio"))
