@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tilescope.llm.jaccard_join import ngram_jaccard_join
 from tilescope.llm.registry import REGISTRY, query, read
+from tilescope.llm.token_counts import token_counts
+from tilescope.llm.topk_search import exact_top_k, grid_weights
 
 
 def all_queries():
@@ -16,3 +18,37 @@ def all_queries():
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, folder, "documents"), width=4, threshold=0.85)
+
+
+def _piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read(spark, folder, "documents"), _piece_model, limit=4096)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op9_exact_top_k", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").select("vec_id", grid_weights(F.col("embedding"), 64).alias("weights"))
+    return exact_top_k(rows, rows.filter("vec_id % 20 = 0"), k=20)
