@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilescope.llm.jaccard_join import ngram_jaccard_join
+from tilescope.llm.mixing import mix_sources, mixing_sql
 from tilescope.llm.registry import REGISTRY, query, read
 from tilescope.llm.token_counts import token_counts
 from tilescope.llm.topk_search import exact_top_k, grid_weights
@@ -52,3 +53,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "embeddings").select("vec_id", grid_weights(F.col("embedding"), 64).alias("weights"))
     return exact_top_k(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
+@query("op7_mix_sources", mixing_sql())
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(read(spark, folder, "documents"))
