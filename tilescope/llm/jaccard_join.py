@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.llm import wordhash
@@ -35,6 +35,7 @@ ORDER_BITS = 22
 BLOCK = 4096
 CLUSTER_SHINGLES = 1 << 20  # a block of a cluster holds about this many n-grams
 FLUSH_ROWS = 2_000_000
+FILTER_BITS = 25  # of the table that keeps sets outside all clusters from being shuffled
 SET_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, part int, counts binary"
 
 
@@ -165,23 +166,65 @@ def _ties(width: int, bits: int, num: int, den: int, levels):
     return run
 
 
-def _with_sets(width: int):
-    """(cluster, i, j, doc_id, set) for rows whose text has the expected signature."""
+def _maybe(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each id is set."""
+    at = (wordhash.mix(ids.astype(np.uint64)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _mark(size: int):
+    """The bits of a task's ids, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
-            for row, values, at in _sets(batch, width):
-                part = batch.slice(row, len(at) - 1)
+            at = wordhash.mix(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(8 * size - 1)
+            at = at.astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = bits.reshape(-1, BLOCK)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield as_batch(
+            {
+                "part": pa.array(some, pa.int32()),
+                "bits": pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _merge_bits(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(BLOCK, np.uint8)
+    for blob in rows["bits"]:
+        total |= np.frombuffer(zlib.decompress(blob), np.uint8)
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [total.tobytes()]})
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that holds every id; others pass by chance, the join drops them."""
+    size = 1 << (FILTER_BITS - 3)
+    parts = ids.mapInArrow(_mark(size), "part int, bits binary")
+    parts = parts.groupBy("part").applyInPandas(_merge_bits, "part int, bits binary")
+    table = np.zeros((size // BLOCK, BLOCK), np.uint8)
+    for part, blob in parts.collect():
+        table[part] = np.frombuffer(blob, np.uint8)
+    return table.reshape(-1)
+
+
+def _sets_of(width: int, wanted):
+    """(doc_id, s1, s2, set) of the texts whose id is in the bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = batch.take(pa.array(np.flatnonzero(_maybe(ids, wanted.value))))
+            for row, values, at in _sets(part, width):
                 s1, s2 = _signatures(values, at)
-                same = (s1 == part.column(2).to_numpy()) & (s2 == part.column(3).to_numpy())
-                take = np.flatnonzero(same)
-                if len(take):
-                    rest = part.take(pa.array(take))
-                    blobs = [values[at[k] : at[k + 1]].tobytes() for k in take]
-                    yield pa.RecordBatch.from_arrays(
-                        [rest.column(0), *rest.columns[4:7], pa.array(blobs, pa.binary())],
-                        ["doc_id", "cluster", "block", "blocks", "shingles"],
-                    )
+                blobs = [values[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).slice(row, len(blobs)), pa.array(s1), pa.array(s2), pa.array(blobs, pa.binary())],
+                    ["doc_id", "s1", "s2", "shingles"],
+                )
 
     return run
 
@@ -299,8 +342,6 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
         level[part] = np.frombuffer(blob, np.uint8)
     levels = spark.sparkContext.broadcast(level.reshape(-1))
 
-    from pyspark.sql import Window
-
     ties = texts.filter("doc_id is not null").mapInArrow(
         _ties(width, ORDER_BITS, num, den, levels), "token long, doc long, other long"
     )
@@ -323,10 +364,13 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
             F.ceil(F.col("weight") / CLUSTER_SHINGLES).cast("int").alias("blocks"),
         )
     ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    with_text = texts.join(members, texts["doc_id"] == members["rep"]).select(
-        "doc_id", "text", "s1", "s2", "cluster", "block", "blocks"
+    wanted = spark.sparkContext.broadcast(_filter_of(members.select("rep")))
+    loaded = (
+        texts.filter("doc_id is not null")
+        .mapInArrow(_sets_of(width, wanted), "doc_id long, s1 long, s2 long, shingles binary")
+        .join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2"])
+        .select("doc_id", "cluster", "block", "blocks", "shingles")
     )
-    loaded = with_text.mapInArrow(_with_sets(width), "doc_id long, cluster long, block int, blocks int, shingles binary")
     against = F.explode(F.expr("sequence(0, blocks - 1)"))
     paired = loaded.withColumn("other", against).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     found = stored(

@@ -10,6 +10,7 @@ from tilescope.llm.mixing import mix_sources, mixing_sql
 from tilescope.llm.registry import REGISTRY, query, read
 from tilescope.llm.token_counts import token_counts
 from tilescope.llm.topk_search import exact_top_k, grid_weights
+from tilescope.llm.url_filter import judge_urls, path_of
 
 
 def all_queries():
@@ -58,3 +59,56 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_mix_sources", mixing_sql())
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(read(spark, folder, "documents"))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, COALESCE(url, '') AS u FROM pages
+), parts AS (
+  SELECT page_id, u,
+    translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), tok AS (
+  SELECT *, list_sort(list_distinct(list_concat(
+    list_transform(regexp_extract_all(host, '[a-z0-9]+'), lambda w: 'h:' || w),
+    list_transform(list_filter(regexp_extract_all(
+      translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'),
+      lambda w: regexp_full_match(w, '[a-z]+')), lambda w: 'p:' || w)))) AS tokens,
+    TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1) AS BIGINT) AS doc
+  FROM parts
+), lab AS (
+  SELECT tokens, max(toxic) = 1 AS bad FROM tok JOIN labels ON labels.doc_id = tok.doc
+  WHERE toxic IS NOT NULL GROUP BY page_id, u, tokens
+), sub AS (
+  SELECT bad, list_filter(tokens, lambda t, i: (m >> (i - 1)) & 1 = 1) AS rule
+  FROM (SELECT bad, tokens, unnest(range(1, 1 << len(tokens))) AS m FROM lab)
+), rules AS (
+  SELECT rule FROM sub GROUP BY rule
+  HAVING sum(CAST(bad AS INT)) >= 6 AND sum(CAST(bad AS INT)) >= 0.7 * count(*)
+), hit AS (
+  SELECT DISTINCT tokens FROM (SELECT DISTINCT tokens FROM tok) s JOIN rules r ON list_has_all(s.tokens, r.rule)
+), given AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM tok
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN hit.tokens IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM given LEFT JOIN hit ON given.tokens = hit.tokens
+"""
+
+
+@query("op3_url_filter", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    # A page's path ends in the id of its document; the document's label is the url's.
+    doc = F.expr(r"try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1) as bigint)")
+    numbered = pages.withColumn("path", path_of(F.col("url"))).withColumn("doc", doc)
+    labels = read(spark, folder, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = numbered.join(labels, numbered["doc"] == labels["doc_id"]).select("url", (F.col("toxic") == 1).alias("bad"))
+    return judge_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
