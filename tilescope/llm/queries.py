@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilescope.llm.jaccard_join import ngram_jaccard_join
+from tilescope.llm.license_scan import scan_licenses, scan_sql
 from tilescope.llm.mixing import mix_sources, mixing_sql
 from tilescope.llm.registry import REGISTRY, query, read
 from tilescope.llm.token_counts import token_counts
@@ -112,3 +113,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = numbered.join(labels, numbered["doc"] == labels["doc_id"]).select("url", (F.col("toxic") == 1).alias("bad"))
     return judge_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_license_scan", scan_sql())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read(spark, folder, "documents")).drop("blocks")

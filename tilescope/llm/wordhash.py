@@ -17,8 +17,11 @@ CHUNK_BYTES = 2 << 20  # texts are hashed in blocks of about this many bytes; a
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words: space and 0x09-0x0D; or all of ASCII but digits and letters.
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _STEPS = [0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5, 0xF7C2EBC08F67F2B5, 0xC6A4A7935BD1E995]
@@ -56,9 +59,9 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, index of each text's first word, one longer than the texts)."""
-    solid = ~_IS_SPACE[data]
+    solid = ~between[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     bounds = offsets[1:-1]
