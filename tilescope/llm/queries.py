@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilescope.llm.common import fold_of
 from tilescope.llm.jaccard_join import ngram_jaccard_join
+from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses, scan_sql
 from tilescope.llm.mixing import mix_sources, mixing_sql
 from tilescope.llm.registry import REGISTRY, query, read
@@ -118,3 +120,16 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scan", scan_sql())
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(read(spark, folder, "documents")).drop("blocks")
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("text").cast("string").alias("text"),
+        "lang",
+    )
+    model = learn_languages(documents.filter("not held_out"))
+    found = identify_languages(documents.drop("lang"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
