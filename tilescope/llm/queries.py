@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilescope.llm.common import fold_of
+from tilescope.llm.decontaminate import contamination_sql, find_contamination
 from tilescope.llm.jaccard_join import ngram_jaccard_join
 from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses, scan_sql
@@ -133,3 +134,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     model = learn_languages(documents.filter("not held_out"))
     found = identify_languages(documents.drop("lang"), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+OP8_SQL = f"""
+WITH {contamination_sql()}
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS first_word, CAST(n AS BIGINT) AS n_words, similarity FROM leaked
+"""
+
+
+@query("op8_decontaminate", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return find_contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("text_key")
