@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilescope.llm.common import fold_of
 from tilescope.llm.decontaminate import contamination_sql, find_contamination
+from tilescope.llm.html_wrapper import extract_main_text
 from tilescope.llm.jaccard_join import ngram_jaccard_join
 from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses, scan_sql
@@ -14,7 +15,7 @@ from tilescope.llm.mixing import mix_sources, mixing_sql
 from tilescope.llm.registry import REGISTRY, query, read
 from tilescope.llm.token_counts import token_counts
 from tilescope.llm.topk_search import exact_top_k, grid_weights
-from tilescope.llm.url_filter import judge_urls, path_of
+from tilescope.llm.url_filter import host_of, judge_urls, path_of
 
 
 def all_queries():
@@ -145,3 +146,9 @@ SELECT doc_id, item_id, CAST(s AS BIGINT) AS first_word, CAST(n AS BIGINT) AS n_
 @query("op8_decontaminate", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("text_key")
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract_main_text(read(spark, folder, "pages"), host_of(F.col("url")))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
