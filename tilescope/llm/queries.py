@@ -12,6 +12,7 @@ from tilescope.llm.jaccard_join import ngram_jaccard_join
 from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses, scan_sql
 from tilescope.llm.mixing import mix_sources, mixing_sql
+from tilescope.llm.ngram_lm import score_texts
 from tilescope.llm.registry import REGISTRY, query, read
 from tilescope.llm.token_counts import token_counts
 from tilescope.llm.topk_search import exact_top_k, grid_weights
@@ -152,3 +153,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = extract_main_text(read(spark, folder, "pages"), host_of(F.col("url")))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_lm_score")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(read(spark, folder, "documents"), fold_of(F.col("doc_id"), 7) == 2)
