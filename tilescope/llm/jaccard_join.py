@@ -5,9 +5,11 @@ similarity of their sets reaches a threshold; the classes are the connected comp
 
 1. One pass counts n-grams in a table of fixed size. It only serves to put n-grams in one global
    order, rare ones first; any order gives the same links.
-2. Two sets that link share one of the first n - ceil(t*n) + 1 n-grams of each. Each task keeps the
-   first document of every such n-gram and ties its other documents to it, so a very common
-   n-gram leaves a task as one row. Ties over all tasks give candidate clusters: no link crosses two.
+2. Two sets that link share e of the first n - ceil(t*n) + e n-grams of each. Documents that share an
+   n-gram of at most SMALL documents are paired, and pairs with e or more such n-grams are tied. The
+   documents of a more common one are all tied to its first; a task does so itself for n-grams it
+   meets often, so a hot n-gram leaves it as a few rows. Ties give candidate clusters: no link
+   crosses two.
 3. Equal sets of a cluster shrink to one. The sets of a cluster are stored in a trie, common n-grams
    first, and the trie is walked once with the overlaps of all sets at a time: a shared path is
    counted once, and a subtree is left as soon as no set can reach the threshold with what remains.
@@ -25,16 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.llm import wordhash
 from tilescope.llm.common import as_batch, components, stored
 
-ORDER_BITS = 22
+ORDER_BITS = 23
 BLOCK = 4096
 CLUSTER_SHINGLES = 1 << 20  # a block of a cluster holds about this many n-grams
 FLUSH_ROWS = 2_000_000
+SMALL = 64
+OFTEN = 16
+MOST_SHARED = 4  # e: a tenth of the set, from 1 to this
 FILTER_BITS = 25  # of the table that keeps sets outside all clusters from being shuffled
 SET_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, part int, counts binary"
 
@@ -93,11 +98,11 @@ def _describe(width: int, bits: int):
 
 
 def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of parts sorted together; a count leaves as four times its binary logarithm."""
+    """Sum the counts of parts sorted together; a count leaves as eight times its binary logarithm."""
     part, total = None, None
 
     def done() -> pa.RecordBatch:
-        level = np.minimum(np.round(4 * np.log2(1 + total.astype(np.float64))), 255).astype(np.uint8)
+        level = np.minimum(np.round(8 * np.log2(1 + total.astype(np.float64))), 255).astype(np.uint8)
         return as_batch({"part": pa.array([part], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
 
     for batch in batches:
@@ -111,35 +116,44 @@ def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done()
 
 
+def _shared(n: np.ndarray) -> np.ndarray:
+    """How many prefix n-grams a pair must share, for either of its sizes."""
+    return np.clip(n // 10, 1, MOST_SHARED)
+
+
 def _prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """n - ceil(num/den * n) + 1 leading n-grams, none of an empty set."""
-    return np.where(n > 0, n + (-num * n) // den + 1, 0)
+    """n - ceil(num/den * n) + e leading n-grams, none of an empty set."""
+    return np.where(n > 0, n + (-num * n) // den + _shared(n), 0)
 
 
-def _ties(width: int, bits: int, num: int, den: int, levels):
-    """Rows (token, doc, other): the first document of each prefix n-gram, and ties of further ones to it."""
+def _prefixes(width: int, bits: int, num: int, den: int, levels):
+    """Rows (token, doc, e, tied): prefix n-grams, and documents tied to the first one of a frequent n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
-            token = np.concatenate([h[0] for h in held])
-            doc = np.concatenate([h[1] for h in held])
+            token, doc, e = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, token))
-            token, doc = token[order], doc[order]
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            leader = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-            tied = np.unique(np.stack([doc[~new], leader[~new]], 1), axis=0)
+            token, doc, e = token[order], doc[order], e[order]
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[start, len(token)])
+            often = np.repeat(size > OFTEN, size)
+            place = np.arange(len(token)) - np.repeat(start, size)
+            rest = often & (place >= OFTEN)  # the first ones stay, so that the n-gram shows as a common one
+            tied = np.unique(np.stack([doc[rest], doc[np.repeat(start, size)][rest]], 1), axis=0)
             tied = tied[tied[:, 0] != tied[:, 1]]
-            scattered = wordhash.mix(tied[:, 0].astype(np.uint64)).view(np.int64)
+            keep = ~rest
+            none = np.zeros(len(tied), np.int32)
             return as_batch(
                 {
-                    "token": np.concatenate([token[new].view(np.int64), scattered]),
-                    "doc": np.concatenate([doc[new], tied[:, 0]]),
-                    "other": np.concatenate([doc[new], tied[:, 1]]),
+                    "token": np.concatenate([token[keep].view(np.int64), wordhash.mix(tied[:, 0].astype(np.uint64)).view(np.int64)]),
+                    "doc": np.concatenate([doc[keep], tied[:, 0]]),
+                    "e": np.concatenate([e[keep].astype(np.int32), none]),
+                    "tied": np.concatenate([np.full(int(keep.sum()), -1), tied[:, 1]]),
+                    "has": np.concatenate([np.zeros(int(keep.sum()), bool), np.ones(len(tied), bool)]),
                 }
             )
 
@@ -155,7 +169,7 @@ def _ties(width: int, bits: int, num: int, den: int, levels):
                 order = np.lexsort((values, level[(values >> np.uint64(64 - bits)).astype(np.int64)], owner))
                 rank = np.arange(len(values)) - at[:-1][owner]
                 keep = rank < _prefix_size(n, num, den)[owner]
-                held.append((values[order][keep], docs[owner[keep]].astype(np.int64)))
+                held.append((values[order][keep], docs[owner[keep]].astype(np.int64), _shared(n)[owner[keep]]))
                 rows += int(keep.sum())
             if rows > FLUSH_ROWS:
                 yield flush()
@@ -166,6 +180,48 @@ def _ties(width: int, bits: int, num: int, den: int, levels):
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, e) from rows sorted by token: pairs of small groups, ties (e = 0) of others to their first document."""
+    carried: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def of_runs(token: np.ndarray, doc: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(token)])
+        out = []
+        for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            first = start[size == m][:, None]
+            x, y = (first + i).ravel(), (first + j).ravel()
+            out.append((doc[x], doc[y], np.minimum(e[x], e[y])))
+        for k in np.flatnonzero(size > SMALL).tolist():
+            other = np.unique(doc[start[k] : start[k] + size[k]])
+            out.append((np.full(len(other), doc[start[k]]), other, np.zeros(len(other), np.int32)))
+        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        keep = a != b
+        a, b, c = a[keep], b[keep], c[keep]
+        return as_batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "e": c.astype(np.int32)})
+
+    for batch in batches:
+        token, doc, e, tied, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        if has.any():
+            yield as_batch(
+                {"a": np.minimum(doc, tied)[has], "b": np.maximum(doc, tied)[has], "e": np.zeros(int(has.sum()), np.int32)}
+            )
+            token, doc, e = token[~has], doc[~has], e[~has]
+        if carried is not None:
+            token, doc, e = (np.concatenate([x, y]) for x, y in zip(carried, (token, doc, e), strict=True))
+        if not len(token):
+            continue
+        last = int(np.searchsorted(token, token[-1]))
+        yield of_runs(token[:last], doc[:last], e[:last])
+        carried = token[last:], doc[last:], e[last:]
+        if len(carried[0]) > 4 * SMALL:  # a common one: tie what is there, go on with its first document
+            yield of_runs(*carried)
+            carried = tuple(np.repeat(x[:1], SMALL + 1) for x in carried)
+    if carried is not None:
+        yield of_runs(*carried)
+
+
 def _maybe(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether the bit of each id is set."""
     at = (wordhash.mix(ids.astype(np.uint64)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
@@ -342,12 +398,12 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
         level[part] = np.frombuffer(blob, np.uint8)
     levels = spark.sparkContext.broadcast(level.reshape(-1))
 
-    ties = texts.filter("doc_id is not null").mapInArrow(
-        _ties(width, ORDER_BITS, num, den, levels), "token long, doc long, other long"
+    prefixes = texts.filter("doc_id is not null").mapInArrow(
+        _prefixes(width, ORDER_BITS, num, den, levels), "token long, doc long, e int, tied long, has boolean"
     )
-    ties = ties.withColumn("least", F.min("other").over(Window.partitionBy("token")))
-    edges = ties.select("doc", F.when(F.col("other") != F.col("doc"), F.col("other")).otherwise(F.col("least")).alias("to"))
-    tied = components(edges.filter("doc != to"), "doc", "to")
+    pairs = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs, "a long, b long, e int")
+    edges = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("e").alias("e")).filter("shared >= e")
+    tied = components(edges, "a", "b")
     clusters = tied.select("node", "component").unionByName(
         tied.select(F.col("component").alias("node"), "component").distinct()
     )
