@@ -127,7 +127,7 @@ def _prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _prefixes(width: int, bits: int, num: int, den: int, levels):
-    """Rows (token, doc, e, tied): prefix n-grams, and documents tied to the first one of a frequent n-gram."""
+    """Rows (token, doc, n, tied): prefix n-grams, and documents tied to the first one of a frequent n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -135,9 +135,9 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
         rows, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
-            token, doc, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((doc, token))
-            token, doc, e = token[order], doc[order], e[order]
+            token, doc, n = token[order], doc[order], n[order]
             start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[start, len(token)])
             often = np.repeat(size > OFTEN, size)
@@ -151,7 +151,7 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
                 {
                     "token": np.concatenate([token[keep].view(np.int64), wordhash.mix(tied[:, 0].astype(np.uint64)).view(np.int64)]),
                     "doc": np.concatenate([doc[keep], tied[:, 0]]),
-                    "e": np.concatenate([e[keep].astype(np.int32), none]),
+                    "n": np.concatenate([n[keep].astype(np.int32), none]),
                     "tied": np.concatenate([np.full(int(keep.sum()), -1), tied[:, 1]]),
                     "has": np.concatenate([np.zeros(int(keep.sum()), bool), np.ones(len(tied), bool)]),
                 }
@@ -169,7 +169,7 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
                 order = np.lexsort((values, level[(values >> np.uint64(64 - bits)).astype(np.int64)], owner))
                 rank = np.arange(len(values)) - at[:-1][owner]
                 keep = rank < _prefix_size(n, num, den)[owner]
-                held.append((values[order][keep], docs[owner[keep]].astype(np.int64), _shared(n)[owner[keep]]))
+                held.append((values[order][keep], docs[owner[keep]].astype(np.int64), n[owner[keep]]))
                 rows += int(keep.sum())
             if rows > FLUSH_ROWS:
                 yield flush()
@@ -180,11 +180,10 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(num: int, den: int):
     """Rows (a, b, e) from rows sorted by token: pairs of small groups, ties (e = 0) of others to their first document."""
-    carried: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def of_runs(token: np.ndarray, doc: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    def of_runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(token)])
         out = []
@@ -192,7 +191,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.triu_indices(m, 1)
             first = start[size == m][:, None]
             x, y = (first + i).ravel(), (first + j).ravel()
-            out.append((doc[x], doc[y], np.minimum(e[x], e[y])))
+            fits = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])  # else their sizes alone differ too much
+            x, y = x[fits], y[fits]
+            out.append((doc[x], doc[y], np.minimum(_shared(n[x]), _shared(n[y]))))
         for k in np.flatnonzero(size > SMALL).tolist():
             other = np.unique(doc[start[k] : start[k] + size[k]])
             out.append((np.full(len(other), doc[start[k]]), other, np.zeros(len(other), np.int32)))
@@ -201,25 +202,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c = a[keep], b[keep], c[keep]
         return as_batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "e": c.astype(np.int32)})
 
-    for batch in batches:
-        token, doc, e, tied, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        if has.any():
-            yield as_batch(
-                {"a": np.minimum(doc, tied)[has], "b": np.maximum(doc, tied)[has], "e": np.zeros(int(has.sum()), np.int32)}
-            )
-            token, doc, e = token[~has], doc[~has], e[~has]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            token, doc, n, tied, has = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            if has.any():
+                yield as_batch(
+                    {"a": np.minimum(doc, tied)[has], "b": np.maximum(doc, tied)[has], "e": np.zeros(int(has.sum()), np.int32)}
+                )
+                token, doc, n = token[~has], doc[~has], n[~has]
+            if carried is not None:
+                token, doc, n = (np.concatenate([x, y]) for x, y in zip(carried, (token, doc, n), strict=True))
+            if not len(token):
+                continue
+            last = int(np.searchsorted(token, token[-1]))
+            yield of_runs(token[:last], doc[:last], n[:last])
+            carried = token[last:], doc[last:], n[last:]
+            if len(carried[0]) > 4 * SMALL:  # a common one: tie what is there, go on with its first document
+                yield of_runs(*carried)
+                carried = tuple(np.repeat(x[:1], SMALL + 1) for x in carried)
         if carried is not None:
-            token, doc, e = (np.concatenate([x, y]) for x, y in zip(carried, (token, doc, e), strict=True))
-        if not len(token):
-            continue
-        last = int(np.searchsorted(token, token[-1]))
-        yield of_runs(token[:last], doc[:last], e[:last])
-        carried = token[last:], doc[last:], e[last:]
-        if len(carried[0]) > 4 * SMALL:  # a common one: tie what is there, go on with its first document
             yield of_runs(*carried)
-            carried = tuple(np.repeat(x[:1], SMALL + 1) for x in carried)
-    if carried is not None:
-        yield of_runs(*carried)
+
+    return run
 
 
 def _maybe(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -267,20 +272,13 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def _sets_of(width: int, wanted):
-    """(doc_id, s1, s2, set) of the texts whose id is in the bit table."""
+def _wanted(wanted):
+    """The texts (doc_id, text) whose id is in the bit table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = batch.take(pa.array(np.flatnonzero(_maybe(ids, wanted.value))))
-            for row, values, at in _sets(part, width):
-                s1, s2 = _signatures(values, at)
-                blobs = [values[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(row, len(blobs)), pa.array(s1), pa.array(s2), pa.array(blobs, pa.binary())],
-                    ["doc_id", "s1", "s2", "shingles"],
-                )
+            yield batch.take(pa.array(np.flatnonzero(_maybe(ids, wanted.value))))
 
     return run
 
@@ -348,14 +346,21 @@ def trie_links(probes: list[np.ndarray], stored_sets: list[np.ndarray], num: int
             k = stop
 
 
-def _cluster_links(num: int, den: int):
+def _cluster_links(width: int, num: int, den: int):
     """Links of one pair of blocks of a cluster: (doc_id, smallest linked in reach, number of links)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("doc_id")
         first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
-        docs, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+        texts = pa.RecordBatch.from_arrays([pa.nulls(len(rows)), pa.array(rows["text"], pa.string())], ["doc_id", "text"])
+        sets, same = [], []
+        for _, values, at in _sets(texts, width):
+            sets += [values[at[k] : at[k + 1]] for k in range(len(at) - 1)]
+            same.append(np.stack(_signatures(values, at)))
+        # An id may have several texts, and rows may repeat: the one text whose set was meant stays.
+        meant = (np.concatenate(same, axis=1) == rows[["s1", "s2"]].to_numpy().T).all(axis=0)
+        meant &= ~rows["doc_id"].where(meant, -1 - np.arange(len(rows))).duplicated().to_numpy()
+        sets = [s for s, keep in zip(sets, meant, strict=True) if keep]
+        docs, block = rows["doc_id"].to_numpy()[meant], rows["block"].to_numpy()[meant]
         left = np.flatnonzero(block == first)
         right = left if first == second else np.flatnonzero(block == second)
         label, links = docs.copy(), np.zeros(len(docs), np.int64)
@@ -399,9 +404,9 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
     levels = spark.sparkContext.broadcast(level.reshape(-1))
 
     prefixes = texts.filter("doc_id is not null").mapInArrow(
-        _prefixes(width, ORDER_BITS, num, den, levels), "token long, doc long, e int, tied long, has boolean"
+        _prefixes(width, ORDER_BITS, num, den, levels), "token long, doc long, n int, tied long, has boolean"
     )
-    pairs = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs, "a long, b long, e int")
+    pairs = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs(num, den), "a long, b long, e int")
     edges = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("e").alias("e")).filter("shared >= e")
     tied = components(edges, "a", "b")
     clusters = tied.select("node", "component").unionByName(
@@ -423,14 +428,15 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
     wanted = spark.sparkContext.broadcast(_filter_of(members.select("rep")))
     loaded = (
         texts.filter("doc_id is not null")
-        .mapInArrow(_sets_of(width, wanted), "doc_id long, s1 long, s2 long, shingles binary")
-        .join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2"])
-        .select("doc_id", "cluster", "block", "blocks", "shingles")
+        .mapInArrow(_wanted(wanted), "doc_id long, text string")
+        .join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
     )
     against = F.explode(F.expr("sequence(0, blocks - 1)"))
     paired = loaded.withColumn("other", against).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     found = stored(
-        paired.groupBy("cluster", "i", "j").applyInPandas(_cluster_links(num, den), "doc_id long, label long, links long")
+        paired.groupBy("cluster", "i", "j").applyInPandas(
+            _cluster_links(width, num, den), "doc_id long, label long, links long"
+        )
     )
     roots = components(found.filter("doc_id != label"), "doc_id", "label")
     linked = found.groupBy("doc_id").agg(F.sum("links").alias("n_links")).withColumnRenamed("doc_id", "linked")
