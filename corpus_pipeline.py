@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilescope.llm.common import fold_of, shared_folder
+from tilescope.llm.common import fold_of, shared_folder, stored
 from tilescope.llm.decontaminate import drop_contaminated
 from tilescope.llm.jaccard_join import ngram_jaccard_join
 from tilescope.llm.language_id import UNKNOWN, identify_languages, learn_languages
@@ -35,14 +35,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_jaccard_join(docs, width=5, threshold=0.8)
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    # Rows that repeat an id: the smallest stays, all of them if the id is null.
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
+    classes = stored(ngram_jaccard_join(docs, width=5, threshold=0.8))
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    # Rows that repeat an id: the smallest stays. Rows without an id all stay.
+    ids = docs.select(F.col("doc_id").cast("long").alias("_gone")).filter("_gone is not null")
+    again = stored(ids.groupBy("_gone").agg(F.count("*").alias("n")).filter("n > 1").select("_gone"))
+    out = stored(gone.unionByName(again).distinct())
+    same = F.col("doc_id").cast("long") == F.col("_gone")
+    once = docs.join(out, same, "left_anti")
     order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
-    first = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    first = docs.join(again.join(gone, "_gone", "left_anti"), same, "left_semi")
+    first = first.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
     return once.unionByName(first).select(*docs.columns)
 
 

@@ -237,7 +237,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts
 def _ask(shards: int):
     def run(rows: pa.Table) -> pa.Table:
         chunk = rows["chunk"][0].as_py()
-        held = rows["held_out"].to_numpy()
+        held = rows["held_out"].to_numpy().astype(bool)
         asked = [(chunk, *x) for x in _Chunk(rows["text"], held, shards).askings()]
         kinds = [pa.int32()] * 2 + [pa.binary()] * 6
         names = [c.split()[0] for c in ASKED.split(", ")]
@@ -287,7 +287,7 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 def _score(shards: int, n: int, v: int, starts: int, weight: float):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        held = texts["held_out"].to_numpy()
+        held = texts["held_out"].to_numpy().astype(bool)
         chunk = _Chunk(texts["text"], held, shards)
         answers = answers.sort_by("shard")
         counts = [_read_numbers(x) for x in answers["word_counts"].to_pylist()]
@@ -341,12 +341,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_texts(documents: DataFrame, held_out: Column, weight: float = WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents(doc_id, text).
 
-    The model learns from the rows where held_out is false. base_score is that of single words alone,
+    The model learns from the rows where held_out is false or null. base_score is that of single words alone,
     with log10((c + 1) / (N + V + 1)) per token.
     """
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        held_out.alias("held_out"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     learned = rows.filter("not held_out").select("text").mapInArrow(_tally, "word long, n long")
