@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilescope.config import ChangeRules
 from tilescope.functions import geodesy, identity, vectors
-from tilescope.functions.ranking import exact_quantile, top_per_key, with_global_rank
+from tilescope.functions.ranking import exact_quantile, join_small, top_per_key, with_global_rank
 from tilescope.operators import change, hotspots, ledger, review, search, tiling
 from tilescope.sources.stores import VersionedTable, read_rasters
 
@@ -41,7 +41,7 @@ def test_utm_sample_and_round_trip(spark):
 
 
 def test_unknown_projection_is_an_error(spark):
-    rows = spark.createDataFrame([([0.0, 0.0, 1.0, 1.0], "EPSG:3857")], "bounds array<double>, crs string")
+    rows = spark.createDataFrame([([0.0, 0.0, 1.0, 1.0], "EPSG:2154")], "bounds array<double>, crs string")
     with pytest.raises(Exception, match="no projection"):
         geodesy.add_center_wgs84(rows).collect()
 
@@ -290,6 +290,59 @@ def test_versions_never_overwrite_what_is_read(spark):
     assert store.read().count() == 5 and store.read(0).count() == 3
 
 
+def test_uncommitted_and_taken_versions(spark):
+    store = VersionedTable(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t")
+    store.write(spark.range(3))
+    spark.range(9).write.parquet(f"{store.folder}/data/left-by-a-failed-writer")
+    assert store.versions() == [0] and store.read().count() == 3
+    with pytest.raises(ValueError):
+        store.write(spark.range(1), version=0)
+    assert store.read().count() == 3
+
+
+def test_global_rank_with_nulls(spark):
+    rows = spark.createDataFrame([(None,), ("b",), ("a",), ("c",)], "k string").repartition(3)
+    ranked = {r.k: r.n for r in with_global_rank(rows, ["k"], "n").collect()}
+    assert ranked == {None: 1, "a": 2, "b": 3, "c": 4}
+
+
+def test_quantile_slices_stay_small(spark):
+    """What the last window holds does not grow with the distinct values of a bracket."""
+    rows = spark.range(300_000).select((F.xxhash64("id") % 10**9).cast("double").alias("v"))
+    got = exact_quantile(rows, [], "v", lambda n: (n - 1) * 0.85, "q").first()
+    values = np.sort(rows.toPandas()["v"].to_numpy())
+    assert got.n_values == 300_000 and abs(got.q - np.quantile(values, 0.85)) < 1e-6
+
+
+def test_join_small_in_both_ways(spark):
+    big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        sent = sorted(join_small(big, small, ["k"]).collect())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = join_small(big, small, ["k"])
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(joined.collect()) == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_zones_and_mercator(spark):
+    rows = spark.createDataFrame([([0.0, 0.0, 111319.490793, 0.0], "EPSG:3857")], "bounds array<double>, crs string")
+    got = geodesy.add_center_wgs84(rows).first()
+    assert abs(got.lng - 0.5) < 1e-6 and abs(got.lat) < 1e-9
+    with pytest.raises(Exception, match="no projection"):
+        geodesy.add_center_wgs84(rows.withColumn("crs", F.lit("EPSG:32661"))).collect()
+
+
+def test_scene_pairs_by_order(spark):
+    scenes = spark.createDataFrame([(10, "s", "c", 1, 1, [1.0]), (20, "s", "c", 1, 1, [1.0]), (15, "t", "c", 1, 1, [1.0])],
+                                   "scene_id int, site string, crs string, width int, height int, affine array<double>")
+    got = tiling.pair_readiness(scenes).collect()
+    assert [(r.scene_id_a, r.scene_id_b, r.ready) for r in got] == [(10, 20, True)]
+
+
 def test_aoi_window_is_clamped(spark):
     scenes = spark.createDataFrame([(1, 100, 100, [10.0, 0.0, 0.0, 0.0, -10.0, 1000.0])], "scene_id int, width int, height int, affine array<double>")
     for x, y, want in ((500.0, 500.0, (40, 40)), (0.0, 1000.0, (0, 0)), (999.0, 1.0, (80, 80))):

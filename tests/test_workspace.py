@@ -53,6 +53,15 @@ def test_end_to_end(spark, work):
     assert mirrored[0].status == "CONFIRMED" and mirrored[0].remarks == "Analyst triage decision: Accepted"
     assert mirrored[1].status == "PENDING"
 
+    # A third run of detection leaves the analyst's word, and candidates carry boxes and paths.
+    work.detect(DATES, rules=ChangeRules(drift_threshold=0.05), enqueue=False)
+    kept = work.ledger().filter(F.col("id") == chosen).first()
+    assert kept.status == "Accepted" and kept.before_image_path == chosen.split("__")[0]
+    assert work.queue().filter("bbox_json IS NULL").count() == 0
+
+    chip = [0.5] * (SIZE * SIZE * 3)
+    assert work.search_image(chip, BandHistogramEmbedder(3), 2).count() == 2
+
     # A decided tile that is ingested again keeps its status and its created_at.
     tile = "s1_r0_c0_2024-05-15"
     work.decide(spark.createDataFrame([(tile, "reject")], "id string, new_status string"))
@@ -81,6 +90,8 @@ def test_export_and_discovery(spark, work):
     work.export(work.provenance(none, *DATES), folder)
     lines = spark.read.json(folder)
     assert lines.count() == work.queue().count()
+    steps = lines.select("processing_steps.*").first()
+    assert steps["histogram_matching_applied"] is None and steps["openclip_model_version"] is None
     assert {r[0] for r in lines.select("metrics_and_classification.exact_7_features.days_between").collect()} == {128}
 
     vectors = [list(r.embedding) for r in work.points().orderBy("tile_id").limit(4).collect()]
@@ -116,6 +127,22 @@ def test_stream_equals_batch(spark):
     assert len(store.versions()) == 3
 
 
+def test_stream_after_batch_writes(spark):
+    """Versions written before stay, the stream's rows are added, and a batch counts once."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    store = VersionedTable(spark, folder + "/t")
+    store.write(spark.range(2))
+    store.update(lambda old: old.unionByName(spark.range(2, 4)))
+    source = folder + "/in"
+    spark.range(10, 13).write.parquet(source)
+    stream = spark.readStream.schema("id long").parquet(source)
+    merge = lambda stored, batch: batch if stored is None else stored.unionByName(batch)
+    feeds.stream_into(stream, store, merge, folder + "/marks").awaitTermination()
+    assert store.versions() == [0, 1, 2] and store.read(0).count() == 2
+    assert sorted(r.id for r in store.read().collect()) == [0, 1, 2, 3, 10, 11, 12]
+    assert store.has_batch(folder + "/marks", 0) and not store.has_batch("other", 0)
+
+
 def test_audit_stream_is_idempotent(spark):
     feed = tables.view(spark, ROOT, "audit_changes")
     cut = F.lit("2024-01-15").cast("timestamp_ntz")

@@ -133,22 +133,32 @@ def degrees_to_utm(lat: Column, lng: Column, epsg: Column) -> tuple[Column, Colu
 def add_center_wgs84(
     df: DataFrame, bounds: str = "bounds", crs: str = "crs", lat: str = "lat", lng: str = "lng"
 ) -> DataFrame:
-    """Add the centre of a bbox in degrees. (0, 0) without bounds; an unknown CRS is an error."""
+    """Add the centre of a bbox in degrees. (0, 0) without bounds; a CRS other than degrees, UTM and 3857 is an error."""
     x, y = bbox_center(F.col(bounds))
     code = F.upper(F.trim(F.col(crs)))
-    epsg = F.regexp_extract(code, r"^EPSG:(32[67]\d\d)$", 1).try_cast("int")
+    epsg = F.regexp_extract(code, r"^EPSG:(32[67](?:0[1-9]|[1-5]\d|60))$", 1).try_cast("int")
     out = df.withColumn("__spot", utm_to_degrees(x, y, epsg))
     planar = F.col(crs).isNull() | (code == "") | (code == "EPSG:4326")
     missing = F.col(bounds).isNull() | (F.size(bounds) != 4)
     unknown = F.raise_error(F.concat(F.lit("no projection for "), F.col(crs))).cast("double")
 
-    def pick(projected: Column, plain: Column) -> Column:
+    web = code == "EPSG:3857"
+    radius = F.lit(6378137.0)
+
+    def pick(projected: Column, mercator: Column, plain: Column) -> Column:
         return (
-            F.when(missing, F.lit(0.0)).when(planar, plain).when(epsg.isNotNull(), projected).otherwise(unknown)
+            F.when(missing, F.lit(0.0))
+            .when(planar, plain)
+            .when(web, mercator)
+            .when(epsg.isNotNull(), projected)
+            .otherwise(unknown)
         )
 
     spot = F.col("__spot")
-    return out.withColumns({lat: pick(spot["lat"], y), lng: pick(spot["lng"], x)}).drop("__spot")
+    web_lat = F.degrees(2 * F.atan(F.exp(y / radius)) - F.pi() / 2)
+    return out.withColumns(
+        {lat: pick(spot["lat"], web_lat, y), lng: pick(spot["lng"], F.degrees(x / radius), x)}
+    ).drop("__spot")
 
 
 def grid_geolocate(tile_id: Column, extent: SceneExtent) -> Column:

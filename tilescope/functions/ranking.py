@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilescope.session import checkpointed
+from tilescope.session import checkpointed, written
+
+SLICES = 512  # of the values left in a bracket: a window holds about n / 512 / 128 distinct values
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
@@ -23,64 +25,38 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return out if rank else out.drop(name)
 
 
-MAX_RANK_BUCKETS = 512  # every row is compared with the borders
-
-
-def with_global_rank(df: DataFrame, order: Sequence[str], rank: str, buckets: int | None = None) -> DataFrame:
-    """Number all rows 1..n by `order` (which must be unique) without one big task.
+def with_global_rank(df: DataFrame, order: Sequence[str], rank: str) -> DataFrame:
+    """Number all rows 1..n by `order` (which must be unique) without one big task; nulls come first.
 
-    Bucket borders are sampled once and then fixed as literals, so a bucket is a
-    pure function of the row: a recomputed task gives the same ranks.
+    Rows are dealt out by ranges of the order and written once, so that a lost
+    task reads the same rows again. A row's number is its place in its partition
+    plus the sizes of the partitions before it.
     """
-    spark = df.sparkSession
-    buckets = buckets or min(MAX_RANK_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.struct(*[F.col(c) for c in order])
-    total = df.count()
-    share = min(1.0, 200.0 * buckets / max(total, 1))
-    sample = df.select(*order)
-    if share < 1.0:
-        sample = sample.sample(share, seed=42)
-    picked = sorted(tuple(row) for row in sample.limit(400 * buckets).collect())
-    borders = sorted({picked[i * len(picked) // buckets] for i in range(1, buckets)} if picked else set())
-
-    if borders:
-        schema = df.select(*order).schema
-        literals = [
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(border, schema.fields)])
-            for border in borders
-        ]
-        bucket = F.size(F.filter(F.array(*literals), lambda b: b <= key))
-    else:
-        bucket = F.lit(0)
-    marked = df.withColumn("__bucket", bucket)
-    sizes = marked.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(
-        "__bucket",
-        # One row per bucket: a bounded table, so an unpartitioned window is safe here.
-        (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__offset"),
-    )
-    window = Window.partitionBy("__bucket").orderBy(*order)
-    ranked = marked.withColumn("__local", F.row_number().over(window))
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    dealt = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    # The number given here is the partition's, shifted by 33 bits, plus the row's place in it.
+    placed = dealt.withColumn("__at", F.monotonically_increasing_id())
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = placed.withColumn("__part", part)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # One row per partition: a bounded table, so an unpartitioned window is safe here.
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    offsets = sizes.select("__part", before.alias("__offset"))
     return (
-        ranked.join(F.broadcast(offsets), "__bucket")  # at most `buckets` rows
-        .withColumn(rank, (F.col("__local") + F.col("__offset")).cast("long"))
-        .drop("__bucket", "__local", "__offset")
+        placed.join(F.broadcast(offsets), "__part")
+        .withColumn(rank, (place + F.col("__offset") + 1).cast("long"))
+        .drop("__at", "__part", "__offset")
     )
 
 
-MAX_BROADCAST_ROWS = 200_000
-
-
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a per-key table that is usually small without shuffling the big side.
+    """Join a per-key table that is usually small.
 
-    The small side is written and counted first. Within the limit it is
-    broadcast; beyond it the join is left to the optimizer, which splits skewed
-    partitions.
+    The small side is written first, so the optimizer knows its bytes: it is
+    broadcast below spark.sql.autoBroadcastJoinThreshold, else both sides are
+    shuffled and skewed partitions split.
     """
-    kept = checkpointed(small)
-    side = F.broadcast(kept) if kept.count() <= MAX_BROADCAST_ROWS else kept
-    return big.join(side, list(keys))
+    return big.join(written(small), list(keys))
 
 
 def exact_quantile(
@@ -97,7 +73,8 @@ def exact_quantile(
     values. Groups may be unbounded, so nothing sorts a whole group: a first
     pass brackets the place with approximate quantiles whose rank error is
     bounded, a second pass counts what lies below the bracket and tallies the
-    few distinct values inside it.
+    distinct values inside it. The bracket is cut into slices in turn, and only
+    the slices that hold the places are ordered.
     """
     keys = list(keys)
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
@@ -127,16 +104,37 @@ def exact_quantile(
         .groupBy(*carried, "__x")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    # Null (everything below the bracket) sorts first and seeds the running count.
-    upto = Window.partitionBy(*keys).orderBy(F.col("__x").asc_nulls_first())
-    running = counted.withColumn("__upto", F.sum("__c").over(upto)).withColumn("__from", F.col("__upto") - F.col("__c"))
+    # The distinct values of a bracket are dealt into slices by range, so that none of the windows
+    # below holds more than a slice: totals of the slices first, then values inside the one slice
+    # (or the two) that hold the places asked for. Null (everything below the bracket) comes first.
+    counted = written(counted)
+    edges = counted.filter("__x IS NOT NULL").groupBy(*keys).agg(
+        F.percentile_approx("__x", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), accuracy).alias("__edges")
+    )
+    if keys:
+        sliced = counted.join(edges.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__edges"),
+                              [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left").drop(*[f"__k_{k}" for k in keys])
+    else:
+        sliced = counted.withColumn("__edges", edges.select("__edges").scalar())
+    below = F.size(F.filter("__edges", lambda e: e < F.col("__x")))
+    sliced = sliced.withColumn("__slice", F.when(F.col("__x").isNull(), -1).otherwise(F.coalesce(below, F.lit(0)))).drop("__edges")
+    sums = sliced.groupBy(*carried, "__slice").agg(F.sum("__c").alias("__sum"))
+    running = sums.withColumn("__end", F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__slice")))
     lower = F.floor("__pos")
     upper = F.least(lower + 1, F.col("__n") - 1)
+    start = F.col("__end") - F.col("__sum")
+    needed = running.withColumn("__start", start).filter((F.col("__end") > lower) & (F.col("__start") <= upper))
+    needed = needed.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__k_slice"), "__start")
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__slice") == F.col("__k_slice")]
+    inside = sliced.join(needed, same)
+    upto = Window.partitionBy(*keys, "__slice").orderBy(F.col("__x").asc_nulls_first())
+    inside = inside.withColumn("__upto", F.sum("__c").over(upto) + F.col("__start"))
+    inside = inside.withColumn("__from", F.col("__upto") - F.col("__c"))
 
     def value_at(place: Column) -> Column:
         return F.max(F.when((F.col("__from") <= place) & (place < F.col("__upto")), F.col("__x")))
 
-    found = running.groupBy(*carried).agg(value_at(lower).alias("__a"), value_at(upper).alias("__b"))
+    found = inside.groupBy(*carried).agg(value_at(lower).alias("__a"), value_at(upper).alias("__b"))
     exact = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__pos") - lower)
     checked = F.when(
         F.col("__a").isNull() | F.col("__b").isNull(),

@@ -67,7 +67,7 @@ def model_matrix(rows: Sequence[Sequence[float]]) -> np.ndarray:
     if matrix.ndim != 2 or matrix.size == 0:
         raise ValueError("expected a non-empty list of vectors of one length")
     if matrix.size > MAX_MODEL_VALUES:
-        raise ValueError(f"{matrix.size} values are too many to ship to every task; join tables instead")
+        raise ValueError(f"{matrix.size} values are too many to ship to every task; use search.knn_table")
     return matrix
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,39 +52,60 @@ def change_pair_score(
     pairs: DataFrame,
     calibration: float = config.DRIFT_THRESHOLD,
     max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
+    model: PipelineModel | None = None,
 ) -> DataFrame:
     """Score tile pairs that carry embedding, cloud and date on both sides.
 
+    With a column matched_t2 (the second image's vector after its histograms
+    were matched to the first) drift and similarity are taken from it, where it
+    is there, and raw_drift from the stored vectors. With a forest the
+    confidence is its probability of real change, else a ratio of the drift.
     Suppressed pairs get drift 0, similarity 1, confidence 0 and a reason. The
     vectors are consumed here and leave the plan.
     """
+    matched = "matched_t2" in pairs.columns
+    second = F.coalesce("matched_t2", "embedding_t2") if matched else F.col("embedding_t2")
     reason = suppression_reason(F.col("cloud_t1"), F.col("cloud_t2"), max_ratio)
     days, month_t1, month_t2 = identity.date_features(F.col("date_t1"), F.col("date_t2"))
     scored = (
         pairs.withColumn("reason", reason)
         .withColumn("suppressed", F.col("reason").isNotNull())
         .withColumn("dot", vectors.dot(F.col("embedding_t1"), F.col("embedding_t2")))
-        .withColumn("cos", vectors.cosine(F.col("embedding_t1"), F.col("embedding_t2"), F.col("dot")))
+        .withColumn("cos", vectors.cosine(F.col("embedding_t1"), second, None if matched else F.col("dot")))
         .withColumn("raw_drift", vectors.drift(F.col("dot")))
-        .drop("embedding_t1", "embedding_t2", "dot")
+        .drop("embedding_t1", "embedding_t2", "matched_t2", "dot")
     )
-    return (
+    rated = (
         scored.withColumn("similarity", F.when(F.col("suppressed"), F.lit(1.0)).otherwise(F.col("cos")))
         .withColumn("drift", F.when(F.col("suppressed"), F.lit(0.0)).otherwise(vectors.drift(F.col("cos"))))
-        .withColumn(
-            "confidence",
-            F.when(F.col("suppressed"), F.lit(0.0)).otherwise(confidence_fallback(F.col("drift"), calibration)),
-        )
         .withColumn("days_between", days)
         .withColumn("month_t1", month_t1)
         .withColumn("month_t2", month_t2)
         .drop("cos")
     )
-
-
-def confidence_factors(scored: DataFrame, classifier: str = config.FALLBACK_LABEL, grid: str = "10m CRS Pixel Grid") -> Column:
-    """The seven classifier inputs and their labels as one struct."""
-    return F.struct(
+    if model is None:
+        sure = confidence_fallback(F.col("drift"), calibration)
+    else:
+        # A forest takes no nulls: a pair with an unmeasured input falls back too.
+        known = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in config.CHANGE_FEATURES]
+        rest = [c for c in rated.columns if c not in config.CHANGE_FEATURES]
+        kept = F.struct(*config.CHANGE_FEATURES).alias("__in")
+        whole = model.transform(rated.select(*rest, *known, kept))
+        rated = whole.withColumn("__p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        rated = rated.withColumns({c: F.col(f"__in.{c}") for c in config.CHANGE_FEATURES})
+        missing = F.exists(F.array(*[F.col(c).cast("double") for c in config.CHANGE_FEATURES]), lambda x: x.isNull())
+        sure = F.when(missing, confidence_fallback(F.col("drift"), calibration)).otherwise(F.col("__p"))
+    return rated.withColumn("confidence", F.when(F.col("suppressed"), F.lit(0.0)).otherwise(sure)).drop("__p", "__in")
+
+
+def confidence_factors(
+    scored: DataFrame, classifier: str = config.FALLBACK_LABEL, grid: str | None = None, radiometric: str | None = None
+) -> Column:
+    """The seven classifier inputs and their labels as one struct; null for suppressed pairs.
+
+    `grid` and `radiometric` say how the images were aligned and matched, null if nobody knows.
+    """
+    factors = F.struct(
         F.round("drift", 4).alias("drift"),
         F.round("similarity", 4).alias("similarity"),
         F.round("cloud_t1", 4).alias("cloud_contamination_ratio_t1"),
@@ -90,10 +113,11 @@ def confidence_factors(scored: DataFrame, classifier: str = config.FALLBACK_LABE
         F.col("days_between"),
         F.col("month_t1"),
         F.col("month_t2"),
-        F.lit(config.RADIOMETRIC_LABEL).alias("radiometric_normalization"),
-        F.lit(grid).alias("spatial_alignment"),
+        F.lit(radiometric).cast("string").alias("radiometric_normalization"),
+        F.lit(grid).cast("string").alias("spatial_alignment"),
         F.lit(classifier).alias("rf_model"),
     )
+    return F.when(~F.col("suppressed"), factors) if "suppressed" in scored.columns else factors
 
 
 def dated_cells(tiles: DataFrame, dates: Sequence[str], sensor: str | None = None) -> DataFrame:
@@ -126,11 +150,26 @@ def scene_interval_pairs(cells: DataFrame, carry: Sequence[str]) -> DataFrame:
 CARRY = ["embedding", "cloud", "date"]
 
 
+def with_matched(pairs: DataFrame, matched: DataFrame | None) -> DataFrame:
+    """Pairs with the second image's matched vector, where there is one."""
+    if matched is None:
+        return pairs
+    return pairs.join(matched.select("t1_tile_id", "t2_tile_id", "matched_t2"), ["t1_tile_id", "t2_tile_id"], "left")
+
+
 def pairwise_intervals(
-    cells: DataFrame, rules: ChangeRules = ChangeRules(), max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO
+    cells: DataFrame,
+    rules: ChangeRules = ChangeRules(),
+    max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
+    model: PipelineModel | None = None,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored consecutive intervals of every cell with the threshold test."""
-    scored = change_pair_score(scene_interval_pairs(cells, CARRY), rules.calibration, max_ratio)
+    """Scored consecutive intervals of every cell with the threshold test.
+
+    `matched` is (t1_tile_id, t2_tile_id, matched_t2), see change_pair_score.
+    """
+    pairs = with_matched(scene_interval_pairs(cells, CARRY), matched)
+    scored = change_pair_score(pairs, rules.calibration, max_ratio, model)
     crossed = ~F.col("suppressed") & (F.round("confidence", 4) >= rules.confidence_threshold)
     return scored.withColumn("threshold_crossed", crossed)
 
@@ -142,6 +181,8 @@ def cell_history(
     rules: ChangeRules = ChangeRules(),
     max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
     need_ends: bool = False,
+    model: PipelineModel | None = None,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
     """Per cell: intervals, earliest change date, and the first-to-last pair.
 
@@ -177,7 +218,7 @@ def cell_history(
             *[F.col(f"b.{c}").alias(f"{c}_t2") for c in CARRY],
         )
     )
-    scored = change_pair_score(pairs, rules.calibration, max_ratio)
+    scored = change_pair_score(with_matched(pairs, matched), rules.calibration, max_ratio, model)
     crossed = ~F.col("suppressed") & (F.round("confidence", 4) >= rules.confidence_threshold)
     scored = scored.withColumn("crossed", crossed)
     step = F.col("step")
@@ -231,9 +272,11 @@ def detect_scene_change(
     rules: ChangeRules = ChangeRules(),
     max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
     limit: bool = True,
+    model: PipelineModel | None = None,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
     """Change candidates of a whole scene sequence, largest drift first."""
-    history = cell_history(tiles, dates, sensor, rules, max_ratio, need_ends=True)
+    history = cell_history(tiles, dates, sensor, rules, max_ratio, need_ends=True, model=model, matched=matched)
     found = history.filter(~F.col("suppressed") & (F.col("drift") >= rules.drift_threshold))
     return change_top_k(found, rules.top_k) if limit else found
 
@@ -269,6 +312,8 @@ def detect_tile_change(
     dates: Sequence[str],
     rules: ChangeRules = ChangeRules(),
     max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
+    model: PipelineModel | None = None,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
     """The history of one tile's cell; stored review values win over computed ones."""
     ends = tiles.sparkSession.range(1).select(
@@ -276,7 +321,7 @@ def detect_tile_change(
     )
     wanted = ends.select(F.explode(F.array("ends.t1", "ends.t2")).alias("tile_id"))
     cell = tiles.join(wanted, "tile_id", "left_semi").select(*CELL).distinct()
-    computed = cell_history(tiles.join(cell, CELL, "left_semi"), dates, None, rules, max_ratio)
+    computed = cell_history(tiles.join(cell, CELL, "left_semi"), dates, None, rules, max_ratio, model=model, matched=matched)
     return review_candidate_join(computed, reviews)
 
 
@@ -322,11 +367,19 @@ def review_rows(candidates: DataFrame) -> DataFrame:
         ).alias("remarks"),
         "date_t1",
         "date_t2",
+        *(["bbox_json"] if "bbox_json" in candidates.columns else []),
     )
 
 
+def with_boxes(candidates: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Candidates with bbox_json, the second tile's bounds and projection; null where it has none."""
+    box = F.struct(F.lit("Polygon").alias("type"), "crs", "bounds")
+    boxes = tiles.groupBy(F.col("tile_id").alias("t2_tile_id")).agg(F.min(F.when(F.col("bounds").isNotNull(), F.to_json(box))).alias("bbox_json"))
+    return candidates.join(boxes, "t2_tile_id", "left")
+
+
 def audit_rows(candidates: DataFrame, sensor: str) -> DataFrame:
-    """Ledger rows for the reported (top k) candidates."""
+    """Ledger rows for the reported (top k) candidates; a tile's id is its image path."""
     return candidates.select(
         F.concat("t1_tile_id", F.lit("__"), "t2_tile_id").alias("id"),
         F.lit("detected-change").alias("primary_tag"),
@@ -335,6 +388,8 @@ def audit_rows(candidates: DataFrame, sensor: str) -> DataFrame:
         F.lit("pending").alias("status"),
         before_text(sensor).alias("before_desc"),
         after_text().alias("after_desc"),
+        F.col("t1_tile_id").alias("before_image_path"),
+        F.col("t2_tile_id").alias("after_image_path"),
         F.lit(sensor).alias("sensor"),
         F.col("date_t2").alias("date"),
     )

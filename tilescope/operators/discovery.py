@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tilescope.functions import vectors
 from tilescope.functions.ranking import top_per_key
-from tilescope.session import checkpointed
+from tilescope.session import checkpointed, written
 
 Model = list[list[float]]
 
@@ -96,9 +96,14 @@ def with_cluster(tiles: DataFrame, model: Model, vector: str = "embedding") -> D
     return tiles.withColumn("cluster", vectors.nearest_index(F.col(vector), model))
 
 
+def cluster_means(labelled: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(cluster, mean): mean vector of each cluster."""
+    return labelled.groupBy("cluster").agg(vector_to_array(mean_vector(F.col(vector))).alias("mean"))
+
+
 def cluster_centroids(labelled: DataFrame, vector: str = "embedding") -> DataFrame:
     """(cluster, centroid): unit-length mean vector of each cluster."""
-    means = labelled.groupBy("cluster").agg(vector_to_array(mean_vector(F.col(vector))).alias("mean"))
+    means = cluster_means(labelled, vector)
     length = vectors.norm(F.col("mean"))
     return means.select(
         "cluster",
@@ -206,20 +211,18 @@ def k_sweep(
 
 def kmeans_insights(tiles: DataFrame, n_clusters: int = 3, n_init: int = 5, seed: int = 42, vector: str = "embedding") -> DataFrame:
     """Best of several MLlib k-means runs, by training cost."""
+    # Every run reads the vectors anew from their source; nothing of their size is kept on executors.
     data = tiles.withColumn("features", array_to_vector(vectors.as_double(F.col(vector))))
     spark = tiles.sparkSession
-    shared = data.select("features").persist(StorageLevel.MEMORY_AND_DISK)  # read by every run
-    try:
-        def fit(i: int):
-            means = KMeans(k=n_clusters, seed=seed + i, maxIter=50, featuresCol="features", predictionCol="cluster")
-            return means.fit(shared)
-
-        # The runs are independent jobs, so they share the cluster.
-        with ThreadPoolExecutor(n_init) as pool:
-            fits = list(pool.map(inheritable_thread_target(spark)(fit), range(n_init)))
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        shared.unpersist()
+
+    def fit(i: int):
+        means = KMeans(k=n_clusters, seed=seed + i, maxIter=50, featuresCol="features", predictionCol="cluster")
+        return means.fit(data.select("features").filter("features IS NOT NULL"))
+
+    # The runs are independent jobs, so they share the cluster.
+    with ThreadPoolExecutor(n_init) as pool:
+        fits = list(pool.map(inheritable_thread_target(spark)(fit), range(n_init)))
+    best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(data).drop("features")
 
 
@@ -270,6 +273,7 @@ def discovery_report(
     starts: Model,
     themes: Sequence[tuple[str, Sequence[float]]],
     max_iter: int = 50,
+    vector: str = "embedding",
 ) -> dict[str, DataFrame] | None:
     """Points, cluster summaries and separation; None when fewer than three tiles remain."""
     # Every k-means round reads the tiles, so removing repeats is done once.
@@ -279,8 +283,10 @@ def discovery_report(
         return None
     model = kmeans(tiles, starts[: cluster_count(len(starts), n)], max_iter)
     labelled = with_cluster(tiles, model)
-    centroids = cluster_centroids(labelled)
-    clusters = cluster_summary(labelled).join(theme_label(centroids, themes), "cluster")
+    centroids = written(cluster_centroids(labelled))  # one row per cluster
+    # Labels are written once for the summaries, without the vectors.
+    narrow = written(labelled.drop(vector))
+    clusters = cluster_summary(narrow).join(theme_label(centroids, themes), "cluster")
     plane = min_max_100(pca_2d(labelled).withColumnsRenamed({"pc1": "x", "pc2": "y"}), ["x", "y"])
     return {
         "points": plane.select("tile_id", "cluster", "x", "y", "date", "bounds"),

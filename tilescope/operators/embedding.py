@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilescope.config import ZERO_NORM
@@ -38,12 +38,13 @@ def _run(values: Column, factory: ModelFactory) -> Column:
 def tile_chips(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
     """(keys, chip): pixel values of a tile, row-major with bands together.
 
-    A chip is one tile, so its size is fixed by the tile size; copies of a pixel
-    fall together before the shuffle.
+    A chip is one tile, so its size is fixed by the tile size. Copies of a pixel
+    count once; of unequal ones the largest bands stand, one by one.
     """
-    record = F.struct("y", "x", F.array(*[F.col(b).cast("double") for b in bands]).alias("v"))
-    ordered = F.sort_array(F.collect_set(record))
-    return pixels.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda r: r["v"])).alias("chip"))
+    single = pixels.groupBy(*keys, "y", "x").agg(*[F.max(F.col(b).cast("double")).alias(b) for b in bands])
+    record = F.struct("y", "x", F.array(*bands).alias("v"))
+    ordered = F.sort_array(F.collect_list(record))
+    return single.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda r: r["v"])).alias("chip"))
 
 
 def to_8bit(chips: DataFrame, full_scale: float = 255.0, chip: str = "chip") -> DataFrame:
@@ -107,3 +108,9 @@ def embed_matched(
     """
     matched = match_images(first, second, tile_keys, bands)
     return embed_tiles(tile_chips(matched, tile_keys, bands[:3]), factory)
+
+
+def one_vector(spark: SparkSession, value: object, kind: str, factory: ModelFactory) -> list[float]:
+    """The unit-length vector of one text or chip: a single row, run where models run."""
+    row = spark.createDataFrame([(value,)], f"value {kind}")
+    return list(row.select(_run(F.col("value"), factory).alias("v")).first()["v"])

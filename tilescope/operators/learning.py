@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,7 +20,7 @@ from tilescope.functions import vectors
 from tilescope.functions.ranking import exact_quantile, join_small, top_per_key
 from tilescope.operators import discovery
 from tilescope.operators.change import confidence_fallback
-from tilescope.session import checkpointed
+from tilescope.session import checkpointed, written
 
 # ---------------------------------------------------------------------------
 # Random forest
@@ -65,12 +64,9 @@ def rf_train(
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol=label, featuresCol="features", weightCol="weight"
     )
-    # Training makes several passes over these few columns.
-    weighted = balanced_weights(rows.select(*features, label), label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=[assembler, forest]).fit(weighted)
-    finally:
-        weighted.unpersist()
+    # Training makes several passes over these few columns, so they are written once.
+    weighted = written(balanced_weights(rows.select(*features, label), label))
+    return Pipeline(stages=[assembler, forest]).fit(weighted)
 
 
 def rf_score(rows: DataFrame, model: PipelineModel | None, calibration: float = config.DRIFT_THRESHOLD) -> DataFrame:
@@ -187,10 +183,57 @@ def _grow(points: np.ndarray, seed: int) -> list[tuple[int, float, int, int, flo
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
 
 
+def _lowest_per_tree(trees: int, sample: int, seed: int):
+    """Rows (tree, h, key) of a task: for every tree the keys with the lowest hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = np.random.default_rng(seed).integers(1, 2**63, trees, dtype="uint64")
+        limit = np.full(trees, np.iinfo("uint64").max, "uint64")
+        held: list[list[tuple[np.ndarray, pa.Array]]] = [[] for _ in range(trees)]
+        sizes = np.zeros(trees, "int64")
+        kind = None
+
+        def trim(tree: int) -> None:
+            h = np.concatenate([x for x, _ in held[tree]])
+            keys = pa.concat_arrays([k for _, k in held[tree]])
+            order = np.argsort(h, kind="stable")
+            cut = h[order[min(sample, len(h)) - 1]]
+            keep = order[h[order] <= cut]  # equal hashes stay: the key settles them later
+            held[tree], sizes[tree] = [(h[keep], keys.take(pa.array(keep)))], len(keep)
+            if len(h) >= sample:
+                limit[tree] = cut
+
+        for batch in batches:
+            base, keys = batch.column(0).to_numpy().view("uint64"), batch.column(1)
+            kind = keys.type
+            for begin in range(0, len(base), 4096):
+                h = (base[begin : begin + 4096, None] ^ salts[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                row, tree = np.nonzero(h <= limit[None, :])
+                order = np.argsort(tree, kind="stable")
+                row, tree = row[order], tree[order]
+                cuts = np.searchsorted(tree, np.arange(trees + 1))
+                for t in np.unique(tree).tolist():
+                    mine = row[cuts[t] : cuts[t + 1]]
+                    held[t].append((h[mine, t], keys.take(pa.array(begin + mine))))
+                    sizes[t] += len(mine)
+                    if sizes[t] > 4 * sample:
+                        trim(t)
+        for t in range(trees):
+            if sizes[t]:
+                trim(t)
+                h, keys = held[t][0]
+                signed = (h ^ np.uint64(1 << 63)).view("int64")  # the same order
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), t, "int32")), pa.array(signed), keys.cast(kind)], ["tree", "h", "key"]
+                )
+
+    return run
+
+
 def isolation_trees(
     tiles: DataFrame,
     key: str,
-    n_rows: int,
     trees: int = 100,
     sample: int = 256,
     seed: int = 42,
@@ -198,25 +241,18 @@ def isolation_trees(
 ) -> DataFrame:
     """Grow the forest: one small sample per tree, one task-sized group per tree.
 
-    A pool of at most trees * sample rows is drawn by key hash; each tree then
-    takes `sample` rows of the pool by a hash of its own. Pool and samples are
-    bounded by the forest's size, whatever the table's: a hash threshold thins
-    the scan to little more than the pool before anything is ordered.
+    Every tree draws `sample` rows of the whole table, those with the lowest
+    hash of (key, tree): each task keeps its lowest in one pass over the keys,
+    the lowest of all tasks win, and only their vectors are fetched. Rows
+    without a vector are not drawn.
     """
-    pool_size = trees * sample
-    share = min(1.0, (1.2 * pool_size + 1000) / max(n_rows, 1))
-    hashed = tiles.select(key, vector).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
-    if share < 1.0:
-        hashed = hashed.filter(F.pmod(F.col("__h"), F.lit(2**20)) < F.lit(int(share * 2**20) + 1))
-    pool = checkpointed(hashed.orderBy("__h", key).limit(pool_size).drop("__h"))
-    numbered = pool.select(key).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = top_per_key(
-        numbered.withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))),
-        ["tree"],
-        [F.col("__h"), F.col(key)],
-        sample,
+    known = tiles.filter(F.col(vector).isNotNull())
+    kind = known.schema[key].dataType.simpleString()
+    lowest = known.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("key")).mapInArrow(
+        _lowest_per_tree(trees, sample, seed), f"tree int, h long, key {kind}"
     )
-    samples = drawn.select("tree", key).join(pool, key)
+    drawn = top_per_key(lowest, ["tree"], [F.col("h"), F.col("key")], sample).select("tree", F.col("key").alias(key))
+    samples = drawn.join(known.select(key, vector), key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -255,7 +291,8 @@ def isolation_score(tiles: DataFrame, forest: pd.DataFrame, sample: int = 256, v
                 at[who] = np.where(left, tree["left"][node], tree["right"][node])
                 moving = tree["feature"][at] >= 0
             depth += tree["depth"][at]
-        return pa.array(np.power(2.0, -depth / len(model.value) / scale))
+        scores = np.power(2.0, -depth / max(1, len(model.value)) / scale)
+        return pa.array(scores, mask=np.isnan(rows[:, 0]))
 
     return tiles.withColumn("anomaly_score", score(F.col(vector)))
 
@@ -271,13 +308,15 @@ def isolation_forest(
 ) -> DataFrame:
     """Score every row and flag the most anomalous share; the vector is left out of the result.
 
+    A row without a vector has no score and no flag.
+
     The forest (a bounded table) is collected and broadcast. Scores are written
     once, because the cut - the exact linear percentile of all scores, found by
     bracketing rather than sorting - reads them twice more.
     """
-    n = tiles.count()
+    n = tiles.filter(F.col(vector).isNotNull()).count()
     sample = min(sample, n)
-    forest = isolation_trees(tiles, key, n, trees, sample, seed, vector).toPandas()
+    forest = isolation_trees(tiles, key, trees, sample, seed, vector).toPandas()
     scored = checkpointed(isolation_score(tiles, forest, sample, vector).drop(vector))
     cut = exact_quantile(
         scored.select("anomaly_score"), [], "anomaly_score", lambda m: (m - 1) * (1 - contamination), "cut"

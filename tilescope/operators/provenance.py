@@ -56,15 +56,27 @@ def provenance_doc(
     date_last: str,
     exported_at: Column,
     exporter: str = "tilescope",
-    model: str = "ViT-B-32 (weights: openai)",
-    dimension: int = config.EMBEDDING_DIM,
+    model: str | None = None,
+    dimension: int | None = None,
+    histogram_matched: bool | None = None,
+    earliest: DataFrame | None = None,
 ) -> DataFrame:
     """One six-section document per queue item.
 
     `quality` is (tile_id, cloud), `spectral` is keyed by tile_id with index means
     and changes. Cloud ratios and dates are measured values from those tables;
-    where nothing was measured the field is null.
+    where nothing was measured the field is null. Several rows of a tile are
+    reduced to one (mean cloud, the first of each index), so that an item stays
+    one document. `model`, `dimension` and `histogram_matched` say how the
+    vectors were made and are null if the caller does not know; `earliest` is
+    (tile_id, earliest_change).
     """
+    quality = quality.groupBy("tile_id").agg(F.avg("cloud").alias("cloud"))
+    measured = [c for c in spectral.columns if c != "tile_id"]
+    spectral = spectral.groupBy("tile_id").agg(*[F.min(c).alias(c) for c in measured])
+    if earliest is None:
+        earliest = queue.select("tile_id", F.lit(None).cast("string").alias("earliest_change")).limit(0)
+    earliest = earliest.groupBy("tile_id").agg(F.min("earliest_change").alias("earliest_change"))
     audit = ledger.select(
         F.col("id").alias("tile_id"),
         F.lit(True).alias("in_ledger"),
@@ -85,6 +97,7 @@ def provenance_doc(
         .join(q1, "t1", "left")
         .join(q2, "t2", "left")
         .join(spectral.withColumnRenamed("tile_id", "t2").withColumn("spectral_computed", F.lit(True)), "t2", "left")
+        .join(earliest, "tile_id", "left")
     )
     days, month_1, month_2 = identity.date_features(F.col("d1"), F.col("d2"))
     drift = F.round(F.coalesce("drift_score", F.lit(0.0)), 4)
@@ -118,7 +131,10 @@ def provenance_doc(
             F.col("tile_id").alias("composite_tile_id"),
             F.when(F.col("in_ledger"), F.col("audit_sensor")).otherwise(F.lit("Sentinel-2 (MSI L2A)")).alias("sensor"),
             F.struct(
-                F.col("d1").alias("date_t1"), F.col("d2").alias("date_t2"), days.alias("temporal_interval_days")
+                F.col("d1").alias("date_t1"),
+                F.col("d2").alias("date_t2"),
+                days.alias("temporal_interval_days"),
+                F.col("earliest_change").alias("earliest_change_date"),
             ).alias("acquisition_dates"),
             F.struct("before_image_path", "after_image_path").alias("file_paths"),
             bbox_from_json(F.col("bbox_json")).alias("bounding_box"),
@@ -132,9 +148,11 @@ def provenance_doc(
                 F.lit(config.SHADOW_BRIGHTNESS).alias("shadow_brightness_threshold"),
                 F.lit(config.CLOUD_SHADOW_MAX_RATIO).alias("max_ratio_allowed"),
             ).alias("cloud_shadow_masking"),
-            F.lit("yes").alias("histogram_matching_applied"),
-            F.lit(model).alias("openclip_model_version"),
-            F.lit(dimension).alias("embedding_dimension"),
+            F.lit(None if histogram_matched is None else "yes" if histogram_matched else "no")
+            .cast("string")
+            .alias("histogram_matching_applied"),
+            F.lit(model).cast("string").alias("openclip_model_version"),
+            F.lit(dimension).cast("int").alias("embedding_dimension"),
         ).alias("processing_steps"),
         F.struct(
             drift.alias("drift_score"),

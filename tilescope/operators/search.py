@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ def meta_filter(tiles: DataFrame, date: str | None = None, sensor: str | None =
     return tiles
 
 
-def dedupe_hits(hits: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+def dedupe_hits(hits: DataFrame, tie: Sequence[str | Column] = ()) -> DataFrame:
     """Best-scored row per tile_id; rows without an id are all kept."""
-    order = [F.col("score").desc(), *[F.col(c) for c in tie]]
+    order = [F.col("score").desc(), *[F.col(c) if isinstance(c, str) else c for c in tie]]
     blank = F.coalesce(F.col("tile_id"), F.lit("")) == ""
-    named = top_per_key(hits.filter(~blank), ["tile_id"], order)
-    return named.unionByName(hits.filter(blank))
+    # A number of its own keeps every blank row apart, in the same pass.
+    keyed = hits.withColumn("__own", F.when(blank, F.monotonically_increasing_id()))
+    return top_per_key(keyed, ["tile_id", "__own"], order).drop("__own")
 
 
 def knn_search(
@@ -42,23 +45,14 @@ def knn_search(
     """The top_k tiles by cosine similarity to one query vector.
 
     The query is a constant of the scan; vectors are dropped right after scoring
-    and never shuffled. Repeats of a tile must not use up places, so the best
-    few times top_k rows are taken first: in that order the first top_k distinct
-    tiles are the answer, whatever follows. Only when repeats leave fewer
-    distinct tiles than asked for are all scored rows deduplicated.
+    and never shuffled. Repeats of a tile must not use up places: every task
+    keeps the best row of each tile id, then the id does, then the first top_k
+    are taken.
     """
     found = meta_filter(tiles, date, sensor)
     hits = found.withColumn("score", vectors.cosine_to_one(F.col(vector), query)).drop(vector)
     order = [F.col("score").desc(), *[F.col(c) for c in tie]]
-    if not unique:
-        return hits.orderBy(*order).limit(top_k)
-    ahead = max(4 * top_k, 25)
-    rows = hits.orderBy(*order).limit(ahead).collect()
-    blank = sum(1 for r in rows if not r["tile_id"])
-    distinct = len({r["tile_id"] for r in rows if r["tile_id"]}) + blank
-    if len(rows) < ahead or distinct >= top_k:
-        hits = tiles.sparkSession.createDataFrame(rows, hits.schema)
-    return dedupe_hits(hits, tie).orderBy(*order).limit(top_k)
+    return (dedupe_hits(hits, tie) if unique else hits).orderBy(*order).limit(top_k)
 
 
 def knn_batch(tiles: DataFrame, queries: Sequence[tuple[str, Sequence[float]]], top_k: int, vector: str = "embedding") -> DataFrame:
@@ -71,6 +65,48 @@ def knn_batch(tiles: DataFrame, queries: Sequence[tuple[str, Sequence[float]]],
     return top_per_key(long.drop("__i"), ["query"], [F.col("score").desc(), F.col("tile_id")], top_k, rank="rank")
 
 
+QUERY_BLOCK = 256
+TILE_BLOCK = 8192
+
+
+def knn_table(tiles: DataFrame, queries: DataFrame, top_k: int, vector: str = "embedding") -> DataFrame:
+    """(query, tile_id, score, rank): top-k tiles of every row of queries(query, vector), however many there are.
+
+    Tiles and queries are dealt into parts by hash; every pair of parts is one
+    task's matrix product and leaves its best top_k rows per query. No side is
+    broadcast. Rows without a vector take no part.
+    """
+    known = tiles.filter(F.col(vector).isNotNull()).select("tile_id", F.col(vector).alias("v"))
+    asked = queries.filter(F.col("vector").isNotNull()).select("query", F.col("vector").alias("v"))
+    tile_parts = max(1, -(-known.count() // TILE_BLOCK))
+    query_parts = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def parts(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = known.withColumn("tp", parts("tile_id", tile_parts)).withColumn("qp", each(query_parts))
+    right = asked.withColumn("qp", parts("query", query_parts)).withColumn("tp", each(tile_parts))
+
+    def best(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if t.empty or q.empty:
+            return pd.DataFrame({"query": [], "tile_id": [], "score": []})
+        a, b = np.array(t["v"].tolist(), "float64"), np.array(q["v"].tolist(), "float64")
+        scale = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(np.where(scale <= config.ZERO_NORM, 0.0, b @ a.T / scale), vectors.SCORE_DIGITS)
+        ids = t["tile_id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids)), score.shape), -score), axis=1)[:, :top_k]
+        rows = np.repeat(np.arange(len(b)), order.shape[1])
+        return pd.DataFrame({"query": q["query"].to_numpy()[rows], "tile_id": ids[order.ravel()], "score": score[rows, order.ravel()]})
+
+    cells = left.groupBy("tp", "qp").cogroup(right.groupBy("tp", "qp"))
+    found = cells.applyInPandas(best, "query string, tile_id string, score double")
+    return top_per_key(found, ["query"], [F.col("score").desc(), F.col("tile_id")], top_k, rank="rank")
+
+
 def lookup_tile(tiles: DataFrame, tile_id: str, tie: str = "point_id") -> DataFrame:
     """The first record of a tile id."""
     return tiles.filter(F.col("tile_id") == tile_id).orderBy(tie).limit(1)

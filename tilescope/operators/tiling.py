@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope import config
@@ -253,12 +253,12 @@ def band_stack(
 
 
 def pair_readiness(scenes: DataFrame) -> DataFrame:
-    """Consecutive scenes of one stem group compared in CRS, size and transform."""
-    left = scenes.select(*[F.col(c).alias(f"{c}_a") for c in ("scene_id", "site", "crs", "width", "height", "affine")])
-    right = scenes.select(*[F.col(c).alias(f"{c}_b") for c in ("scene_id", "site", "crs", "width", "height", "affine")])
-    pairs = left.join(
-        right, (F.col("site_a") == F.col("site_b")) & (F.col("scene_id_a") + 1 == F.col("scene_id_b"))
-    )
+    """Scenes of a site, each compared with the next one by id, in CRS, size and transform."""
+    carried = ("scene_id", "crs", "width", "height", "affine")
+    after = Window.partitionBy("site").orderBy("scene_id")
+    pairs = scenes.select(
+        *[F.col(c).alias(f"{c}_a") for c in carried], *[F.lead(c).over(after).alias(f"{c}_b") for c in carried]
+    ).filter("scene_id_b IS NOT NULL")
     same_crs = F.col("crs_a").eqNullSafe(F.col("crs_b"))
     same_size = (F.col("width_a") == F.col("width_b")) & (F.col("height_a") == F.col("height_b"))
     same_grid = F.col("affine_a") == F.col("affine_b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilescope.config import ChangeRules
-from tilescope.functions import identity
+from tilescope.functions import identity, vectors
 from tilescope.operators import change, matching, quality
 from tilescope.plans.registry import D1, D3, DATES, Data, query, r6
 
@@ -192,10 +192,11 @@ def confidence_fallback(d: Data):
     "confidence_factors",
     PAIR_SQL
     + """
-SELECT t1_tile_id, round(drift, 4) AS drift, round(similarity, 4) AS similarity, round(c1, 4) AS cloud_contamination_ratio_t1,
-  round(c2, 4) AS cloud_contamination_ratio_t2, 375 AS days_between, 12 AS month_t1, 12 AS month_t2,
-  'Histogram CDF Matched (t2 -> t1)' AS radiometric_normalization, '10m CRS Pixel Grid' AS spatial_alignment,
-  'Deterministic Calibration' AS rf_model FROM scored""",
+SELECT t1_tile_id, f.* FROM (SELECT t1_tile_id, CASE WHEN NOT suppressed THEN {
+  'drift': round(drift, 4), 'similarity': round(similarity, 4), 'cloud_contamination_ratio_t1': round(c1, 4),
+  'cloud_contamination_ratio_t2': round(c2, 4), 'days_between': 375, 'month_t1': 12, 'month_t2': 12,
+  'radiometric_normalization': CAST(NULL AS VARCHAR), 'spatial_alignment': CAST(NULL AS VARCHAR),
+  'rf_model': 'Deterministic Calibration'} END AS f FROM scored)""",
     ("points", "pixels_grey"),
 )
 def confidence_factors(d: Data):
@@ -257,6 +258,33 @@ def pairwise_intervals(d: Data):
     )
 
 
+@query(
+    "matched_intervals",
+    MEASURED
+    + """, steps AS (
+  SELECT cell, tile_id AS t1_tile_id, date AS date1, v AS v1, cloud AS c1, lead(tile_id) OVER w AS t2_tile_id, lead(date) OVER w AS date2,
+    lead(v) OVER w AS v2, lead(cloud) OVER w AS c2 FROM one WINDOW w AS (PARTITION BY cell ORDER BY date)
+), matched AS (
+  SELECT *, CASE WHEN cell % 2 = 0 THEN list_transform(list_zip(v1, v2), lambda p: (p[1] + p[2]) / 2) ELSE v2 END AS m2
+  FROM steps WHERE t2_tile_id IS NOT NULL
+), scored AS (
+  SELECT *, c1 > 0.15 OR c2 > 0.15 AS suppressed, greatest(0, 1 - list_dot_product(v1, v2)) AS raw_drift,
+    CASE WHEN c1 > 0.15 OR c2 > 0.15 THEN 0.0 ELSE greatest(0, 1 - list_cosine_similarity(v1, m2)) END AS drift FROM matched
+)
+SELECT t1_tile_id, t2_tile_id, suppressed, round(drift, 6) AS drift, round(raw_drift, 6) AS raw_drift,
+  round(least(1, drift / 1.2), 6) AS confidence FROM scored""",
+    ("points", "pixels_grey"),
+)
+def matched_intervals(d: Data):
+    """Every other cell has vectors of matched images, half way to the first; the rest fall back to the stored ones."""
+    cells = change.dated_cells(measured_points(d), DATES)
+    pairs = change.scene_interval_pairs(cells, ["embedding", "cell"]).filter(F.col("cell_t1") % 2 == 0)
+    middle = F.zip_with(vectors.as_double(F.col("embedding_t1")), vectors.as_double(F.col("embedding_t2")), lambda a, b: (a + b) / 2)
+    matched = pairs.select("t1_tile_id", "t2_tile_id", middle.alias("matched_t2"))
+    rows = change.pairwise_intervals(cells, RULES, matched=matched)
+    return rows.select("t1_tile_id", "t2_tile_id", "suppressed", r6("drift"), r6("raw_drift"), r6("confidence"))
+
+
 @query(
     "earliest_change",
     INTERVALS + "SELECT cell, coalesce(earliest_change, 'never') AS earliest_change FROM history",

@@ -308,7 +308,7 @@ SELECT a.scene_id AS scene_id_a, b.scene_id AS scene_id_b, a.crs = b.crs AS same
   a.width = b.width AND a.height = b.height AS same_size,
   [a.aff_a, a.aff_b, a.aff_c, a.aff_d, a.aff_e, a.aff_f] = [b.aff_a, b.aff_b, b.aff_c, b.aff_d, b.aff_e, b.aff_f] AS same_transform,
   a.crs = b.crs AND a.width = b.width AND a.height = b.height AND a.aff_f = b.aff_f AS ready
-FROM scenes a JOIN scenes b ON a.site = b.site AND b.scene_id = a.scene_id + 1""",
+FROM scenes a JOIN scenes b ON a.site = b.site AND b.scene_id = (SELECT min(c.scene_id) FROM scenes c WHERE c.site = a.site AND c.scene_id > a.scene_id)""",
     ("scenes",),
 )
 def pair_readiness(d: Data):

@@ -59,6 +59,22 @@ def knn_batch(d: Data):
     return hits.select("query", "tile_id", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "knn_table",
+    """
+WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 3),
+scored AS (SELECT q.vec_id, t.tile_id, list_cosine_similarity(CAST(t.embedding AS DOUBLE[]), q.v) AS score FROM tiles t, q)
+SELECT CAST(vec_id AS VARCHAR) AS query, tile_id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, tile_id) AS rank FROM scored QUALIFY rank <= 5""",
+    ("tiles",),
+)
+def knn_table(d: Data):
+    asked = d.table("embeddings").filter("label = 3")
+    asked = asked.select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vector"))
+    hits = search.knn_table(d.tiles, asked, 5)
+    return hits.select("query", "tile_id", r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "dedupe_hits",
     SCORED
@@ -75,10 +91,8 @@ def dedupe_hits(d: Data):
         F.when(F.col("label") == 9, "").otherwise(F.col("tile_id")).alias("tile_id"),
         vectors.cosine_to_one(F.col("embedding"), d.vectors([7])[0]).alias("score"),
     )
-    best = search.top_per_key(
-        scored.filter("tile_id <> ''"), ["tile_id"], [F.col("score").desc(), F.col("point_id").desc()]
-    )
-    return best.unionByName(search.dedupe_hits(scored.filter("tile_id = ''"))).select("point_id", "tile_id", r6("score"))
+    best = search.dedupe_hits(scored, [F.col("point_id").desc()])
+    return best.select("point_id", "tile_id", r6("score"))
 
 
 @query(

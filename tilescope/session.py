@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +38,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names; a temporary folder is used only
     where nothing is configured, as in local tests.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it was not."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_CONF, None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back; its size in bytes is known from then on."""
+    spark = df.sparkSession
+    base = shared_folder(spark)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

@@ -1,8 +1,9 @@
 """Incremental feeds into the versioned stores.
 
 Ingest and ledger updates are the same merges as in batch, applied to each
-micro-batch. A batch writes the version of its own number from the newest older
-one, so a batch that is run again after a failure replaces its own output.
+micro-batch. A batch adds a version that names its stream and number, so a batch
+that is run again after it was committed changes nothing, and versions written
+by others stay as they are.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
 def stream_into(feed: DataFrame, store: VersionedTable, merge: Merge, checkpoint: str) -> StreamingQuery:
-    """Merge a streaming feed into a store until the feed has nothing new."""
+    """Merge a streaming feed into a store until the feed has nothing new; the checkpoint folder names the stream."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        older = [v for v in store.versions() if v < number]
-        stored = store.read(older[-1]) if older else None
-        store.write(merge(stored, batch), version=number)
+        if not store.has_batch(checkpoint, number):
+            store.write(merge(store.read(), batch), source=checkpoint, batch=number)
 
     return (
         feed.writeStream.foreachBatch(apply)

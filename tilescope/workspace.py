@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from tilescope.operators import change, discovery, embedding, hotspots, learning
 from tilescope.session import checkpointed, ship_package
 from tilescope.sources.stores import VersionedTable, write_documents
 
+# Columns of the two ledgers.
 LEDGER_SCHEMA = (
     "id string, image_path string, primary_tag string, cluster int, anomaly_score double, status string, "
     "before_desc string, after_desc string, before_image_path string, after_image_path string, "
@@ -56,6 +58,12 @@ class Workspace:
         found = self.queue_store.read()
         return self.spark.createDataFrame([], QUEUE_SCHEMA) if found is None else found
 
+    def _keeping_status(self, rows: DataFrame, otherwise: str = "pending") -> DataFrame:
+        """Rows with the status that an analyst gave their id before, if any."""
+        status = self.ledger().select("id", F.col("status").alias("kept"))
+        kept = rows.drop("status").join(status, "id", "left")
+        return kept.withColumn("status", F.coalesce("kept", F.lit(otherwise))).drop("kept")
+
     def _upsert_ledger(self, rows: DataFrame) -> None:
         known = self.spark.createDataFrame([], LEDGER_SCHEMA).drop("created_at")
         feed = known.unionByName(rows, allowMissingColumns=True).withColumn("at", self.now())
@@ -100,8 +108,6 @@ class Workspace:
         )
         points = checkpointed(points)  # read for both stores
         number = self.points_store.write(points if stored is None else ledger.vector_upsert(stored, points))
-        # A tile ingested again keeps the status an analyst gave it.
-        status = self.ledger().select("id", F.col("status").alias("kept"))
         rows = points.select(
             F.col("tile_id").alias("id"),
             F.col("tile_id").alias("image_path"),
@@ -111,9 +117,7 @@ class Workspace:
             "sensor",
             "date",
         )
-        self._upsert_ledger(
-            rows.join(status, "id", "left").withColumn("status", F.coalesce("kept", F.lit("pending"))).drop("kept")
-        )
+        self._upsert_ledger(self._keeping_status(rows))
         return number
 
     def status(self) -> DataFrame:
@@ -132,6 +136,14 @@ class Workspace:
         hits = search.knn_search(self.points(), query, top_k, date, sensor, tie=("tile_id", "point_id"))
         return geodesy.add_center_wgs84(hits)
 
+    def search_text(self, prompt: str, model: embedding.ModelFactory, top_k: int = config.SEARCH_TOP_K, date: str | None = None, sensor: str | None = None) -> DataFrame:
+        """Nearest tiles to a text, embedded by the caller's text model."""
+        return self.search(embedding.one_vector(self.spark, prompt, "string", model), top_k, date, sensor)
+
+    def search_image(self, chip: Sequence[float], model: embedding.ModelFactory, top_k: int = config.SEARCH_TOP_K, date: str | None = None, sensor: str | None = None) -> DataFrame:
+        """Nearest tiles to an image chip, embedded by the caller's image model."""
+        return self.search(embedding.one_vector(self.spark, [float(x) for x in chip], "array<double>", model), top_k, date, sensor)
+
     def similar(self, tile_id: str, top_k: int = 6, exclude_self: bool = True) -> DataFrame:
         return geodesy.add_center_wgs84(search.similar_tile(self.points(), tile_id, top_k, exclude_self))
 
@@ -141,19 +153,38 @@ class Workspace:
     # -- change ----------------------------------------------------------------
 
     def detect(
-        self, dates: Sequence[str], sensor: str = "Sentinel-2", rules: ChangeRules = ChangeRules(), enqueue: bool = True
+        self,
+        dates: Sequence[str],
+        sensor: str = "Sentinel-2",
+        rules: ChangeRules = ChangeRules(),
+        enqueue: bool = True,
+        model: PipelineModel | None = None,
+        matched: DataFrame | None = None,
     ) -> DataFrame:
-        """Scene-wide change: all candidates go to the review queue, the top k to the ledger and back."""
-        found = checkpointed(change.detect_scene_change(self.points(), list(dates), sensor, rules, limit=False))
+        """Scene-wide change: all candidates go to the review queue, the top k to the ledger and back.
+
+        `model` gives the confidence, `matched` the second images' vectors after histogram matching.
+        """
+        found = change.detect_scene_change(self.points(), list(dates), sensor, rules, limit=False, model=model, matched=matched)
+        found = checkpointed(change.with_boxes(found, self.points()))
         if enqueue:
             rows = change.review_rows(found)
             self.queue_store.write(review.review_append(self.queue(), rows, ["tile_id"], self.now()))
         top = change.change_top_k(found, rules.top_k)
-        self._upsert_ledger(change.audit_rows(top, sensor).withColumn("image_path", F.col("id")))
-        return change.describe_candidates(top, sensor)
+        rows = change.audit_rows(top, sensor).withColumn("image_path", F.col("id"))
+        self._upsert_ledger(self._keeping_status(rows))
+        classifier = config.FALLBACK_LABEL if model is None else "random forest"
+        return change.describe_candidates(top, sensor, classifier)
 
-    def detect_tile(self, tile_id: str, dates: Sequence[str], rules: ChangeRules = ChangeRules()) -> DataFrame:
-        return change.detect_tile_change(self.points(), self.queue(), tile_id, list(dates), rules)
+    def detect_tile(
+        self,
+        tile_id: str,
+        dates: Sequence[str],
+        rules: ChangeRules = ChangeRules(),
+        model: PipelineModel | None = None,
+        matched: DataFrame | None = None,
+    ) -> DataFrame:
+        return change.detect_tile_change(self.points(), self.queue(), tile_id, list(dates), rules, model=model, matched=matched)
 
     # -- review ----------------------------------------------------------------
 
@@ -173,13 +204,18 @@ class Workspace:
         self.ledger_store.write(audit)
         self.queue_store.write(queue)
 
-    def provenance(self, spectral: DataFrame, date_first: str, date_last: str) -> DataFrame:
+    def provenance(self, spectral: DataFrame, date_first: str, date_last: str, **how: object) -> DataFrame:
+        """Documents of all items; `how` says how vectors were made (model, dimension, histogram_matched)."""
         quality = self.points().select("tile_id", "cloud")
         stamp = F.date_format(self.now(), "yyyy-MM-dd'T'HH:mm:ss")
         queue, audit = self.queue(), self.ledger()
         changes = audit.filter(F.col("primary_tag") != "unassigned")
         items = queue.unionByName(provenance.audit_items(changes, queue))
-        return provenance.provenance_doc(items, audit, quality, spectral, date_first, date_last, stamp)
+        history = change.cell_history(self.points(), [date_first, date_last])
+        earliest = history.select(F.concat("t1_tile_id", F.lit("__"), "t2_tile_id").alias("tile_id"), "earliest_change")
+        return provenance.provenance_doc(
+            items, audit, quality, spectral, date_first, date_last, stamp, earliest=earliest, **how
+        )
 
     def export(self, documents: DataFrame, folder: str) -> None:
         write_documents(provenance.provenance_export(documents), folder)
