@@ -162,9 +162,9 @@ def spectral_report(pixels: DataFrame, diff: DataFrame, tile_keys: Sequence[str]
 
 
 def visual_report(
-    diff: DataFrame, cloud: DataFrame, drift: DataFrame, tile_keys: Sequence[str], model: str = "OpenCLIP"
+    diff: DataFrame, cloud: DataFrame, drift: DataFrame, tile_keys: Sequence[str], measure: str = "embedding distance"
 ) -> DataFrame:
-    """Three-band mode: difference, cloud and drift only; no index is claimed."""
+    """Three-band mode: difference, cloud and drift only; no index is claimed. `measure` says what drift was taken from."""
     keys = list(tile_keys)
     joined = difference_summary(diff, keys).join(cloud, keys).join(drift, keys, "left")
     return joined.select(
@@ -178,6 +178,6 @@ def visual_report(
             F.format_number(F.round(F.col("cloud_t2") * 100, 1), 1),
         ).alias("atmosphere"),
         F.format_string(
-            f"Overall visual dissimilarity: %s ({model} embedding distance)", F.format_number("drift", 3)
+            f"Overall visual dissimilarity: %s ({measure})", F.format_number("drift", 3)
         ).alias("visual_dissimilarity"),
     )

@@ -96,28 +96,30 @@ def date_features(d: Data):
     "hist_match",
     """
 WITH px AS (
-  SELECT cell, CASE scene_no WHEN 0 THEN 1 ELSE 2 END AS side, level FROM pixels_grey WHERE scene_no IN (0, 2)
-), tally AS (SELECT cell, side, level, count(*) AS n FROM px GROUP BY cell, side, level
+  SELECT cell, scene_no AS pair, 1 AS side, level FROM pixels_grey UNION ALL SELECT cell, scene_no - 1, 2, level FROM pixels_grey
+), tally AS (SELECT cell, pair, side, level, count(*) AS n FROM px GROUP BY ALL
 ), curve AS (
-  SELECT *, sum(n) OVER (PARTITION BY cell, side ORDER BY level) / sum(n) OVER (PARTITION BY cell, side) AS q FROM tally
+  SELECT *, sum(n) OVER (PARTITION BY cell, pair, side ORDER BY level) / sum(n) OVER (PARTITION BY cell, pair, side) AS q FROM tally
 ), found AS (
-  SELECT s.cell, s.level AS source_value, s.n, s.q,
-    (SELECT max(t.level) FROM curve t WHERE t.cell = s.cell AND t.side = 1 AND t.q <= s.q) AS v0,
-    (SELECT max(t.q) FROM curve t WHERE t.cell = s.cell AND t.side = 1 AND t.q <= s.q) AS q0,
-    (SELECT min(t.level) FROM curve t WHERE t.cell = s.cell AND t.side = 1 AND t.q >= s.q) AS v1,
-    (SELECT min(t.q) FROM curve t WHERE t.cell = s.cell AND t.side = 1 AND t.q >= s.q) AS q1
+  SELECT s.cell, s.pair, s.level AS source_value, s.n, s.q,
+    (SELECT max(t.level) FROM curve t WHERE t.cell = s.cell AND t.pair = s.pair AND t.side = 1 AND t.q <= s.q) AS v0,
+    (SELECT max(t.q) FROM curve t WHERE t.cell = s.cell AND t.pair = s.pair AND t.side = 1 AND t.q <= s.q) AS q0,
+    (SELECT min(t.level) FROM curve t WHERE t.cell = s.cell AND t.pair = s.pair AND t.side = 1 AND t.q >= s.q) AS v1,
+    (SELECT min(t.q) FROM curve t WHERE t.cell = s.cell AND t.pair = s.pair AND t.side = 1 AND t.q >= s.q) AS q1
   FROM curve s WHERE s.side = 2
 )
-SELECT cell, round(source_value, 6) AS source_value, CAST(n AS BIGINT) AS n,
+SELECT cell, CAST(pair AS BIGINT) AS pair, round(source_value, 6) AS source_value, CAST(n AS BIGINT) AS n,
   round(CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR q1 = q0 THEN v0 ELSE v0 + (v1 - v0) * (q - q0) / (q1 - q0) END, 6) AS matched_value
 FROM found WHERE v0 IS NOT NULL OR v1 IS NOT NULL""",
     ("pixels_grey",),
 )
 def hist_match(d: Data):
-    pixels = d.view("pixels_grey").filter("scene_no IN (0, 2)")
-    sided = pixels.withColumn("side", F.when(F.col("scene_no") == 0, 1).otherwise(2))
-    table = matching.match_table(sided, ["cell"], "side", "level")
-    return table.filter("matched_value IS NOT NULL").select("cell", r6("source_value"), "n", r6("matched_value"))
+    pixels = d.view("pixels_grey")
+    # A date is the first of its own pair and the second of the one before.
+    first = pixels.withColumn("pair", F.col("scene_no").cast("long")).withColumn("side", F.lit(1))
+    second = pixels.withColumn("pair", F.col("scene_no").cast("long") - 1).withColumn("side", F.lit(2))
+    table = matching.match_table(first.unionByName(second), ["cell", "pair"], "side", "level")
+    return table.filter("matched_value IS NOT NULL").select("cell", "pair", r6("source_value"), "n", r6("matched_value"))
 
 
 @query(

@@ -231,7 +231,7 @@ def grid_geolocate(d: Data):
 @query(
     "nearest_hotspot",
     UTM_SQL
-    + """, spots AS (SELECT tile_id, lat, lng FROM located WHERE date = '2024-12-17'), near AS (
+    + """, spots AS (SELECT tile_id, lat, lng FROM located), near AS (
   SELECT c.click_id, s.tile_id, sqrt((s.lat - c.lat) ** 2 + (s.lng - c.lng) ** 2) AS distance FROM clicks c, spots s
 )
 SELECT click_id, tile_id, round(distance, 6) AS distance FROM near WHERE distance <= 0.05
@@ -239,7 +239,7 @@ QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY round(distance, 12), t
     ("tile_points", "clicks"),
 )
 def nearest_hotspot(d: Data):
-    spots = geodesy.add_center_wgs84(d.tile_points.filter(F.col("date") == D3)).select("tile_id", "lat", "lng")
+    spots = geodesy.add_center_wgs84(d.tile_points).select("tile_id", "lat", "lng")
     found = hotspots.nearest_hotspot(d.view("clicks"), spots, reach=0.05, order="tile_id")
     return found.select("click_id", "tile_id", r6("distance"))
 

@@ -10,6 +10,7 @@ from tilescope.plans.registry import Data, query, r6
 SIZE = 16
 RGB = ["b04", "b03", "b02"]
 TILE = ["tile_row", "tile_col"]
+PAIR_TILE = ["pair", *TILE]
 MEASURES = [f"{n}_{s}" for n in ("ndvi", "ndbi", "ndwi") for s in ("t1", "t2", "change")]
 
 INDEX_SQL = """
@@ -52,18 +53,23 @@ def index_change(d: Data):
 
 
 def raster_diff(d: Data):
-    """Difference of scenes 0 and 1 pixel by pixel, with the tile of each pixel."""
-    first, second = (d.raster.filter(F.col("scene_id") == i) for i in (0, 1))
-    return tiling.place_in_windows(spectral.pixel_difference(first, second, ["y", "x"], RGB), SIZE, SIZE)
+    """Difference of each scene and the next one pixel by pixel, with the tile of each pixel; `pair` is the first scene."""
+    first, second = paired(d)
+    return tiling.place_in_windows(spectral.pixel_difference(first, second, ["pair", "y", "x"], RGB), SIZE, SIZE)
+
+
+def paired(d: Data):
+    """Pixels as the first and as the second of every consecutive pair of scenes; a pair is named after its first."""
+    return d.raster.withColumn("pair", F.col("scene_id")), d.raster.withColumn("pair", F.col("scene_id") - 1)
 
 
 DIFF_SQL = """
 WITH diff AS (
-  SELECT a.y, a.x, CAST(floor(a.y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(a.x / 16) AS BIGINT) * 16 AS tile_col,
+  SELECT a.scene_id AS pair, a.y, a.x, CAST(floor(a.y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(a.x / 16) AS BIGINT) * 16 AS tile_col,
     (abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3 AS diff
-  FROM raster a JOIN raster b ON a.y = b.y AND a.x = b.x AND a.scene_id = 0 AND b.scene_id = 1
+  FROM raster a JOIN raster b ON a.y = b.y AND a.x = b.x AND b.scene_id = a.scene_id + 1
 ), per_tile AS (
-  SELECT tile_row, tile_col, avg(diff) AS mean_diff, max(diff) AS max_diff, quantile_cont(diff, 0.98) AS p98 FROM diff GROUP BY ALL
+  SELECT pair, tile_row, tile_col, avg(diff) AS mean_diff, max(diff) AS max_diff, quantile_cont(diff, 0.98) AS p98 FROM diff GROUP BY ALL
 )
 """
 
@@ -72,48 +78,49 @@ WITH diff AS (
     "hist_match_bands",
     """
 WITH px AS (
-  SELECT CAST(floor(y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(x / 16) AS BIGINT) * 16 AS tile_col, y, x, scene_id + 1 AS side,
-    unnest(['b04', 'b03', 'b02']) AS band, CAST(unnest([b04, b03, b02]) AS DOUBLE) AS v FROM raster WHERE scene_id IN (0, 1)
-), tally AS (SELECT tile_row, tile_col, band, side, v, count(*) AS n FROM px GROUP BY ALL
+  SELECT CAST(floor(y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(x / 16) AS BIGINT) * 16 AS tile_col, y, x, pair, side,
+    unnest(['b04', 'b03', 'b02']) AS band, CAST(unnest([b04, b03, b02]) AS DOUBLE) AS v
+  FROM (SELECT *, scene_id AS pair, 1 AS side FROM raster UNION ALL SELECT *, scene_id - 1 AS pair, 2 AS side FROM raster)
+), tally AS (SELECT pair, tile_row, tile_col, band, side, v, count(*) AS n FROM px GROUP BY ALL
 ), curve AS (
-  SELECT *, sum(n) OVER (PARTITION BY tile_row, tile_col, band, side ORDER BY v) / sum(n) OVER (PARTITION BY tile_row, tile_col, band, side) AS q FROM tally
+  SELECT *, sum(n) OVER (PARTITION BY pair, tile_row, tile_col, band, side ORDER BY v) / sum(n) OVER (PARTITION BY pair, tile_row, tile_col, band, side) AS q FROM tally
 ), joined AS (
-  SELECT s.tile_row, s.tile_col, s.band, s.v, s.q, max(t.v) FILTER (WHERE t.q <= s.q) AS v0, max(t.q) FILTER (WHERE t.q <= s.q) AS q0,
+  SELECT s.pair, s.tile_row, s.tile_col, s.band, s.v, s.q, max(t.v) FILTER (WHERE t.q <= s.q) AS v0, max(t.q) FILTER (WHERE t.q <= s.q) AS q0,
     min(t.v) FILTER (WHERE t.q >= s.q) AS v1, min(t.q) FILTER (WHERE t.q >= s.q) AS q1
-  FROM curve s JOIN curve t ON s.side = 2 AND t.side = 1 AND s.tile_row = t.tile_row AND s.tile_col = t.tile_col AND s.band = t.band GROUP BY ALL
+  FROM curve s JOIN curve t ON s.side = 2 AND t.side = 1 AND s.pair = t.pair AND s.tile_row = t.tile_row AND s.tile_col = t.tile_col AND s.band = t.band GROUP BY ALL
 ), mapped AS (
   SELECT *, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR q1 = q0 THEN v0 ELSE v0 + (v1 - v0) * (q - q0) / (q1 - q0) END AS m FROM joined
 )
-SELECT y, x, round(max(m) FILTER (WHERE band = 'b04'), 6) AS b04, round(max(m) FILTER (WHERE band = 'b03'), 6) AS b03,
+SELECT pair, y, x, round(max(m) FILTER (WHERE band = 'b04'), 6) AS b04, round(max(m) FILTER (WHERE band = 'b03'), 6) AS b03,
   round(max(m) FILTER (WHERE band = 'b02'), 6) AS b02
-FROM px JOIN mapped USING (tile_row, tile_col, band, v) WHERE side = 2 GROUP BY y, x""",
+FROM px JOIN mapped USING (pair, tile_row, tile_col, band, v) WHERE side = 2 GROUP BY pair, y, x""",
     ("raster",),
 )
 def hist_match_bands(d: Data):
-    placed = tiling.place_in_windows(d.raster, SIZE, SIZE)
-    first, second = (placed.filter(F.col("scene_id") == i) for i in (0, 1))
-    return matching.match_images(first, second, TILE, RGB).select("y", "x", *[r6(b) for b in RGB])
+    first, second = (tiling.place_in_windows(side, SIZE, SIZE) for side in paired(d))
+    matched = matching.match_images(first, second, PAIR_TILE, RGB).filter("b04 IS NOT NULL")  # no first scene: no pair
+    return matched.select("pair", "y", "x", *[r6(b) for b in RGB])
 
 
 @query(
     "pixel_diff",
     DIFF_SQL
-    + "SELECT tile_row, tile_col, round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff, round(p98, 6) AS p98 FROM per_tile",
+    + "SELECT pair, tile_row, tile_col, round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff, round(p98, 6) AS p98 FROM per_tile",
     ("raster",),
 )
 def pixel_diff(d: Data):
-    return spectral.difference_summary(raster_diff(d), TILE).select(*TILE, F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), r6("p98"))
+    return spectral.difference_summary(raster_diff(d), PAIR_TILE).select(*PAIR_TILE, F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), r6("p98"))
 
 
 @query(
     "pixel_diff_scaled",
     DIFF_SQL
     + """
-SELECT y, x, round(greatest(0, least(1, diff / (p98 + 1e-6))), 6) AS level FROM diff JOIN per_tile USING (tile_row, tile_col)""",
+SELECT pair, y, x, round(greatest(0, least(1, diff / (p98 + 1e-6))), 6) AS level FROM diff JOIN per_tile USING (pair, tile_row, tile_col)""",
     ("raster",),
 )
 def pixel_diff_scaled(d: Data):
-    return spectral.difference_scaled(raster_diff(d), TILE).select("y", "x", r6("level"))
+    return spectral.difference_scaled(raster_diff(d), PAIR_TILE).select("pair", "y", "x", r6("level"))
 
 
 @query(
@@ -194,14 +201,16 @@ def change_narrative(d: Data):
 
 REPORT_PIXELS = """
 WITH px AS (
-  SELECT CAST(floor(y / 16) AS BIGINT) * 16 + CAST(floor(x / 16) AS BIGINT) AS tile, CASE scene_id WHEN 0 THEN 1 ELSE 2 END AS t,
-    y, x, b02, b03, b04, b08, b11, scl FROM raster WHERE scene_id < 2
+  SELECT (pair * 1000000 + CAST(floor(y / 16) AS BIGINT)) * 16 + CAST(floor(x / 16) AS BIGINT) AS tile, t, pair,
+    y, x, b02, b03, b04, b08, b11, scl
+  FROM (SELECT *, scene_id AS pair, 1 AS t FROM raster UNION ALL SELECT *, scene_id - 1 AS pair, 2 AS t FROM raster)
+  WHERE pair BETWEEN 0 AND (SELECT max(scene_id) - 1 FROM raster)
 ), ix AS (
   SELECT tile, t, scl, (b08 - b04) / (b08 + b04 + 1e-6) AS ndvi, (b11 - b08) / (b11 + b08 + 1e-6) AS ndbi, (b03 - b08) / (b03 + b08 + 1e-6) AS ndwi FROM px
 ), diff AS (
   SELECT a.tile, avg((abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3) AS mean_diff,
     max((abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3) AS max_diff
-  FROM px a JOIN px b ON a.y = b.y AND a.x = b.x AND a.t = 1 AND b.t = 2 GROUP BY a.tile
+  FROM px a JOIN px b ON a.pair = b.pair AND a.y = b.y AND a.x = b.x AND a.t = 1 AND b.t = 2 GROUP BY a.tile
 ), means AS (""" + INDEX_SQL.split("means AS (")[1]
 
 
@@ -216,12 +225,9 @@ FROM told JOIN diff USING (tile)""",
     ("raster",),
 )
 def spectral_report(d: Data):
-    tile = F.floor(F.col("y") / SIZE) * SIZE + F.floor(F.col("x") / SIZE)
-    pixels = (
-        d.raster.filter("scene_id < 2")
-        .withColumn("tile", tile)
-        .withColumn("t", F.when(F.col("scene_id") == 0, 1).otherwise(2))
-    )
+    tile = (F.col("pair") * 1000000 + F.floor(F.col("y") / SIZE)) * SIZE + F.floor(F.col("x") / SIZE)
+    first, second = paired(d)
+    pixels = first.withColumn("t", F.lit(1)).unionByName(second.withColumn("t", F.lit(2))).withColumn("tile", tile)
     diff = raster_diff(d).withColumn("tile", tile)
     report = spectral.spectral_report(pixels, diff, ["tile"])
     changes = [F.round(f"{n}_change", 4).alias(f"{n}_change") for n in ("ndvi", "ndbi", "ndwi")]
@@ -234,32 +240,34 @@ def spectral_report(d: Data):
     "visual_report",
     """
 WITH px AS (
-  SELECT *, CAST(floor(y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(x / 16) AS BIGINT) * 16 AS tile_col FROM raster WHERE scene_id < 2
+  SELECT *, CAST(floor(y / 16) AS BIGINT) * 16 AS tile_row, CAST(floor(x / 16) AS BIGINT) * 16 AS tile_col FROM raster
 ), lit AS (
   SELECT scene_id, tile_row, tile_col, (b04 + b03 + b02) / 3 /
     CASE WHEN max(greatest(b04, b03, b02)) OVER (PARTITION BY scene_id, tile_row, tile_col) > 1 THEN 255.0 ELSE 1.0 END AS level FROM px
 ), cloud AS (
-  SELECT tile_row, tile_col, avg(CASE WHEN level >= 0.82 OR level <= 0.08 THEN 1.0 ELSE 0 END) FILTER (WHERE scene_id = 0) AS c1,
-    avg(CASE WHEN level >= 0.82 OR level <= 0.08 THEN 1.0 ELSE 0 END) FILTER (WHERE scene_id = 1) AS c2 FROM lit GROUP BY ALL
+  SELECT scene_id, tile_row, tile_col, avg(CASE WHEN level >= 0.82 OR level <= 0.08 THEN 1.0 ELSE 0 END) AS c FROM lit GROUP BY ALL
 ), diff AS (
-  SELECT a.tile_row, a.tile_col, avg((abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3) AS mean_diff,
+  SELECT a.scene_id AS pair, a.tile_row, a.tile_col, avg((abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3) AS mean_diff,
     max((abs(b.b04 - a.b04) + abs(b.b03 - a.b03) + abs(b.b02 - a.b02)) / 3) AS max_diff
-  FROM px a JOIN px b ON a.y = b.y AND a.x = b.x AND a.scene_id = 0 AND b.scene_id = 1 GROUP BY ALL
+  FROM px a JOIN px b ON a.y = b.y AND a.x = b.x AND b.scene_id = a.scene_id + 1 GROUP BY ALL
 )
-SELECT tile_row, tile_col, 'rgb_visual_only' AS mode, round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff,
-  printf('Cloud/shadow change: %.1f%% → %.1f%%', round(c1 * 100, 1), round(c2 * 100, 1)) AS atmosphere,
-  printf('Overall visual dissimilarity: %.3f (OpenCLIP embedding distance)', mean_diff / 255) AS visual_dissimilarity
-FROM diff JOIN cloud USING (tile_row, tile_col)""",
+SELECT pair, d.tile_row, d.tile_col, 'rgb_visual_only' AS mode, round(mean_diff, 9) AS mean_diff, round(max_diff, 6) AS max_diff,
+  printf('Cloud/shadow change: %.1f%% → %.1f%%', round(e.c * 100, 1), round(f.c * 100, 1)) AS atmosphere,
+  printf('Overall visual dissimilarity: %.3f (pixel difference)', mean_diff / 255) AS visual_dissimilarity
+FROM diff d JOIN cloud e ON e.scene_id = d.pair AND e.tile_row = d.tile_row AND e.tile_col = d.tile_col
+JOIN cloud f ON f.scene_id = d.pair + 1 AND f.tile_row = d.tile_row AND f.tile_col = d.tile_col""",
     ("raster",),
 )
 def visual_report(d: Data):
     diff = raster_diff(d)
-    windows = tiling.tile_grid(d.raster.filter("scene_id < 2"), d.scenes, RGB, SIZE)
-    cloud = windows.groupBy(*TILE).agg(
-        F.max(F.when(F.col("scene_id") == 0, F.col("cloud_ratio"))).alias("cloud_t1"),
-        F.max(F.when(F.col("scene_id") == 1, F.col("cloud_ratio"))).alias("cloud_t2"),
+    windows = tiling.tile_grid(d.raster, d.scenes, RGB, SIZE)
+    # A scene is the first of its own pair and the second of the one before.
+    sides = F.array(F.struct(F.col("scene_id").alias("pair"), F.lit(1).alias("t")), F.struct((F.col("scene_id") - 1).alias("pair"), F.lit(2).alias("t")))
+    sided = windows.select(*TILE, "cloud_ratio", F.explode(sides).alias("s")).select(*TILE, "cloud_ratio", "s.*")
+    cloud = sided.groupBy(*PAIR_TILE).agg(
+        *[F.max(F.when(F.col("t") == t, F.col("cloud_ratio"))).alias(f"cloud_t{t}") for t in (1, 2)]
     )
-    # No network here, so the share of full scale stands in for embedding drift.
-    drift = spectral.difference_summary(diff, TILE).select(*TILE, (F.col("mean_diff") / 255).alias("drift"))
-    report = spectral.visual_report(diff, cloud, drift, TILE)
-    return report.select(*TILE, "mode", F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), "atmosphere", "visual_dissimilarity")
+    # No vectors of these windows, so their difference is told as a share of full scale, and named so.
+    drift = spectral.difference_summary(diff, PAIR_TILE).select(*PAIR_TILE, (F.col("mean_diff") / 255).alias("drift"))
+    report = spectral.visual_report(diff, cloud, drift, PAIR_TILE, measure="pixel difference")
+    return report.select(*PAIR_TILE, "mode", F.round("mean_diff", 9).alias("mean_diff"), r6("max_diff"), "atmosphere", "visual_dissimilarity")
