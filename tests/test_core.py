@@ -343,6 +343,13 @@ def test_scene_pairs_by_order(spark):
     assert [(r.scene_id_a, r.scene_id_b, r.ready) for r in got] == [(10, 20, True)]
 
 
+def test_pages_by_key_equal_pages_by_offset(spark):
+    queue = spark.range(40).select("id", F.lit("PENDING").alias("status"), F.timestamp_seconds(F.col("id") % 6).alias("created_at"))
+    first = review.review_page(queue, "PENDING", 7).collect()
+    second = review.review_after(queue, first[-1].created_at, first[-1].id, "PENDING", 7).collect()
+    assert second == review.review_page(queue, "PENDING", 7, 7).collect()
+
+
 def test_aoi_window_is_clamped(spark):
     scenes = spark.createDataFrame([(1, 100, 100, [10.0, 0.0, 0.0, 0.0, -10.0, 1000.0])], "scene_id int, width int, height int, affine array<double>")
     for x, y, want in ((500.0, 500.0, (40, 40)), (0.0, 1000.0, (0, 0)), (999.0, 1.0, (80, 80))):

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import pixel_rows, planted_scenes
@@ -70,11 +71,12 @@ def test_quality_filters_count_bands_and_values(spark):
     assert grid.first().valid_ratio == 1.0
 
 
-def test_overlapping_windows_match_numpy(spark):
+@pytest.mark.parametrize("overlap", [8, 1, 13])
+def test_overlapping_windows_match_numpy(spark, overlap):
     scene = planted_scenes(SIZE)[1]
-    grid = tiling.tile_grid(pixel_table(spark, {1: scene}), scene_table(spark, (1,)), BANDS, 20, overlap=8)
+    grid = tiling.tile_grid(pixel_table(spark, {1: scene}), scene_table(spark, (1,)), BANDS, 20, overlap=overlap)
     got = {(r.tile_row, r.tile_col): r for r in tiling.drop_ragged(grid, 20).collect()}
-    offsets = [o for o in range(0, 64, 12) if o + 20 <= 64]
+    offsets = [o for o in range(0, 64, 20 - overlap) if o + 20 <= 64]
     assert sorted(got) == [(a, b) for a in offsets for b in offsets]
     for (a, b), row in got.items():
         grey = np.clip(scene[:3, a : a + 20, b : b + 20] / 255.0, 0, 1).mean(axis=0)

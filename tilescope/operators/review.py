@@ -64,6 +64,13 @@ def review_page(queue: DataFrame, status: str | None = None, limit: int = 100, o
     return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
 
 
+def review_after(queue: DataFrame, created_at: object, item_id: int, status: str | None = None, limit: int = 100) -> DataFrame:
+    """The page that follows a given last row (its created_at and id): no offset to read past, however deep."""
+    rows = queue.filter(F.col("status") == status) if status else queue
+    later = (F.col("created_at") < F.lit(created_at)) | ((F.col("created_at") == F.lit(created_at)) & (F.col("id") < item_id))
+    return rows.filter(later).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+
+
 def review_get(queue: DataFrame, requests: DataFrame) -> DataFrame:
     """The first queue row (smallest id) of each requested tile_id."""
     return top_per_key(queue.join(requests, "tile_id", "left_semi"), ["tile_id"], [F.col("id")])

@@ -7,7 +7,6 @@ and the affine transform as array(a, b, c, d, e, f).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,14 +52,20 @@ def tile_grid(
 ) -> DataFrame:
     """One row per window with everything the quality filters need.
 
-    Pixels are first reduced to blocks of gcd(size, stride) pixels, which every
-    window is a whole number of; only block totals are copied into overlapping
+    Each axis is cut where a window starts or ends, so at most twice per stride,
+    and pixels are first reduced to the blocks between cuts. Every window is a
+    whole number of blocks; only block totals are copied into overlapping
     windows, never pixels. Ratios under both scalings (as stored, and divided by
     `full_scale`) are tallied in the same pass because the window maximum that selects
     between them is known only at the end.
     """
     stride = stride_of(size, overlap)
-    block = math.gcd(size, stride)
+
+    def cut(position: str) -> Column:
+        start = F.floor(F.col(position) / stride) * stride
+        end = F.floor((F.col(position) - size) / stride) * stride + size
+        return F.greatest(start, F.when(F.col(position) >= size, end))
+
     colour = [F.col(b).cast("double") for b in bands[:3]]
 
     facts = scenes.select("scene_id", "nodata", "width", "height")
@@ -83,8 +88,8 @@ def tile_grid(
             "scene_id",
             "width",
             "height",
-            (F.floor(F.col("y") / block) * block).alias("by"),
-            (F.floor(F.col("x") / block) * block).alias("bx"),
+            cut("y").alias("by"),
+            cut("x").alias("bx"),
         )
         .agg(
             F.count(F.lit(1)).alias("n_pixels"),
@@ -98,7 +103,7 @@ def tile_grid(
     )
     counts = ["n_pixels", "n_valid", "dark_raw", "dark_scaled", "murky_raw", "murky_scaled"]
     placed = place_in_windows(blocks, size, stride, "by", "bx")
-    if block == size:
+    if stride == size:
         windows = placed.drop("by", "bx")
     else:
         windows = placed.groupBy(*TILE_KEYS, "width", "height").agg(

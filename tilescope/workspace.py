@@ -191,6 +191,9 @@ class Workspace:
     def review_list(self, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         return review.review_page(self.queue(), status, limit, offset)
 
+    def review_after(self, created_at: object, item_id: int, status: str | None = None, limit: int = 100) -> DataFrame:
+        return review.review_after(self.queue(), created_at, item_id, status, limit)
+
     def review_change(self, updates: DataFrame) -> None:
         self.queue_store.write(review.review_update(self.queue(), updates, self.now()))
 
