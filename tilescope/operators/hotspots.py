@@ -93,30 +93,41 @@ def hotspot_decide(ledger: DataFrame, queue: DataFrame, decisions: DataFrame) ->
     return updated, decided
 
 
+MOST_LEVELS = 12  # squares of reach / 8**12, far below the precision of a position
+
+
 def nearest_hotspot(
-    clicks: DataFrame, hotspots: DataFrame, reach: float = 0.5, order: str = "id", levels: int = 3, fan: int = 8
+    clicks: DataFrame, hotspots: DataFrame, reach: float = 0.5, order: str = "id", fan: int = 8, leaf_size: int = 32
 ) -> DataFrame:
     """The nearest hotspot within `reach` degrees of each click; the last in order wins ties.
 
-    Squares of side `reach` are refined `levels` times into fan x fan squares.
-    At each level a click keeps only the occupied squares that can still hold
-    its nearest hotspot (nearest edge no farther than the best farthest corner),
-    so a square that holds a third of all hotspots is narrowed down before any
-    click meets a hotspot, and pairs are never formed wholesale.
+    Squares of side `reach` are refined into fan x fan squares until the most
+    crowded one holds at most `leaf_size` places, so a click meets no more of
+    them however many hotspots there are; two places closer than the side of
+    the MOST_LEVELS-th square count as one square's. At each level a click keeps
+    only the occupied squares that can still hold its nearest hotspot (nearest
+    edge no farther than the best farthest corner), so a square that holds a
+    third of all hotspots is narrowed down before any click meets a hotspot, and
+    pairs are never formed wholesale.
     """
 
     def square(value: Column, level: int) -> Column:
         return F.floor(value * (fan**level / reach)).cast("long")
 
     # Hotspots at one location can only tie, so the last of them stands for all.
-    # The table is read once per level, so it is written once and read back.
-    places = top_per_key(hotspots, ["lat", "lng"], [F.col(order).desc()])
+    # The table is read several times per level, so it is written once and read back.
+    places = checkpointed(top_per_key(hotspots, ["lat", "lng"], [F.col(order).desc()]))
+    levels = 0
+    while levels < MOST_LEVELS:
+        held = places.groupBy(square(F.col("lat"), levels).alias("y"), square(F.col("lng"), levels).alias("x")).count()
+        if (held.agg(F.max("count")).first()[0] or 0) <= leaf_size:
+            break
+        levels += 1
     for level in range(levels + 1):
         places = places.withColumn(f"__y{level}", square(F.col("lat"), level)).withColumn(
             f"__x{level}", square(F.col("lng"), level)
         )
 
-    places = checkpointed(places)
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     front = (
         clicks.select("click_id", F.col("lat").alias("click_lat"), F.col("lng").alias("click_lng"))

@@ -126,6 +126,16 @@ def class_gap(rows: DataFrame, label: str = "label", score: str = "confidence")
     return means.withColumn("gap", F.col("real_avg") - F.col("false_avg"))
 
 
+def derived_features(rows: DataFrame) -> DataFrame:
+    """Add max_cloud, the cloudier side, and month_diff, the distance of the months."""
+    return rows.withColumns(
+        {
+            "max_cloud": F.greatest("cloud_t1", "cloud_t2"),
+            "month_diff": F.abs(F.col("month_t1") - F.col("month_t2")),
+        }
+    )
+
+
 def feature_histogram(rows: DataFrame, feature: str, bins: int, label: str = "label") -> DataFrame:
     """Equal-width histogram of a feature per label, over the feature's whole range."""
     ends = rows.agg(F.struct(F.min(feature).alias("lo"), F.max(feature).alias("hi"))).scalar()

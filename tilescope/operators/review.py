@@ -92,3 +92,9 @@ def record_fuzzy_match(queue: DataFrame, wanted: str) -> DataFrame:
         .filter(F.col("match_grade").isNotNull())
         .orderBy("match_grade", F.col("created_at").desc(), F.col("id").desc())
     )
+
+
+def audit_fuzzy_match(ledger: DataFrame, wanted: str) -> DataFrame:
+    """The newest ledger row whose id contains the text, for ids the queue does not know."""
+    hit = ledger.filter(F.col("id").contains(wanted))
+    return hit.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(1)

@@ -288,11 +288,11 @@ PAIRS = """WITH cells AS (
   WHERE date IN ('2023-12-08', '2024-05-16', '2024-12-17')
   QUALIFY row_number() OVER (PARTITION BY site, tile_row, tile_col, date ORDER BY point_id) = 1
 ), pairs AS (
-  SELECT tile_id || '__' || lead(tile_id) OVER w AS pair_id, cloud AS c1, lead(cloud) OVER w AS c2,
+  SELECT tile_id || '__' || lead(tile_id) OVER w AS pair_id, cloud AS c1, lead(cloud) OVER w AS c2, date AS d1, lead(date) OVER w AS d2,
     CAST(embedding AS DOUBLE[]) AS v1, CAST(lead(embedding) OVER w AS DOUBLE[]) AS v2
   FROM cells WINDOW w AS (PARTITION BY site, tile_row, tile_col ORDER BY date)
 ), labelled AS (
-  SELECT pair_id, CAST(((1 - list_cosine_similarity(v1, v2)) > 1.0 AND greatest(c1, c2) <= 0.15)
+  SELECT pair_id, greatest(c1, c2) AS max_cloud, abs(month(CAST(d1 AS DATE)) - month(CAST(d2 AS DATE))) AS month_diff, CAST(((1 - list_cosine_similarity(v1, v2)) > 1.0 AND greatest(c1, c2) <= 0.15)
     <> (CAST('0x' || substr(md5(pair_id), 1, 4) AS BIGINT) % 5 = 0) AS INT) AS label
   FROM pairs WHERE pair_id IS NOT NULL
 )
@@ -326,6 +326,23 @@ def rf_score(d: Data):
     return scored.select("pair_id", "label", F.col("confidence").between(0, 1).alias("in_range"), higher.alias("real_is_higher"))
 
 
+@query(
+    "derived_histograms",
+    PAIRS
+    + """, spread AS (
+  SELECT 'max_cloud' AS feature, label, CAST(max_cloud AS DOUBLE) AS x FROM labelled
+  UNION ALL SELECT 'month_diff', label, CAST(month_diff AS DOUBLE) FROM labelled
+), ends AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM spread GROUP BY feature)
+SELECT feature, label, CAST(CASE WHEN hi = lo THEN 0 ELSE least(3, floor((x - lo) / (hi - lo) * 4)) END AS INT) AS bin, count(*) AS n
+FROM spread JOIN ends USING (feature) GROUP BY ALL""",
+    ("points",),
+)
+def derived_histograms(d: Data):
+    rows = learning.derived_features(training_pairs(d))
+    both = [learning.feature_histogram(rows, f, 4).withColumn("feature", F.lit(f)) for f in ("max_cloud", "month_diff")]
+    return both[0].unionByName(both[1]).select("feature", "label", "bin", "n")
+
+
 @query("feature_rank", "SELECT CAST(7 AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total, true AS none_negative")
 def feature_rank(d: Data):
     model = learning.rf_train(training_pairs(d))

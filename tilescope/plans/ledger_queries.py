@@ -173,6 +173,17 @@ def record_fuzzy_match(d: Data):
     return review.record_fuzzy_match(d.view("review_queue"), "aoi_c12").select("id", "tile_id", "match_grade")
 
 
+@query(
+    "audit_fuzzy_match",
+    """
+SELECT id, primary_tag, status FROM pair_ledger WHERE contains(id, 'r0_c512')
+ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 1""",
+    ("pair_ledger",),
+)
+def audit_fuzzy_match(d: Data):
+    return review.audit_fuzzy_match(d.view("pair_ledger"), "r0_c512").select("id", "primary_tag", "status")
+
+
 @query(
     "bbox_from_json",
     """
