@@ -36,7 +36,7 @@ from tilescope.llm.common import as_batch, components, stored
 ORDER_BITS = 23
 BLOCK = 4096
 CLUSTER_SHINGLES = 1 << 20  # a block of a cluster holds about this many n-grams
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 1_000_000
 SMALL = 64
 OFTEN = 16
 MOST_SHARED = 4  # e: a tenth of the set, from 1 to this
@@ -70,7 +70,8 @@ def _describe(width: int, bits: int):
         )
         for batch in batches:
             for row, values, at in _sets(batch, width):
-                counts += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                bucket, n = np.unique(values >> np.uint64(64 - bits), return_counts=True)
+                counts[bucket.astype(np.int64)] += n.astype(np.uint32)
                 size = len(at) - 1
                 s1, s2 = _signatures(values, at)
                 yield pa.RecordBatch.from_arrays(

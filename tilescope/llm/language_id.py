@@ -33,7 +33,7 @@ SLOT_BITS = 21
 HASHES = 3
 RATE = 0.002
 FRACTION = 0.125
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 250_000
 FLUSH_GRAMS = 1_500_000
 UNKNOWN = "und"
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts are hashed in blocks of about this many bytes; a longer text is a block of its own
+CHUNK_BYTES = 1 << 20  # texts are hashed in blocks of about this many bytes; a longer text is a block of its own
 
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
