@@ -73,6 +73,16 @@ def test_jaccard_join_in_blocks(spark, monkeypatch, threshold):
     assert got == brute.classes(texts, 3, threshold)
 
 
+def test_jaccard_join_of_copies_in_falling_order(spark):
+    """The copy with the smallest id is not the one a task meets first."""
+    a, b = passage(11, 40), passage(12, 40)
+    texts = [(7, a), (2, a), (5, a + " more"), (30, b + " more"), (21, b), (20, b), (9, passage(13, 40))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r[0]: tuple(r[1:]) for r in ngram_jaccard_join(df, 4, 0.85).collect()}
+    assert got == brute.classes(texts, 4, 85)
+    assert got[2][1:] == got[5][1:] == got[7][1:] == (2, 1)
+
+
 def test_trie_links():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]

@@ -128,7 +128,10 @@ def _prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _prefixes(width: int, bits: int, num: int, den: int, levels):
-    """Rows (token, doc, n, tied): prefix n-grams, and documents tied to the first one of a frequent n-gram."""
+    """Rows (token, doc, n, tied): prefix n-grams, and documents tied to the first one of a frequent n-gram.
+
+    A document goes by the first sum of its set, so that copies are one wherever they are met.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
@@ -161,8 +164,8 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
         for batch in batches:
             for row, values, at in _sets(batch, width):
                 n = np.diff(at)
-                docs = batch.column(0).slice(row, len(n)).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                for i, key in enumerate(zip(*_signatures(values, at), strict=True)):
+                docs, other = _signatures(values, at)
+                for i, key in enumerate(zip(docs, other, strict=True)):
                     if key in seen:
                         n[i] = 0
                     seen.add(key)
@@ -170,7 +173,7 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
                 order = np.lexsort((values, level[(values >> np.uint64(64 - bits)).astype(np.int64)], owner))
                 rank = np.arange(len(values)) - at[:-1][owner]
                 keep = rank < _prefix_size(n, num, den)[owner]
-                held.append((values[order][keep], docs[owner[keep]].astype(np.int64), n[owner[keep]]))
+                held.append((values[order][keep], docs[owner[keep]], n[owner[keep]]))
                 rows += int(keep.sum())
             if rows > FLUSH_ROWS:
                 yield flush()
@@ -414,9 +417,10 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
         tied.select(F.col("component").alias("node"), "component").distinct()
     )
     known = sets.filter("doc_id is not null and n_shingles > 0")
-    members = known.join(clusters, known["doc_id"] == clusters["node"])
-    members = members.groupBy("component", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    weight = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).filter("sets > 1")
+    # Every set stands under its smallest document, whichever copies were met.
+    classes = stored(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    members = classes.join(clusters, classes["s1"] == clusters["node"])
+    weight = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("weight")).filter("sets > 1")
     members = stored(
         members.join(weight, "component").select(
             F.col("rep"),
@@ -441,8 +445,7 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, threshold: float =
     )
     roots = components(found.filter("doc_id != label"), "doc_id", "label")
     linked = found.groupBy("doc_id").agg(F.sum("links").alias("n_links")).withColumnRenamed("doc_id", "linked")
-    # Class of every set: its smallest document, and what that reaches.
-    classes = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # What the smallest document of every set reaches.
     classes = classes.join(roots, classes["rep"] == roots["node"], "left").join(
         linked, F.col("rep") == linked["linked"], "left"
     )
