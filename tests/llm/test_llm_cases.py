@@ -83,6 +83,30 @@ def test_jaccard_join_of_copies_in_falling_order(spark):
     assert got[2][1:] == got[5][1:] == got[7][1:] == (2, 1)
 
 
+def test_jaccard_join_ties_all_holders_of_a_cut_n_gram(spark):
+    """A short passage in long texts, alone, and with a word more: its n-grams are met often in one task."""
+    short, filler = passage(14, 13), passage(15, 97)
+    texts = [(i, f"{filler} {short} only{i}") for i in range(15)] + [(15, short)] + [(i, f"{short} last{i}") for i in range(16, 22)]
+    texts += [(i, filler) for i in range(100, 200)]  # so that the passage's n-grams are the rarer ones
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r[0]: tuple(r[1:]) for r in ngram_jaccard_join(df, 4, 0.85).collect()}
+    assert got == brute.classes(texts, 4, 85)
+    assert got[15] == (10, 15, 6)
+
+
+def test_jaccard_pairs_tie_whatever_shares_a_marked_n_gram():
+    """One task cut the n-gram and sends a marked row; a document of another task is tied, not paired by its size."""
+    import pyarrow as pa
+
+    from tilescope.llm.jaccard_join import _pairs
+
+    columns = {"token": [1, 1, 2, 2, 2, 2], "doc": [10, 20, 10, 10, 20, 30], "n": [-1, 3, 50, 50, 3, 3], "tied": [-1] * 6, "has": [False] * 6}
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns.values(), kinds, strict=True)], list(columns))
+    got = [tuple(r.values()) for out in _pairs(85, 100)(iter([batch])) for r in out.to_pylist()]
+    assert sorted(got) == [(10, 20, 0), (20, 30, 1)]
+
+
 def test_trie_links():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]

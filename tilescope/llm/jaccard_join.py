@@ -8,7 +8,8 @@ similarity of their sets reaches a threshold; the classes are the connected comp
 2. Two sets that link share e of the first n - ceil(t*n) + e n-grams of each. Documents that share an
    n-gram of at most SMALL documents are paired, and pairs with e or more such n-grams are tied. The
    documents of a more common one are all tied to its first; a task does so itself for n-grams it
-   meets often, so a hot n-gram leaves it as a few rows. Ties give candidate clusters: no link
+   meets often, so a hot n-gram leaves it as one row, marked as common: what other tasks hold of it
+   is tied too, however little. Ties give candidate clusters: no link
    crosses two.
 3. Equal sets of a cluster shrink to one. The sets of a cluster are stored in a trie, common n-grams
    first, and the trie is walked once with the overlaps of all sets at a time: a shared path is
@@ -130,7 +131,8 @@ def _prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
 def _prefixes(width: int, bits: int, num: int, den: int, levels):
     """Rows (token, doc, n, tied): prefix n-grams, and documents tied to the first one of a frequent n-gram.
 
-    A document goes by the first sum of its set, so that copies are one wherever they are met.
+    A document goes by the first sum of its set, so that copies are one wherever they are met. A
+    negative n marks the row of a frequent n-gram.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,8 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
             size = np.diff(np.r_[start, len(token)])
             often = np.repeat(size > OFTEN, size)
             place = np.arange(len(token)) - np.repeat(start, size)
-            rest = often & (place >= OFTEN)  # the first ones stay, so that the n-gram shows as a common one
+            rest = often & (place > 0)
+            n = np.where(often, -1, n)
             tied = np.unique(np.stack([doc[rest], doc[np.repeat(start, size)][rest]], 1), axis=0)
             tied = tied[tied[:, 0] != tied[:, 1]]
             keep = ~rest
@@ -185,23 +188,28 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
 
 
 def _pairs(num: int, den: int):
-    """Rows (a, b, e) from rows sorted by token: pairs of small groups, ties (e = 0) of others to their first document."""
+    """Rows (a, b, e) from rows sorted by token: pairs of small groups, ties (e = 0) of others and of marked ones to their first document."""
 
     def of_runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((n, doc, token))
+        token, doc, n = token[order], doc[order], n[order]
+        new = np.ones(len(token), bool)  # copies of a set met in several tasks count once, a mark stays
+        new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+        token, doc, n = token[new], doc[new], n[new]
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(token)])
+        common = (np.minimum.reduceat(n, start) < 0) | (size > SMALL) if len(token) else np.zeros(0, bool)
         out = []
-        for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        for m in np.unique(size[(size > 1) & ~common]).tolist():
             i, j = np.triu_indices(m, 1)
-            first = start[size == m][:, None]
+            first = start[(size == m) & ~common][:, None]
             x, y = (first + i).ravel(), (first + j).ravel()
             fits = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])  # else their sizes alone differ too much
             x, y = x[fits], y[fits]
             out.append((doc[x], doc[y], np.minimum(_shared(n[x]), _shared(n[y]))))
-        for k in np.flatnonzero(size > SMALL).tolist():
-            other = np.unique(doc[start[k] : start[k] + size[k]])
-            out.append((np.full(len(other), doc[start[k]]), other, np.zeros(len(other), np.int32)))
-        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        tied = np.repeat(common, size)
+        out.append((np.repeat(doc[start], size)[tied], doc[tied], np.zeros(int(tied.sum()), np.int64)))
+        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
         keep = a != b
         a, b, c = a[keep], b[keep], c[keep]
         return as_batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "e": c.astype(np.int32)})
@@ -224,7 +232,7 @@ def _pairs(num: int, den: int):
             carried = token[last:], doc[last:], n[last:]
             if len(carried[0]) > 4 * SMALL:  # a common one: tie what is there, go on with its first document
                 yield of_runs(*carried)
-                carried = tuple(np.repeat(x[:1], SMALL + 1) for x in carried)
+                carried = carried[0][:1], carried[1][:1], np.full(1, -1, carried[2].dtype)
         if carried is not None:
             yield of_runs(*carried)
 
