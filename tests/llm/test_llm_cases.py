@@ -13,7 +13,7 @@ from tilescope.llm.jaccard_join import ngram_jaccard_join, trie_links
 from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses
 from tilescope.llm.mixing import mix_sources
-from tilescope.llm.ngram_lm import EliasFano, TrieShard, score_texts
+from tilescope.llm.ngram_lm import CODES, EliasFano, TrieShard, quantised, score_texts
 from tilescope.llm.queries import _piece_model
 from tilescope.llm.token_counts import token_counts
 from tilescope.llm.topk_search import exact_top_k, grid_weights
@@ -210,6 +210,18 @@ def test_lm_score(odd, none):
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in untaught} == {(0, 0, 0.0)}
 
 
+def test_lm_counts_have_no_upper_end(spark):
+    counts = np.array([3_736_700.0, 5e6, 4e7, 3e10, 1e15, 2.0**63])
+    context, word = np.arange(6, dtype=np.uint64), np.full(6, 9, np.uint64)
+    read = CODES[TrieShard(context, word, counts).look_up(context, word)]
+    assert (abs(read / counts - 1) < 0.03).all()
+    n = 5_000_000  # one word again and again: after it comes the word itself, but for the end
+    (got,) = score_texts(spark.range(1).selectExpr("id as doc_id", f"repeat('a ', {n}) as text"), F.lit(False)).collect()
+    pair, single = CODES[quantised(np.array([n - 1.0]))[0]], (n + 1) / (n + 1 + 2 + 1)
+    assert got["score"] / n == pytest.approx(np.log10(0.2 * min(1, pair / n) + 0.8 * single), abs=1e-4)
+    assert abs(min(1, pair / n) - 1) < 0.03
+
+
 def test_language_id(spark, odd, none):
     taught = spark.createDataFrame(
         [("the cat and the dog are here " * 3, "en"), ("der hund und die katze sind hier " * 3, "de"), (None, "en"), ("x", None)], "text string, lang string"

@@ -9,7 +9,8 @@ and pairs, each once however often it has them, and brings its own training coun
 pair is a row per chunk at most. Askings meet in shards, a pair by its context and a few bits of its
 word, so that a hot context is spread. A shard holds its part of the trie: contexts, monotone
 pointers to their successors, successors as an Elias-Fano sequence made monotone by the context's
-number, and relative frequencies quantised to a byte. Successors are searched relative to their
+number, and pair counts quantised on a logarithmic scale without an upper end; codes travel as bytes,
+and as two bytes each where a shard's answer holds a count above 3.7 million. Successors are searched relative to their
 context. Answers go back to the chunks, aligned with what was asked, and each chunk scores its texts.
 No table of the whole vocabulary is ever in one place; all moved data grows with the input.
 
@@ -33,15 +34,15 @@ CHUNK_BYTES = 8 << 20
 SPREAD_BITS = 4  # a context's pairs go to up to 16 shards
 END = wordhash.mix(np.array([0x1D], np.uint64))[0]
 START = wordhash.mix(np.array([0x1C], np.uint64))[0]
-#: Counts that a code stands for: 0 to 64 exactly, then steps of a twelfth of a factor 2.
-CODES = np.unique(np.r_[np.arange(65), np.round(64 * 2.0 ** (np.arange(1, 191) / 12))].astype(np.float64))[:256]
+#: Counts that a code stands for: 0 to 64 exactly, then steps of a twelfth of a factor 2 up to the largest 64-bit count.
+CODES = np.unique(np.r_[np.arange(65), np.round(64 * 2.0 ** (np.arange(1, 12 * 58 + 1) / 12))].astype(np.float64))
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
     """Code of the nearest count that has one."""
     at = np.clip(np.searchsorted(CODES, counts), 1, len(CODES) - 1)
     nearer = (counts - CODES[at - 1]) < (CODES[at] - counts)
-    return (at - nearer).astype(np.uint8)
+    return (at - nearer).astype(np.uint16)
 
 
 class EliasFano:
@@ -111,7 +112,7 @@ def _unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
 
 
 class TrieShard:
-    """Contexts, pointers, successors and quantised frequencies of the pairs that fell to one shard."""
+    """Contexts, pointers, successors and quantised counts of the pairs that fell to one shard."""
 
     SUCCESSOR_BITS = 40
 
@@ -130,7 +131,7 @@ class TrieShard:
 
     def look_up(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Code of every pair; 0 where the pair was never seen."""
-        out = np.zeros(len(context), np.uint8)
+        out = np.zeros(len(context), np.uint16)
         if not len(self.contexts):
             return out
         number = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
@@ -278,7 +279,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     seen = n > 0
     trie = TrieShard(c[seen], w[seen], n[seen].astype(np.float64))
     answers = [_numbers(totals[np.searchsorted(known, x)]) for x in words]
-    codes = [trie.look_up(a, b).tobytes() for a, b in zip(contexts, successors, strict=True)]
+    codes = [_numbers(trie.look_up(a, b)) for a, b in zip(contexts, successors, strict=True)]
     return pa.table(
         [rows["chunk"], rows["shard"], pa.array(answers, pa.binary()), pa.array(codes, pa.binary())],
         ["chunk", "shard", "word_counts", "codes"],
@@ -292,7 +293,8 @@ def _score(shards: int, n: int, v: int, starts: int, weight: float):
         answers = answers.sort_by("shard")
         counts = [_read_numbers(x) for x in answers["word_counts"].to_pylist()]
         count = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
-        code = np.frombuffer(b"".join(answers["codes"].to_pylist()), np.uint8)
+        codes = [_read_numbers(x).astype(np.uint16) for x in answers["codes"].to_pylist()]
+        code = np.concatenate(codes) if codes else np.zeros(0, np.uint16)
         c = count.astype(np.float64)[chunk.word_of]
         after = np.append(count.astype(np.float64), float(starts))[chunk.context_of]
         pair = CODES[code[chunk.pair_of]]
