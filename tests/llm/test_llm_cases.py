@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tilescope.llm.decontaminate import drop_contaminated, find_contamination
-from tilescope.llm.html_wrapper import extract_main_text
+from tilescope.llm.html_wrapper import _off, extract_main_text, slots
 from tilescope.llm.jaccard_join import ngram_jaccard_join, trie_links
 from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses
@@ -177,6 +177,14 @@ def test_html_text(spark):
     assert extract_main_text(frame.limit(0), F.col("url")).count() == 0
 
 
+def test_html_labels_keep_telling_words_and_closed_svg_is_empty():
+    box = "<div class='elementor-section elementor-top-section elementor-section-boxed height-default' id='comments'>reader</div>"
+    (found,) = slots(box)
+    assert _off(found[0])
+    assert [s[1] for s in slots("<p>one <svg viewBox='0 0'/> two</p><p>three <math/> four</p>")] == ["one two", "three four"]
+    assert [s[1] for s in slots("<p>one <svg><text>x</text></svg> two</p>")] == ["one two"]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1), (500, 100), (500, 1 << 50), (1000, 1 << 63)):

@@ -60,12 +60,14 @@ OFF_WORDS = frozenset(
     "social share sharing toolbar pagination pager copyright legal skip search form".split()
 )
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that decide about a slot stay in a label whatever their place; of others the first six.
+TELLING = OFF_WORDS | MAIN_WORDS | {"teaser"}
 SALTS = 16
 MOST_LABELS = 64
 BROADCAST_CHARS = 16 << 20
 FLUSH = 50_000
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -80,7 +82,7 @@ def _label(tag: str, rest: str) -> str:
     words: list[str] = []
     for found in _NAMES.findall(rest):
         words += [w for w in _WORD.findall(" ".join(found).lower()) if w not in words]
-    return ".".join([tag, *words[:6]])
+    return ".".join([tag, *words[:6], *(w for w in words[6:] if w in TELLING)])
 
 
 def slots(page: str) -> Iterator[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
