@@ -177,6 +177,20 @@ def test_html_text(spark):
     assert extract_main_text(frame.limit(0), F.col("url")).count() == 0
 
 
+def test_html_text_of_mixed_templates_and_copies(spark):
+    article = "<article><p>Story {i} is told here.</p></article>"
+    div = "<div class=wrap><div class=inner><p>Plain page {i} has a text.</p></div></div>"
+    other = "<section><div class=shop><p>Item {i}</p></div></section>"
+    pages = [(0, "mixed", article.format(i=0))] + [(i, "mixed", div.format(i=f"{i} " + "long " * 30)) for i in range(1, 8)]
+    pages += [(i, "mixed", other.format(i=i)) for i in (8, 9)] + [(i, "copies", div.format(i="same")) for i in range(10, 15)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in extract_main_text(frame, F.col("url")).collect()}
+    assert text[0] == "Story 0 is told here."
+    assert all(text[i] == " ".join(f"Plain page {i} {'long ' * 30} has a text.".split()) for i in range(1, 8))
+    assert [text[i] for i in (8, 9)] == ["Item 8", "Item 9"]
+    assert all(text[i] == "Plain page same has a text." for i in range(10, 15))
+
+
 def test_html_labels_keep_telling_words_and_closed_svg_is_empty():
     box = "<div class='elementor-section elementor-top-section elementor-section-boxed height-default' id='comments'>reader</div>"
     (found,) = slots(box)

@@ -5,13 +5,15 @@ groups of siblings become one repeated item. Pages of a host are told apart by f
 so a host with a third of all pages leaves a few structures behind, counted by Spark. A host's
 structures are then aligned one after the other: what is missing on one side becomes optional, what
 repeats becomes a repeated group, differing text a slot. The result is a wrapper, a regular
-expression without unions, and a set of slots. Which slots are main text is decided per host from
-the wrapper and from counts of all its pages: slots under navigation, headers, footers, asides,
+expression without unions, and a set of slots. Pages with an article, with a main element, with a box
+named as content, and others are different kinds of a host, each with a wrapper of its own. Which
+slots are main text is decided per host and kind from the wrapper and from counts of all its pages: slots under navigation, headers, footers, asides,
 forms and boxes named as adverts, notices, comments and the like are not; article or main elements
 win where there are any, else the deepest element that holds most of the text; there, slots whose
-text never changes or is mostly links are left out.
+text never changes over five different pages or is mostly links are left out.
 
-A page's text is that of its slots that are main slots of its host's wrapper. Character references
+A page's text is that of its slots that are main slots of its host and kind; where that is nothing,
+the same rule is applied to the page alone. Character references
 are decoded, white space runs become one space, blocks are joined by a line feed. Inline markup and
 line breaks are white space or nothing. Null or empty html gives an empty text; a null url, or one
 without a host, belongs to the host ''. Repeated rows are extracted each. Whole pages are read.
@@ -64,6 +66,7 @@ MAIN_WORDS = frozenset("article content main post entry story body text".split()
 TELLING = OFF_WORDS | MAIN_WORDS | {"teaser"}
 SALTS = 16
 MOST_LABELS = 64
+DIFFERENT = 5  # pages of different text from which an unchanging slot is no main text; no more are told apart
 BROADCAST_CHARS = 16 << 20
 FLUSH = 50_000
 _TOKEN = re.compile(
@@ -255,6 +258,19 @@ def _off(path: tuple[str, ...]) -> bool:
     return False
 
 
+def _named(path: tuple[str, ...]) -> bool:
+    return any(MAIN_WORDS.intersection(label.split(".")[1:]) for label in path if label.split(".")[0] != "body")
+
+
+def kind_of(paths: set[tuple[str, ...]]) -> str:
+    """What the main text of a page with these slots is in: an article, a main element, a named box, or none of them."""
+    left = [p for p in paths if not _off(p)]
+    for tag in ("article", "main"):
+        if any(label.split(".")[0] == tag for p in left for label in p):
+            return tag
+    return "named" if any(map(_named, left)) else "plain"
+
+
 def main_slots(stats: dict[tuple[str, ...], dict]) -> set[tuple[str, ...]]:
     """The slots of the main text among those of a wrapper, by counts over all pages of the host."""
     left = {p: s for p, s in stats.items() if not _off(p)}
@@ -266,9 +282,9 @@ def main_slots(stats: dict[tuple[str, ...], dict]) -> set[tuple[str, ...]]:
     plain = {
         p: s
         for p, s in left.items()
-        if 2 * s["linked"] <= s["chars"] and not (s["pages"] >= 5 and s["low"] == s["high"])
+        if 2 * s["linked"] <= s["chars"] and not (len(s["marks"]) >= DIFFERENT and s["low"] == s["high"])
     }
-    named = {p for p in plain if any(MAIN_WORDS.intersection(label.split(".")[1:]) for label in p if label.split(".")[0] != "body")}
+    named = {p for p in plain if _named(p)}
     if named:
         plain = {p: plain[p] for p in named}
     volume: dict[tuple[str, ...], int] = defaultdict(int)
@@ -282,13 +298,13 @@ def main_slots(stats: dict[tuple[str, ...], dict]) -> set[tuple[str, ...]]:
     return {p for p in plain if p[: len(root)] == root}
 
 
-_PAGE_SCHEMA = "host string, kind string, key string, pages long, chars long, linked long, low long, high long"
+_PAGE_SCHEMA = "host string, kind string, key string, pages long, chars long, linked long, low long, high long, marks array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Structures and slots of the pages (host, html) of a task, counted."""
-    names = ["host", "kind", "key", "pages", "chars", "linked", "low", "high"]
-    types = [pa.string()] * 3 + [pa.int64()] * 5
+    names = ["host", "kind", "key", "pages", "chars", "linked", "low", "high", "marks"]
+    types = [pa.string()] * 3 + [pa.int64()] * 5 + [pa.list_(pa.int64())]
     counted: dict[tuple[str, str, str], list[int]] = {}
 
     def flush() -> pa.RecordBatch:
@@ -297,31 +313,35 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    def add(key: tuple[str, str, str], chars: int, linked: int, mark: int) -> None:
+    def add(key: tuple[str, str, str], chars: int, linked: int, mark: int, page: int) -> None:
         old = counted.get(key)
         if old is None:
-            counted[key] = [1, chars, linked, mark, mark]
+            counted[key] = [1, chars, linked, mark, mark, [page]]
         else:
             old[0] += 1
             old[1] += chars
             old[2] += linked
             old[3], old[4] = min(old[3], mark), max(old[4], mark)
+            if page not in old[5]:
+                old[5] = sorted([*old[5], page])[:DIFFERENT]
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             body = page.as_py()
             if not body:
                 continue
-            paths, by_path = [], {}
+            paths, by_path, whole = [], {}, []
             for path, text, linked, elements in slots(body):
                 paths.append((path, elements))
+                whole.append(text)
                 got = by_path.setdefault(path, [0, 0, []])
                 got[0] += len(text)
                 got[1] += linked
                 got[2].append(text)
-            add((host, "page", json.dumps(structure(paths))), 0, 0, 0)
+            host, page_mark = f"{kind_of(set(by_path))} {host}", _mark("\n".join(whole))
+            add((host, "page", json.dumps(structure(paths))), 0, 0, 0, page_mark)
             for path, (chars, linked, texts) in by_path.items():
-                add((host, "slot", json.dumps(path)), chars, linked, _mark("\n".join(texts)))
+                add((host, "slot", json.dumps(path)), chars, linked, _mark("\n".join(texts)), page_mark)
             if len(counted) > FLUSH:
                 yield flush()
     yield flush()
@@ -350,28 +370,49 @@ def _decide(key: tuple, wrappers: pd.DataFrame, slot_rows: pd.DataFrame) -> pd.D
         path = tuple(json.loads(row["key"]))
         if path in there or tuple(label.split(".")[0] for label in path) in tags:
             stats[path] = row
-    main = sorted(json.dumps(p) for p in main_slots(stats))
-    return pd.DataFrame({"host": [key[0]], "wrapper": [as_expression(wrapper)], "main": ["\n".join(main)]})
+    kind, host = key[0].split(" ", 1)
+    main = sorted(json.dumps([kind, *p]) for p in main_slots(stats))
+    return pd.DataFrame({"host": [host], "wrapper": [f"{kind}: {as_expression(wrapper)}"], "main": ["\n".join(main)]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, main) from pages(host, html): the expression of each host and its main slots, one per line."""
+    """(host, wrapper, main) from pages(host, html): a host's expressions and main slots, one per line after their kind."""
     described = pages.select("host", "html").mapInArrow(_describe, _PAGE_SCHEMA)
     counted = stored(
         described.groupBy("host", "kind", "key").agg(
-            *(F.sum(c).alias(c) for c in ("pages", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high")
+            *(F.sum(c).alias(c) for c in ("pages", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))), 1, DIFFERENT).alias("marks"),
         )
     )
     structures = counted.filter("kind = 'page'").select("host", "key", "pages")
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
     partial = structures.withColumn("salt", salt).groupBy("host", "salt")
     partial = partial.applyInPandas(_merge_structures, "host string, key string, pages long")
-    slot_rows = counted.filter("kind = 'slot'").select("host", "key", "pages", "chars", "linked", "low", "high")
-    return (
+    slot_rows = counted.filter("kind = 'slot'").select("host", "key", "pages", "chars", "linked", "low", "high", "marks")
+    decided = (
         partial.groupBy("host")
         .cogroup(slot_rows.groupBy("host"))
         .applyInPandas(_decide, "host string, wrapper string, main string")
     )
+    # At most four kinds of a host.
+    lines = (F.concat_ws("\n", F.array_sort(F.collect_list(c))).alias(c) for c in ("wrapper", "main"))
+    return decided.groupBy("host").agg(*lines)
+
+
+def _text(page: str, wanted: frozenset) -> str:
+    """The text of a page's main slots, or if it has none, of those that it has by itself."""
+    found = list(slots(page))
+    kind = kind_of({path for path, *_ in found})
+    text = "\n".join(text for path, text, _, _ in found if (kind, *path) in wanted)
+    if text or not found:
+        return text
+    stats: dict[tuple[str, ...], dict] = {}
+    for path, body, linked, _ in found:
+        own = stats.setdefault(path, {"chars": 0, "linked": 0, "low": 0, "high": 0, "marks": []})
+        own["chars"] += len(body)
+        own["linked"] += linked
+    main = main_slots(stats)
+    return "\n".join(text for path, text, _, _ in found if path in main)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +425,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.clear()
                 known[main] = frozenset(tuple(json.loads(x)) for x in (main or "").split("\n") if x)
             wanted = known[main]
-            texts.append("\n".join(text for path, text, _, _ in slots(page.as_py() or "") if path in wanted))
+            texts.append(_text(page.as_py() or "", wanted))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
