@@ -67,3 +67,61 @@ def lm_scores(rows, weight, codes):
             score += math.log10(weight * pair / total + (1 - weight) * single if total else single)
         out[i] = (len(w), sum(words[x] > 0 for x in w), n, base, score)
     return out
+
+
+def runs(words, least, exponent):
+    """(start, period, length) of all maximal stretches with smallest period, by comparing words q apart for every q."""
+    n, out = len(words), []
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            size = j + q - i
+            if j > i and size >= max(least, exponent * q) and not any(s <= i and s + m >= i + size for s, _, m in out):
+                out.append((i, q, size))
+            i = max(j, i + 1)
+    return sorted(out)
+
+
+def planted(doc_id, words):
+    """The words of a document with its periodic tail, where it has one."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return list(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def collapsed(words, found):
+    gone = {i for s, q, n in found for i in range(s + q, s + n)}
+    return [w for i, w in enumerate(words) if i not in gone]
+
+
+def near_words(counts):
+    """{word: (n_near, best near word)} of {word: n}, by comparing all words with all."""
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    met = {w: [v for v in counts if v != w and near(w, v)] for w in counts}
+    return {w: (len(m), min(m, key=lambda v: (-counts[v], v), default=None)) for w, m in met.items()}
+
+
+def variants(counts):
+    """{word: (n, n_near, form, form_n, root)} of {word: n}; a form has at least twice the word's n."""
+    met = near_words(counts)
+    form = {w: best if best is not None and counts[best] >= 2 * counts[w] else None for w, (_, best) in met.items()}
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (n, met[w][0], form[w], form[w] and counts[form[w]], root)
+    return out

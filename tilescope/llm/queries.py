@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilescope.llm.common import fold_of
+from tilescope.llm.common import fold_of, words_of
 from tilescope.llm.decontaminate import contamination_sql, find_contamination
 from tilescope.llm.html_wrapper import extract_main_text
+from tilescope.llm.interleave import shard_documents, sharding_sql
 from tilescope.llm.jaccard_join import ngram_jaccard_join
 from tilescope.llm.language_id import identify_languages, learn_languages
 from tilescope.llm.license_scan import scan_licenses, scan_sql
 from tilescope.llm.mixing import mix_sources, mixing_sql
 from tilescope.llm.ngram_lm import score_texts
+from tilescope.llm.periodic import find_runs
 from tilescope.llm.registry import REGISTRY, query, read
+from tilescope.llm.spelling import spelling_variants, variants_sql
 from tilescope.llm.token_counts import token_counts
 from tilescope.llm.topk_search import exact_top_k, grid_weights
 from tilescope.llm.url_filter import host_of, judge_urls, path_of
@@ -158,3 +161,43 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_lm_score")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(read(spark, folder, "documents"), fold_of(F.col("doc_id"), 7) == 2)
+
+
+@query("op11_spelling_variants", variants_sql(97))
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(read(spark, folder, "documents"), typo_every=97)
+
+
+@query("op12_shard_mix", sharding_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(read(spark, folder, "documents"), shards=8)
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): texts of the documents whose crc32(doc_id) ends in 0 become periodic from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, words_of(F.col("text"))))
+    rows = rows.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_runs(with_planted_runs(read(spark, folder, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    longer = lambda b, r: b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda b, r: F.when(longer(b, r), r).otherwise(b))
+    line = lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
