@@ -115,7 +115,7 @@ def _scan(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        last, opened = None, None
+        last, opened = None, None  # the row block that is open, known by its bytes
 
         def let_go(key: int) -> pa.RecordBatch:
             query, vec, score = _best(*(np.concatenate(x) for x in zip(*held.pop(key), strict=True)), k)
@@ -124,9 +124,10 @@ def _scan(k: int):
             )
 
         for batch in batches:
-            for first, q_block, v_first, v_block in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if last != (v_first.as_py(), len(v_block.as_buffer())):
-                    last, opened = (v_first.as_py(), len(v_block.as_buffer())), _postings(v_block.as_buffer())
+            for first, q_block, v_block in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if last is None or not v_block.as_buffer().equals(last):
+                    last = v_block.as_buffer()
+                    opened = _postings(last)
                 key = first.as_py()
                 found = [*held.get(key, []), *accumulate(q_block.as_buffer(), *opened)]
                 held[key] = [_best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)]
@@ -155,22 +156,22 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q_parts, v_parts = max(1, -(-n_queries // PART_QUERIES)), max(1, -(-n_rows // PART_ROWS))
     packed = "first long, block binary"
 
-    def spread(first: Column, parts: int) -> Column:
-        return F.pmod(F.xxhash64(first), F.lit(parts)).cast("int")
+    def spread(block: str, parts: int) -> Column:
+        # By content: blocks that begin with the same repeated id go different ways.
+        return F.pmod(F.xxhash64(block), F.lit(parts)).cast("int")
 
     q = queries.mapInArrow(_packed(QUERY_ROWS), packed).select(
         F.col("first").alias("q_first"),
         F.col("block").alias("q_block"),
-        spread(F.col("first"), q_parts).alias("qp"),
+        spread("block", q_parts).alias("qp"),
         F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))).alias("vp"),
     )
     v = vectors.mapInArrow(_packed(BLOCK_ROWS), packed).select(
-        F.col("first").alias("v_first"),
         F.col("block").alias("v_block"),
-        spread(F.col("first"), v_parts).alias("vp"),
+        spread("block", v_parts).alias("vp"),
         F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qp"),
     )
-    met = v.join(q, ["qp", "vp"]).select("q_first", "q_block", "v_first", "v_block")
+    met = v.join(q, ["qp", "vp"]).select("q_first", "q_block", "v_block")
     found = met.mapInArrow(_scan(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
