@@ -331,3 +331,36 @@ def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path):
         counts.append(docs.count())
         assert name == "mix" or docs.columns == odd.columns
     assert counts[0] > counts[1] > counts[2] == counts[3]
+
+
+def test_top_k_blocks_that_begin_with_the_same_id(spark, monkeypatch):
+    """Blocks of equal length whose first rows repeat an id are different blocks."""
+    import tilescope.llm.topk_search as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 2)
+    rows = [(5, [1, 1]), (6, [2, 2]), (5, [1, 1]), (9, [7, 7]), (5, [3, 3]), (11, [5, 5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, weights array<long>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1, 1]), (5, [1, 1])], "vec_id long, weights array<long>")
+    got = sorted(map(tuple, exact_top_k(vectors, queries, 4).collect()))
+    assert got == [(1, 1, 9, 14), (1, 2, 11, 10), (1, 3, 5, 6), (1, 4, 6, 4), (5, 1, 9, 14), (5, 2, 11, 10), (5, 3, 6, 4)]
+
+
+def test_jaccard_pairs_of_copies_over_batch_borders():
+    """Rows of one n-gram fill a batch with copies of few sets: all pairs are formed, as in one batch."""
+    import pyarrow as pa
+
+    from tilescope.llm.jaccard_join import _pairs
+
+    docs = [d for d in range(40) for _ in range(8)] + [40]
+
+    def batches(cuts):
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            n = end - begin
+            columns = {"token": [7] * n, "doc": docs[begin:end], "n": [30] * n, "tied": [-1] * n, "has": [False] * n}
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns.values(), kinds, strict=True)], list(columns))
+
+    want = {(a, b) for b in range(41) for a in range(b)}
+    for cuts in ([0, 321], [0, 320, 321], [0, 100, 300, 321]):
+        got = [tuple(r.values()) for out in _pairs(85, 100)(batches(cuts)) for r in out.to_pylist()]
+        assert {(a, b) for a, b, _ in got} == want and all(e > 0 for *_, e in got)

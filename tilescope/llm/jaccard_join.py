@@ -190,12 +190,15 @@ def _prefixes(width: int, bits: int, num: int, den: int, levels):
 def _pairs(num: int, den: int):
     """Rows (a, b, e) from rows sorted by token: pairs of small groups, ties (e = 0) of others and of marked ones to their first document."""
 
-    def of_runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def distinct(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((n, doc, token))
         token, doc, n = token[order], doc[order], n[order]
         new = np.ones(len(token), bool)  # copies of a set met in several tasks count once, a mark stays
         new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, doc, n = token[new], doc[new], n[new]
+        return token[new], doc[new], n[new]
+
+    def of_runs(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        token, doc, n = distinct(token, doc, n)
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(token)])
         common = (np.minimum.reduceat(n, start) < 0) | (size > SMALL) if len(token) else np.zeros(0, bool)
@@ -230,9 +233,11 @@ def _pairs(num: int, den: int):
             last = int(np.searchsorted(token, token[-1]))
             yield of_runs(token[:last], doc[:last], n[:last])
             carried = token[last:], doc[last:], n[last:]
-            if len(carried[0]) > 4 * SMALL:  # a common one: tie what is there, go on with its first document
-                yield of_runs(*carried)
-                carried = carried[0][:1], carried[1][:1], np.full(1, -1, carried[2].dtype)
+            if len(carried[0]) > 4 * SMALL:
+                carried = distinct(*carried)
+                if len(carried[0]) > SMALL or carried[2].min() < 0:  # a common one: tie what is there, go on with its first document
+                    yield of_runs(*carried)
+                    carried = carried[0][:1], carried[1][:1], np.full(1, -1, carried[2].dtype)
         if carried is not None:
             yield of_runs(*carried)
 
