@@ -154,3 +154,17 @@ def test_audit_stream_is_idempotent(spark):
     cols = sorted(whole.columns)
     assert once.select(cols).exceptAll(whole.select(cols)).isEmpty()
     assert again.select(cols).exceptAll(whole.select(cols)).isEmpty()
+
+
+def test_stream_with_an_emptied_checkpoint(spark):
+    """Its batches begin at 0 again; they are another stream's and are merged, once."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    store, marks = VersionedTable(spark, folder + "/store"), folder + "/marks"
+    # What the stream before left under the same checkpoint folder:
+    store.write(spark.createDataFrame([(1,)], "id long"), source=marks, batch=0, stream="id of the stream before")
+    spark.createDataFrame([(2,)], "id long").write.parquet(folder + "/in")
+    stream = spark.readStream.schema("id long").parquet(folder + "/in")
+    for _ in range(2):
+        feeds.stream_into(stream, store, lambda old, new: old.unionByName(new), marks).awaitTermination()
+    assert sorted(r["id"] for r in store.read().collect()) == [1, 2]
+    assert store.has_batch(marks, 0, feeds.stream_id(spark, marks)) and not store.has_batch(marks, 0, "another")

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-COMMIT = "version long, data string, source string, batch long"
+COMMIT = "version long, data string, source string, batch long, stream string"
 
 
 class VersionedTable:
@@ -44,12 +44,14 @@ class VersionedTable:
         # Folder names lose their type; partition columns here are text.
         return found.withColumns({c: F.col(c).cast("string") for c in self.partition_by})
 
-    def write(self, df: DataFrame, version: int | None = None, source: str | None = None, batch: int | None = None) -> int:
+    def write(
+        self, df: DataFrame, version: int | None = None, source: str | None = None, batch: int | None = None, stream: str | None = None
+    ) -> int:
         """Write and commit a version, by default the next one.
 
         A version that exists is an error, also if another writer committed it
         meanwhile: that writer's version stays. `source` and `batch` name a
-        stream's batch.
+        stream's batch, `stream` the query that sent it.
         """
         known = self.versions()
         number = version if version is not None else (known[-1] + 1 if known else 0)
@@ -60,12 +62,14 @@ class VersionedTable:
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.folder}/{data}")
-        row = self.spark.createDataFrame([(number, data, source, batch)], COMMIT).coalesce(1)
+        row = self.spark.createDataFrame([(number, data, source, batch, stream)], COMMIT).coalesce(1)
         row.write.mode("errorifexists").parquet(f"{self.folder}/commits/v{number:012d}")
         return number
 
-    def has_batch(self, source: str, batch: int) -> bool:
-        return any(r["source"] == source and r["batch"] == batch for r in self.commits())
+    def has_batch(self, source: str, batch: int, stream: str | None = None) -> bool:
+        """Whether a batch is committed; with `stream`, by that query. Commits from before ids were kept count for all."""
+        found = [r for r in self.commits() if r["source"] == source and r["batch"] == batch]
+        return any(stream is None or r["stream"] in (None, stream) for r in found)
 
     def update(self, change: Callable[[DataFrame | None], DataFrame]) -> int:
         """Write the next version from the current one."""
