@@ -65,16 +65,18 @@ def knn_batch(tiles: DataFrame, queries: Sequence[tuple[str, Sequence[float]]],
     return top_per_key(long.drop("__i"), ["query"], [F.col("score").desc(), F.col("tile_id")], top_k, rank="rank")
 
 
-QUERY_BLOCK = 256
+QUERY_BLOCK = 16_384
 TILE_BLOCK = 8192
+QUERIES_AT_ONCE = 128
 
 
 def knn_table(tiles: DataFrame, queries: DataFrame, top_k: int, vector: str = "embedding") -> DataFrame:
     """(query, tile_id, score, rank): top-k tiles of every row of queries(query, vector), however many there are.
 
     Tiles and queries are dealt into parts by hash; every pair of parts is one
-    task's matrix product and leaves its best top_k rows per query. No side is
-    broadcast. Rows without a vector take no part.
+    task, which takes a few queries at a time in one matrix product and selects
+    the best top_k rows of each by partition. A tile travels once per
+    QUERY_BLOCK queries. No side is broadcast. Rows without a vector take no part.
     """
     known = tiles.filter(F.col(vector).isNotNull()).select("tile_id", F.col(vector).alias("v"))
     asked = queries.filter(F.col("vector").isNotNull()).select("query", F.col("vector").alias("v"))
@@ -93,14 +95,24 @@ def knn_table(tiles: DataFrame, queries: DataFrame, top_k: int, vector: str = "e
     def best(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if t.empty or q.empty:
             return pd.DataFrame({"query": [], "tile_id": [], "score": []})
+        t = t.sort_values("tile_id", kind="stable")
+        ids, names = t["tile_id"].to_numpy(), q["query"].to_numpy()
         a, b = np.array(t["v"].tolist(), "float64"), np.array(q["v"].tolist(), "float64")
-        scale = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.round(np.where(scale <= config.ZERO_NORM, 0.0, b @ a.T / scale), vectors.SCORE_DIGITS)
-        ids = t["tile_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids)), score.shape), -score), axis=1)[:, :top_k]
-        rows = np.repeat(np.arange(len(b)), order.shape[1])
-        return pd.DataFrame({"query": q["query"].to_numpy()[rows], "tile_id": ids[order.ravel()], "score": score[rows, order.ravel()]})
+        found = []
+        for begin in range(0, len(b), QUERIES_AT_ONCE):
+            some = b[begin : begin + QUERIES_AT_ONCE]
+            scale = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.round(np.where(scale <= config.ZERO_NORM, 0.0, some @ a.T / scale), vectors.SCORE_DIGITS)
+            least = np.partition(score, -top_k, axis=1)[:, -top_k] if score.shape[1] > top_k else score.min(axis=1)
+            # All rows of the last place's score stay until the smaller ids are known.
+            row, col = np.nonzero(score >= least[:, None])
+            order = np.lexsort((col, -score[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < top_k], col[place < top_k]
+            found.append(pd.DataFrame({"query": names[begin + row], "tile_id": ids[col], "score": score[row, col]}))
+        return pd.concat(found)
 
     cells = left.groupBy("tp", "qp").cogroup(right.groupBy("tp", "qp"))
     found = cells.applyInPandas(best, "query string, tile_id string, score double")
