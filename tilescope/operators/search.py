@@ -140,6 +140,17 @@ def resolve_alias(requests: DataFrame, tiles: DataFrame, request_id: str = "requ
     return top_per_key(found, [request_id], [F.col("alias_rank"), F.col("tile_id")])
 
 
+def stored_vector(tiles: DataFrame, request_id: str, vector: str = "embedding") -> tuple[list[str], list[float]]:
+    """(aliases, vector) of a stored tile by id or change id. One row visits the driver; LookupError if there is none."""
+    request = tiles.sparkSession.range(1).select(F.lit(request_id).alias("request_id"))
+    aliases = request_id.split("__", 1)[::-1] + [request_id] if "__" in request_id else [request_id]
+    stored = tiles.filter(F.col("tile_id").isin(aliases) & F.col(vector).isNotNull())
+    match = resolve_alias(request, stored.select("tile_id", vector)).head(1)
+    if not match:
+        raise LookupError(f"no stored vector for {request_id}")
+    return aliases, match[0][vector]
+
+
 def similar_tile(
     tiles: DataFrame, request_id: str, top_k: int = 6, exclude_self: bool = True, vector: str = "embedding"
 ) -> DataFrame:
@@ -147,17 +158,11 @@ def similar_tile(
 
     One row (the query vector) visits the driver. Raises LookupError if no alias is stored.
     """
-    spark = tiles.sparkSession
-    request = spark.range(1).select(F.lit(request_id).alias("request_id"))
-    aliases = request_id.split("__", 1)[::-1] + [request_id] if "__" in request_id else [request_id]
-    stored = tiles.filter(F.col("tile_id").isin(aliases) & F.col(vector).isNotNull())
-    match = resolve_alias(request, stored.select("tile_id", vector)).head(1)
-    if not match:
-        raise LookupError(f"no stored vector for {request_id}")
+    aliases, query = stored_vector(tiles, request_id, vector)
     others = tiles.filter(F.coalesce(F.col("tile_id"), F.lit("")) != "")
     if exclude_self:
         others = others.filter(~F.col("tile_id").isin(aliases))
-    return knn_search(others, match[0][vector], top_k, vector=vector)
+    return knn_search(others, query, top_k, vector=vector)
 
 
 def filter_by_tag(ledger: DataFrame, tag: str, limit: int = 10) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilescope.config import SceneExtent
 from tilescope.functions import geodesy, identity, vectors
 from tilescope.operators import hotspots, search
-from tilescope.plans.registry import D1, D3, Data, query, r6
+from tilescope.plans.registry import D1, D3, REGISTRY, Data, query, r6
+from tilescope.session import shared_folder
+from tilescope.sources.metric_index import MetricIndex
 
 EXTENT = SceneExtent(top=19.28, left=72.72, height_deg=0.43, width_deg=0.33)
 
@@ -321,3 +325,22 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 )
 def raw_drift(d: Data):
     return neighbours(d).select("vec_id", r6(vectors.raw_drift(F.col("a"), F.col("b")), "raw_drift"))
+
+
+def indexed(d: Data) -> MetricIndex:
+    """All points but the last scene's as built, the last scene's upserted."""
+    index = MetricIndex(d.spark, f"{shared_folder(d.spark).rstrip('/')}/index/{uuid.uuid4().hex}")
+    index.build(d.points.filter(F.col("date") != D3), slice_rows=256)
+    index.upsert(d.points.filter(F.col("date") == D3))
+    return index
+
+
+@query("knn_search_index", REGISTRY["knn_search"].sql)
+def knn_search_index(d: Data):
+    hits = indexed(d).search(d.vectors([7])[0], 10, sensor="Sentinel-2", tie=("tile_id", "point_id"))
+    return ranked(hits.select("tile_id", "date", "sensor", "score"))
+
+
+@query("similar_tile_index", REGISTRY["similar_tile"].sql)
+def similar_tile_index(d: Data):
+    return ranked(indexed(d).similar(SIMILAR_ID, 6).select("tile_id", "date", "sensor", "score"))
