@@ -9,8 +9,9 @@ expression without unions, and a set of slots. Pages with an article, with a mai
 named as content, and others are different kinds of a host, each with a wrapper of its own. Which
 slots are main text is decided per host and kind from the wrapper and from counts of all its pages: slots under navigation, headers, footers, asides,
 forms and boxes named as adverts, notices, comments and the like are not; article or main elements
-win where there are any, else the deepest element that holds most of the text; there, slots whose
-text never changes over five different pages or is mostly links are left out.
+win where there are any, else boxes named as content, else all; in the last two, slots whose text
+never changes over five different pages or is mostly links are left out. A class name counts whole:
+`post-comments` names a box of comments, `no-sidebar` and `header-fixed` a state of something else.
 
 A page's text is that of its slots that are main slots of its host and kind; where that is nothing,
 the same rule is applied to the page alone. Character references
@@ -27,6 +28,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +44,8 @@ BLOCKS = frozenset(
 )
 RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select", "button")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Raw elements that hold text up to their end tag, or to the end of the page; of others an unclosed tag counts as no tag.
+TO_THE_END = frozenset("script style textarea noscript iframe".split())
 #: Elements that an opening tag of the key closes, up to the nearest of the barriers.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -61,83 +65,136 @@ OFF_WORDS = frozenset(
     "reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login "
     "social share sharing toolbar pagination pager copyright legal skip search form".split()
 )
+#: A name with one of these says how something else stands, as in no-sidebar or header-fixed.
+STATE_WORDS = frozenset("no not has have with without is fixed sticky open opened closed hidden hide show shown enabled disabled off on".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
+BESIDE_MAIN = frozenset("page blog news site single".split())
+BOXES = frozenset("div section td center article main".split())
 #: Words that decide about a slot stay in a label whatever their place; of others the first six.
 TELLING = OFF_WORDS | MAIN_WORDS | {"teaser"}
 SALTS = 16
 MOST_LABELS = 64
+MOST_CHILDREN = 200  # longer lists of siblings are told by label only
+MOST_DEPTH = 64  # of deeper nesting a path keeps the outer and the inner half
 DIFFERENT = 5  # pages of different text from which an unchanging slot is no main text; no more are told apart
 BROADCAST_CHARS = 16 << 20
 FLUSH = 50_000
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+#: A tag: quotes count only behind an equals sign, and only if they are closed. Nothing here is scanned twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NO_NAME = re.compile(r"[^a-z_-]+")
+
+
+@lru_cache(100_000)
+def _parts(name: str) -> frozenset[str]:
+    return frozenset(re.split("[-_]+", name))
 
 
 def _label(tag: str, rest: str) -> str:
-    """The tag with the words of its class, id and role, without digits."""
+    """The tag with the names of its class, id and role, without digits."""
     if "=" not in rest:
         return tag
-    words: list[str] = []
+    names: dict[str, None] = {}
     for found in _NAMES.findall(rest):
-        words += [w for w in _WORD.findall(" ".join(found).lower()) if w not in words]
-    return ".".join([tag, *words[:6], *(w for w in words[6:] if w in TELLING)])
+        for name in " ".join(found).split():
+            name = _NO_NAME.sub("", _CAMEL.sub("-", name).lower()).strip("-_")
+            if name:
+                names[name] = None
+    known = list(names)
+    return ".".join([tag, *known[:6], *(n for n in known[6:] if TELLING & _parts(n))])
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before it, whether it closes, tag, attributes, place) of every tag; the text after the last has no tag.
+
+    Comments, declarations and raw elements are passed over. A tag that the page's end cuts off is no text.
+    """
+    at = done = 0
+    ended: set[str] = set()  # raw elements that have no end tag any more
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield page[done:], False, "", "", len(page)
+            return
+        follows = page[begin + 1 : begin + 2]
+        if follows.isascii() and follows.isalpha() or follows == "/" and page[begin + 2 : begin + 3].isalpha():
+            found = _TAG.match(page, begin)
+            if found is None:
+                yield page[done:begin], False, "", "", len(page)
+                return
+            at, tag, rest = found.end(), found[2].lower(), found[3]
+            if tag in _RAW_END and not found[1] and tag not in ended and not (tag in ("svg", "math") and rest.endswith("/")):
+                end = _RAW_END[tag].search(page, at)
+                if end is None:
+                    ended.add(tag)
+                if end is not None or tag in TO_THE_END:
+                    at = end.end() if end is not None else len(page)
+                    tag = "#raw"
+            yield page[done:begin], bool(found[1]), tag, rest, begin
+        elif follows and follows in "!?/":
+            end = page.find("-->", begin + 4) if page.startswith("<!--", begin) else page.find(">", begin)
+            at = len(page) if end < 0 else end + (3 if page.startswith("<!--", begin) else 1)
+            yield page[done:begin], False, "#none", "", begin
+        else:  # a less-than sign
+            at = begin + 1
+            continue
+        done = at
 
 
 def slots(page: str) -> Iterator[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
     """(path of block labels, text, characters inside links, the path's elements) of every text block in page order."""
     stack: list[tuple[str, str, int]] = []  # (tag, label, number of the element)
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
     text: list[str] = []
-    linked, in_link, at = 0, 0, 0
-
-    def close(tags: set[str], barriers: frozenset[str] | set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in barriers:
-                return
+    linked, in_link = 0, 0
+
+    def cut(place: int) -> None:
+        for tag, _, _ in stack[place:]:
+            where[tag].pop()
+        del stack[place:]
+
+    def close(tags: set[str], barriers: set[str]) -> bool:
+        """Close the innermost of these elements, unless a barrier is further in."""
+        place = max((where[t][-1] for t in tags if where.get(t)), default=-1)
+        if place < 0 or any(where[t][-1] > place for t in barriers if where.get(t)):
+            return False
+        cut(place)
+        return True
+
+    def block() -> Iterator[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
+        body = " ".join(html.unescape("".join(text)).split())
+        if body:
+            half = MOST_DEPTH // 2
+            path = stack if len(stack) <= MOST_DEPTH else stack[:half] + stack[-half:]
+            yield tuple(x[1] for x in path), body, linked, tuple(x[2] for x in path)
 
-    for found in _TOKEN.finditer(page):
-        if found.start() > at:
-            piece = page[at : found.start()]
+    for piece, closes, tag, rest, place in tokens(page):
+        if piece:
             text.append(piece)
             linked += len(piece) * (in_link > 0)
-        at = found.end()
-        tag = (found["tag"] or "").lower()
-        if not tag:
-            continue
         if tag not in BLOCKS:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                in_link = 0 if found["close"] else 1
+                in_link = 0 if closes else 1
             continue
-        body = " ".join(html.unescape("".join(text)).split())
-        if body:
-            yield tuple(x[1] for x in stack), body, linked, tuple(x[2] for x in stack)
+        yield from block()
         text, linked, in_link = [], 0, 0
-        if found["close"]:
+        if closes:
             close({tag}, {"table"} if tag not in ("table", "body", "html", "article", "main", "div", "section") else set())
             continue
-        if tag in ENDS_P:
-            close({"p"}, ENDS_P - {"p", "hr"})
+        if tag in ENDS_P and stack and stack[-1][0] == "p":
+            cut(len(stack) - 1)
         if tag in CLOSES:
             closed, barriers = CLOSES[tag]
-            while any(x[0] in closed for x in stack) and (n := len(stack)):
-                close(closed, barriers)
-                if len(stack) == n:
-                    break
+            while close(closed, barriers):
+                pass
         if tag not in VOID:
-            stack.append((tag, _label(tag, found["rest"]), at))
-    text.append(page[at:])
-    body = " ".join(html.unescape("".join(text)).split())
-    if body:
-        yield tuple(x[1] for x in stack), body, linked + len(page[at:]) * (in_link > 0), tuple(x[2] for x in stack)
+            where[tag].append(len(stack))
+            stack.append((tag, _label(tag, rest), place))
+    yield from block()
 
 
 # A structure is [label, optional, repeated, children]; a slot's label is "#", a group's is "()".
@@ -211,11 +268,24 @@ def structure(paths: list[tuple[tuple[str, ...], tuple[int, ...]]]) -> list:
         last = elements
 
     def fold(item: list) -> list:
-        return [item[0], item[1], item[2], _fold([fold(x) for x in item[3]])]
+        return [item[0], item[1], item[2], _short(_fold([fold(x) for x in item[3]]))]
 
     return fold(root)
 
 
+def _short(items: list) -> list:
+    """Siblings too many to align in order: one repeated item of each label."""
+    if len(items) <= MOST_CHILDREN:
+        return items
+    by_label: dict[str, list] = {}
+    for item in items:
+        inner = item[3] if item[0] == "()" else [item]
+        for x in inner:
+            old = by_label.get(x[0])
+            by_label[x[0]] = [x[0], True, True, _short(_align_lists(old[3], x[3])) if old is not None else x[3]]
+    return list(by_label.values())
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two structures or wrappers; a node with too many kinds of children keeps their tags only."""
     out = _align(a, b)
@@ -224,6 +294,7 @@ def align(a: list, b: list) -> list:
         children = item[3]
         if len({x[0] for x in children}) > MOST_LABELS:
             children = _fold([[x[0].split(".")[0] + "." if x[0] not in ("#", "()") else x[0], *x[1:]] for x in children])
+        children = _short(children)
         return [item[0], item[1], item[2], [narrow(x) for x in children]]
 
     return narrow(out)
@@ -251,15 +322,26 @@ def _off(path: tuple[str, ...]) -> bool:
         inside = inside or tag in ("article", "main")
         if tag in OFF_TAGS and not (tag == "header" and inside):
             return True
-        if tag not in ("html", "body", "main", "article") and OFF_WORDS.intersection(names):
+        if tag not in ("html", "body", "main", "article") and any(map(_off_name, names)):
             return True
-        if tag == "article" and {"comment", "comments", "related", "promo", "ad", "teaser"}.intersection(names):
+        if tag == "article" and any({"comment", "comments", "related", "promo", "ad", "teaser"} & _parts(n) for n in names):
             return True
     return False
 
 
+@lru_cache(100_000)
+def _off_name(name: str) -> bool:
+    return bool(OFF_WORDS & _parts(name)) and not STATE_WORDS & _parts(name)
+
+
+@lru_cache(100_000)
+def _main_name(name: str) -> bool:
+    return bool(MAIN_WORDS & _parts(name)) and _parts(name) <= MAIN_WORDS | BESIDE_MAIN
+
+
 def _named(path: tuple[str, ...]) -> bool:
-    return any(MAIN_WORDS.intersection(label.split(".")[1:]) for label in path if label.split(".")[0] != "body")
+    """Whether a box around the slot is named as content, by a whole name."""
+    return any(tag in BOXES and any(map(_main_name, names)) for tag, *names in (label.split(".") for label in path))
 
 
 def kind_of(paths: set[tuple[str, ...]]) -> str:
@@ -287,15 +369,7 @@ def main_slots(stats: dict[tuple[str, ...], dict]) -> set[tuple[str, ...]]:
     named = {p for p in plain if _named(p)}
     if named:
         plain = {p: plain[p] for p in named}
-    volume: dict[tuple[str, ...], int] = defaultdict(int)
-    for p, s in plain.items():
-        for k in range(len(p) + 1):
-            volume[p[:k]] += s["chars"]
-    total = volume.get((), 0)
-    inline = frozenset("p li dd dt td th tr tbody table ul ol dl pre blockquote h1 h2 h3 h4 h5 h6 figure figcaption".split())
-    roots = [p for p, v in volume.items() if 10 * v >= 7 * total and p not in plain and not (p and p[-1].split(".")[0] in inline)]
-    root = max(roots, key=len, default=())
-    return {p for p in plain if p[: len(root)] == root}
+    return set(plain)
 
 
 _PAGE_SCHEMA = "host string, kind string, key string, pages long, chars long, linked long, low long, high long, marks array<long>"
