@@ -76,12 +76,20 @@ def hotspot_decide(ledger: DataFrame, queue: DataFrame, decisions: DataFrame) ->
     The queue row of a tile is its smallest id; it takes the normalised status
     and a remark.
     """
-    updated = status_update(ledger, decisions)
+    return status_update(ledger, decisions), mirror_decisions(queue, mirrored_rows(ledger, queue, decisions))
+
+
+def mirrored_rows(ledger: DataFrame, queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(id, new_status) of the queue rows that take the decisions on tiles the ledger knows."""
     known = decisions.join(ledger, "id", "left_semi").select(F.col("id").alias("tile_id"), "new_status")
     target = queue.join(known, "tile_id", "left_semi").groupBy("tile_id").agg(F.min("id").alias("id"))
-    mirror = target.join(known, "tile_id").select("id", "new_status")
+    return target.join(known, "tile_id").select("id", "new_status")
+
+
+def mirror_decisions(queue: DataFrame, mirror: DataFrame) -> DataFrame:
+    """The queue with the decisions of mirrored_rows."""
     hit = F.col("new_status").isNotNull()
-    decided = (
+    return (
         queue.join(mirror, "id", "left")
         .withColumn("status", F.when(hit, identity.normalise_status(F.col("new_status"))).otherwise(F.col("status")))
         .withColumn(
@@ -90,7 +98,6 @@ def hotspot_decide(ledger: DataFrame, queue: DataFrame, decisions: DataFrame) ->
         )
         .drop("new_status")
     )
-    return updated, decided
 
 
 MOST_LEVELS = 12  # squares of reach / 8**12, far below the precision of a position

@@ -47,7 +47,7 @@ def audit_upsert(stored: DataFrame, feed: DataFrame, order: Sequence[str]) -> Da
 
     New rows are inserted; existing ones take all feed values, except that
     sensor and date keep the stored value when the feed has none, and created_at
-    never changes.
+    never changes. Columns that only the feed has are added.
     """
     new = reduce_feed(feed, order)
     old = stored.alias("old")
@@ -57,12 +57,13 @@ def audit_upsert(stored: DataFrame, feed: DataFrame, order: Sequence[str]) -> Da
     for c in stored.columns:
         if c in ("id", "created_at"):
             continue
-        if c in AUDIT_KEPT:
+        if c in AUDIT_KEPT and c in new.columns:
             columns.append(F.coalesce(f"new.{c}", f"old.{c}").alias(c))
         elif c in new.columns:
             columns.append(F.when(fresh, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c))
         else:
             columns.append(F.col(f"old.{c}").alias(c))
+    columns += [F.col(f"new.{c}").alias(c) for c in new.columns if c not in stored.columns and c != "created_at"]
     columns.append(F.coalesce("old.created_at", "new.created_at").alias("created_at"))
     return joined.select(*columns)
 

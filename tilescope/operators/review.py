@@ -18,16 +18,20 @@ def review_append(queue: DataFrame, rows: DataFrame, order: list[str], now: Colu
     `order` must identify a row. Repeated runs append again, as the queue has no
     uniqueness rule.
     """
+    return queue.unionByName(numbered_rows(queue, rows, order, now), allowMissingColumns=True)
+
+
+def numbered_rows(queue: DataFrame, rows: DataFrame, order: list[str], now: Column) -> DataFrame:
+    """The rows that review_append adds."""
     start = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start")).scalar()
     # Numbering reads the rows more than once and must see the same rows each time.
     numbered = with_global_rank(checkpointed(rows), order, "__rank")
-    added = (
+    return (
         numbered.withColumn("id", start + F.col("__rank"))
         .withColumn("created_at", now)
         .withColumn("updated_at", now)
         .drop("__rank")
     )
-    return queue.unionByName(added, allowMissingColumns=True)
 
 
 def review_update(queue: DataFrame, updates: DataFrame, now: Column) -> DataFrame:

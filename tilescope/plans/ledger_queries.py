@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilescope.functions import identity
 from tilescope.operators import hotspots, ledger, provenance, review, spectral
 from tilescope.operators.quality import cloud_ratio
-from tilescope.plans.registry import D1, D3, Data, query, r6, text_of
+from tilescope.plans.registry import D1, D3, REGISTRY, Data, query, r6, text_of
 from tilescope.plans.search_queries import EXTENT, UTM_SQL
+from tilescope.session import shared_folder
+from tilescope.sources.bucket_store import BucketStore
 
 CUT = "2024-01-15"
 ORDER = ["ts", "event_id"]
@@ -523,3 +527,77 @@ def provenance_export(d: Data):
         F.get_json_object("json", "$.metrics_and_classification.drift_score").cast("double").alias("drift"),
         F.get_json_object("json", "$.source_scenes.acquisition_dates.temporal_interval_days").cast("long").alias("days_between"),
     )
+
+
+# The same updates through a stored table in buckets: rows before, then the update as a commit of its own.
+
+
+def bucket_store(d: Data, **keys: str) -> BucketStore:
+    return BucketStore(d.spark, f"{shared_folder(d.spark).rstrip('/')}/store/{uuid.uuid4().hex}", keys, buckets=8)
+
+
+@query("audit_upsert_store", REGISTRY["audit_upsert"].sql)
+def audit_upsert_store(d: Data):
+    store = bucket_store(d, ledger="id")
+    feed = d.view("audit_changes")
+    for part in (feed.filter(F.col("ts") < CUT), feed.filter(F.col("ts") >= CUT)):
+        store.merge(
+            "ledger", part, lambda old, new: ledger.reduce_feed(new, ORDER) if old is None else ledger.audit_upsert(old, new, ORDER)
+        )
+    return store.read("ledger").select(
+        "id",
+        "image_path",
+        "primary_tag",
+        "cluster",
+        r6("anomaly_score"),
+        "status",
+        F.coalesce("before_desc", F.lit("")).alias("before_desc"),
+        F.coalesce("sensor", F.lit("none")).alias("sensor"),
+        F.coalesce("date", F.lit("none")).alias("date"),
+        text_of("created_at").alias("created_at"),
+    )
+
+
+@query("review_update_store", REGISTRY["review_update"].sql)
+def review_update_store(d: Data):
+    store = bucket_store(d, queue="id")
+    with store.transaction() as t:
+        t.upsert("queue", d.view("review_queue"))
+    asked = d.sql(UPDATES, "events").filter(
+        F.coalesce("new_status", F.col("new_confidence").cast("string"), "new_remarks").isNotNull()
+    )
+    store.merge("queue", asked, lambda old, new: review.review_update(old, new, now()))
+    return store.read("queue").select(
+        "id", "status", F.round("confidence", 9).alias("confidence"), F.coalesce("remarks", F.lit("none")).alias("remarks"), text_of("updated_at").alias("updated_at")
+    )
+
+
+@query("review_append_store", REGISTRY["review_append"].sql)
+def review_append_store(d: Data):
+    store = bucket_store(d, queue="id")
+    with store.transaction() as t:
+        t.upsert("queue", d.view("review_queue"))
+    rows = d.view("pair_ledger").select(
+        F.col("id").alias("tile_id"), "t1_tile_id", "t2_tile_id", F.lit("PENDING").alias("status"), F.col("anomaly_score").alias("confidence")
+    )
+    with store.transaction() as t:
+        t.upsert("queue", review.numbered_rows(store.read("queue"), rows, ["t1_tile_id", "t2_tile_id"], now()))
+    queue = store.read("queue")
+    return queue.select("id", "tile_id", "status", F.round("confidence", 9).alias("confidence"), text_of("created_at").alias("created_at"))
+
+
+@query("hotspot_decide_store", REGISTRY["hotspot_decide"].sql)
+def hotspot_decide_store(d: Data):
+    store = bucket_store(d, ledger="id", queue="id")
+    with store.transaction() as t:
+        t.upsert("ledger", d.view("pair_ledger"))
+        t.upsert("queue", d.view("pair_reviews"))
+    decisions = d.sql(DECISIONS, "pair_ledger")
+    with store.transaction() as t:
+        mirror = hotspots.mirrored_rows(t.read("ledger"), t.read("queue"), decisions)
+        t.merge("ledger", decisions, ledger.status_update)
+        t.merge("queue", mirror, hotspots.mirror_decisions)
+    left = store.read("ledger").select(F.lit("ledger").alias("source"), F.col("id").alias("tile_id"), "status", F.lit("none").alias("remarks"))
+    return left.unionByName(
+        store.read("queue").select(F.lit("queue").alias("source"), "tile_id", "status", F.coalesce("remarks", F.lit("none")).alias("remarks"))
+    )

@@ -1,7 +1,7 @@
 """A project's stores and everything that can be asked of them.
 
-Ties the operators to three versioned tables under one shared folder: tile
-points, the audit ledger and the review queue.
+Ties the operators to a folder of tables: tile points, and a keyed store with the
+audit ledger and the review queue.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tilescope.config import ChangeRules, SceneExtent
 from tilescope.functions import geodesy
 from tilescope.operators import change, discovery, embedding, hotspots, learning, ledger, provenance, review, search, tiling
 from tilescope.session import checkpointed, ship_package
+from tilescope.sources.bucket_store import BucketStore, Transaction
 from tilescope.sources.stores import VersionedTable, write_documents
 
 # Columns of the two ledgers.
@@ -39,8 +40,8 @@ class Workspace:
         self.spark, self.extent, self.now = ship_package(spark), extent, now
         # Searches and change detection name dates, so dates are folders and the rest is not read.
         self.points_store = VersionedTable(spark, f"{folder}/points", ["date"])
-        self.ledger_store = VersionedTable(spark, f"{folder}/ledger")
-        self.queue_store = VersionedTable(spark, f"{folder}/queue")
+        # Keyed updates go to the buckets of their ids, and both tables change in one commit.
+        self.records = BucketStore(spark, f"{folder}/records", {"ledger": "id", "queue": "id"})
 
     # -- stores ----------------------------------------------------------------
 
@@ -51,11 +52,11 @@ class Workspace:
         return found
 
     def ledger(self) -> DataFrame:
-        found = self.ledger_store.read()
+        found = self.records.read("ledger")
         return self.spark.createDataFrame([], LEDGER_SCHEMA) if found is None else found
 
     def queue(self) -> DataFrame:
-        found = self.queue_store.read()
+        found = self.records.read("queue")
         return self.spark.createDataFrame([], QUEUE_SCHEMA) if found is None else found
 
     def _keeping_status(self, rows: DataFrame, otherwise: str = "pending") -> DataFrame:
@@ -64,10 +65,10 @@ class Workspace:
         kept = rows.drop("status").join(status, "id", "left")
         return kept.withColumn("status", F.coalesce("kept", F.lit(otherwise))).drop("kept")
 
-    def _upsert_ledger(self, rows: DataFrame) -> None:
-        known = self.spark.createDataFrame([], LEDGER_SCHEMA).drop("created_at")
-        feed = known.unionByName(rows, allowMissingColumns=True).withColumn("at", self.now())
-        self.ledger_store.write(ledger.audit_upsert(self.ledger(), feed, ["at"]))
+    def _upsert_ledger(self, change: Transaction, rows: DataFrame) -> None:
+        empty = self.spark.createDataFrame([], LEDGER_SCHEMA)
+        feed = empty.drop("created_at").unionByName(rows, allowMissingColumns=True).withColumn("at", self.now())
+        change.merge("ledger", feed, lambda old, new: ledger.audit_upsert(empty if old is None else old, new, ["at"]))
 
     # -- ingest ----------------------------------------------------------------
 
@@ -117,7 +118,8 @@ class Workspace:
             "sensor",
             "date",
         )
-        self._upsert_ledger(self._keeping_status(rows))
+        with self.records.transaction() as t:
+            self._upsert_ledger(t, self._keeping_status(rows))
         return number
 
     def status(self) -> DataFrame:
@@ -167,12 +169,13 @@ class Workspace:
         """
         found = change.detect_scene_change(self.points(), list(dates), sensor, rules, limit=False, model=model, matched=matched)
         found = checkpointed(change.with_boxes(found, self.points()))
-        if enqueue:
-            rows = change.review_rows(found)
-            self.queue_store.write(review.review_append(self.queue(), rows, ["tile_id"], self.now()))
         top = change.change_top_k(found, rules.top_k)
-        rows = change.audit_rows(top, sensor).withColumn("image_path", F.col("id"))
-        self._upsert_ledger(self._keeping_status(rows))
+        with self.records.transaction() as t:
+            if enqueue:
+                added = review.numbered_rows(self.queue(), change.review_rows(found), ["tile_id"], self.now())
+                t.upsert("queue", self.spark.createDataFrame([], QUEUE_SCHEMA).unionByName(added, allowMissingColumns=True))
+            rows = change.audit_rows(top, sensor).withColumn("image_path", F.col("id"))
+            self._upsert_ledger(t, self._keeping_status(rows))
         classifier = config.FALLBACK_LABEL if model is None else "random forest"
         return change.describe_candidates(top, sensor, classifier)
 
@@ -195,7 +198,8 @@ class Workspace:
         return review.review_after(self.queue(), created_at, item_id, status, limit)
 
     def review_change(self, updates: DataFrame) -> None:
-        self.queue_store.write(review.review_update(self.queue(), updates, self.now()))
+        empty = self.spark.createDataFrame([], QUEUE_SCHEMA)
+        self.records.merge("queue", updates, lambda old, new: review.review_update(empty if old is None else old, new, self.now()))
 
     def hotspots(self, limit: int = 100) -> DataFrame:
         payload = self.points().withColumn("cloud_cover", F.lit(None).cast("double"))
@@ -203,9 +207,10 @@ class Workspace:
         return hotspots.with_factors(listed, self.queue())
 
     def decide(self, decisions: DataFrame) -> None:
-        audit, queue = hotspots.hotspot_decide(self.ledger(), self.queue(), decisions)
-        self.ledger_store.write(audit)
-        self.queue_store.write(queue)
+        with self.records.transaction() as t:
+            mirror = hotspots.mirrored_rows(self.ledger(), self.queue(), decisions)
+            t.merge("ledger", decisions, lambda old, new: self.ledger() if old is None else ledger.status_update(old, new))
+            t.merge("queue", mirror, lambda old, new: self.queue() if old is None else hotspots.mirror_decisions(old, new))
 
     def provenance(self, spectral: DataFrame, date_first: str, date_last: str, **how: object) -> DataFrame:
         """Documents of all items; `how` says how vectors were made (model, dimension, histogram_matched)."""
@@ -214,7 +219,10 @@ class Workspace:
         queue, audit = self.queue(), self.ledger()
         changes = audit.filter(F.col("primary_tag") != "unassigned")
         items = queue.unionByName(provenance.audit_items(changes, queue))
-        history = change.cell_history(self.points(), [date_first, date_last])
+        # Interim scenes decide about the earliest date; the dates of scenes are few.
+        scenes = self.points().select("date", F.col("date").alias("scene_id")).distinct()
+        dates = [r["date"] for r in change.scene_sequence(scenes, date_first, date_last).select("date").distinct().orderBy("date").collect()]
+        history = change.cell_history(self.points(), sorted({date_first, date_last, *dates}))
         earliest = history.select(F.concat("t1_tile_id", F.lit("__"), "t2_tile_id").alias("tile_id"), "earliest_change")
         return provenance.provenance_doc(
             items, audit, quality, spectral, date_first, date_last, stamp, earliest=earliest, **how
