@@ -101,9 +101,14 @@ def tile_grid(
             F.sum(murky(full_scale)).alias("murky_scaled"),
         )
     )
+    return windows_of_cells(blocks, size, stride, len(colour), whole=stride == size)
+
+
+def windows_of_cells(cells: DataFrame, size: int, stride: int, n_colours: int, whole: bool) -> DataFrame:
+    """Windows with their ratios from the totals of cells at (by, bx); `whole` if a cell is a window."""
     counts = ["n_pixels", "n_valid", "dark_raw", "dark_scaled", "murky_raw", "murky_scaled"]
-    placed = place_in_windows(blocks, size, stride, "by", "bx")
-    if stride == size:
+    placed = place_in_windows(cells, size, stride, "by", "bx")
+    if whole:
         windows = placed.drop("by", "bx")
     else:
         windows = placed.groupBy(*TILE_KEYS, "width", "height").agg(
@@ -118,7 +123,7 @@ def tile_grid(
         "n_pixels",
         "max_value",
         (F.col("n_valid") / n).alias("valid_ratio"),
-        (F.when(needs_scale, F.col("dark_scaled")).otherwise(F.col("dark_raw")) / (n * len(colour))).alias("dark_ratio"),
+        (F.when(needs_scale, F.col("dark_scaled")).otherwise(F.col("dark_raw")) / (n * n_colours)).alias("dark_ratio"),
         (F.when(needs_scale, F.col("murky_scaled")).otherwise(F.col("murky_raw")) / n).alias("cloud_ratio"),
     )
 

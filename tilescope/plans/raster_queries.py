@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tilescope.functions import identity, vectors
-from tilescope.operators import catalog, embedding, ledger, quality, search, tiling
-from tilescope.plans.registry import Data, query, r6
+from tilescope.operators import blocks, catalog, embedding, ledger, quality, search, tiling
+from tilescope.plans.registry import REGISTRY, Data, query, r6
+from tilescope.session import shared_folder
+from tilescope.sources.raster_source import NpyStrips, RasterWindows
 
 RGB = ["b04", "b03", "b02"]
 GRID_BANDS = ["b04", "b03", "b02", "b08"]
@@ -381,3 +387,62 @@ def unit_vector(d: Data):
     scaled = F.transform("embedding", lambda v: v.cast("double") * 3)
     total = F.aggregate(vectors.unit(scaled), F.lit(0.0), lambda a, v: a + v)
     return d.table("embeddings").select("vec_id", r6(total, "unit_sum"))
+
+
+# The same from packed blocks, and from raster files through the window source.
+BLOCK = 16
+
+
+def packed(d: Data, bands: list[str]):
+    path = f"{shared_folder(d.spark).rstrip('/')}/blocks/{uuid.uuid4().hex}"
+    blocks.write_blocks(blocks.pack_blocks(d.raster, bands, BLOCK), path)
+    return d.spark.read.parquet(path)
+
+
+@query("tile_grid_blocks", REGISTRY["tile_grid"].sql)
+def tile_grid_blocks(d: Data):
+    return shown(blocks.grid_of_blocks(packed(d, GRID_BANDS), d.scenes, GRID_BANDS, BLOCK, SIZE, overlap=8))
+
+
+@query("window_read_blocks", REGISTRY["window_read"].sql)
+def window_read_blocks(d: Data):
+    bands = ["b02", "b03", "b04", "b08", "b11", "scl"]
+    found = blocks.window_of_blocks(packed(d, bands), 8, 20, bands, BLOCK, SIZE)
+    return found.select("scene_id", "y", "x", *[F.col(b).cast("long").alias(b) for b in bands])
+
+
+@query("embed_tiles_blocks", REGISTRY["embed_tiles"].sql)
+def embed_tiles_blocks(d: Data):
+    chips = blocks.chips_of_blocks(packed(d, RGB), RGB, BLOCK, SIZE)
+    embedded = embedding.embed_tiles(chips, embedding.BandHistogramEmbedder(3, bins=4))
+    return embedded.select(*tiling.TILE_KEYS, *[r6(F.col("embedding")[i], f"e{i}") for i in range(7)])
+
+
+def raster_files(d: Data, folder: str) -> None:
+    """The raster as files of 64 rows each, written by tasks of one strip."""
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        scene, strip, width, date = (int(key[0]), int(key[1]), int(key[2]), key[3])
+        values = np.full((len(GRID_BANDS), int(rows["y"].max()) - 64 * strip + 1, width), np.nan)
+        values[:, rows["y"] - 64 * strip, rows["x"]] = rows[GRID_BANDS].to_numpy().T
+        NpyStrips.write(folder, scene, date, 64 * strip, GRID_BANDS, values)
+        return pd.DataFrame({"scene_id": [scene]})
+
+    facts = d.scenes.select("scene_id", F.col("width").cast("long").alias("width"), F.col("date").cast("string").alias("date"))
+    rows = d.raster.join(facts, "scene_id").withColumn("strip", F.floor(F.col("y") / 64).cast("long"))
+    rows.groupBy("scene_id", "strip", "width", "date").applyInPandas(write, "scene_id long").write.format("noop").mode("overwrite").save()
+
+
+@query("tile_grid_files", PLAIN_WINDOWS + GRID_COLUMNS, ("raster", "scenes"))
+def tile_grid_files(d: Data):
+    folder = f"{shared_folder(d.spark).rstrip('/')}/rasters/{uuid.uuid4().hex}".removeprefix("file:")
+    raster_files(d, folder)
+    windows = windows_in(d.spark, folder, BLOCK)
+    return shown(blocks.grid_of_blocks(windows, d.scenes, GRID_BANDS, BLOCK, SIZE))
+
+
+def windows_in(spark, folder: str, size: int):
+    spark.dataSource.register(RasterWindows)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("raster_windows").option("folder", folder).option("size", size)
+    return reader.option("decoder", "tilescope.sources.raster_source:NpyStrips").load()
