@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tilescope.functions import identity, vectors
-from tilescope.operators import blocks, catalog, embedding, ledger, quality, search, tiling
+from tilescope.operators import blocks, catalog, embedding, ledger, quality, search, tiling, warp
 from tilescope.plans.registry import REGISTRY, Data, query, r6
 from tilescope.session import shared_folder
 from tilescope.sources.raster_source import NpyStrips, RasterWindows
@@ -446,3 +446,52 @@ def windows_in(spark, folder: str, size: int):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("raster_windows").option("folder", folder).option("size", size)
     return reader.option("decoder", "tilescope.sources.raster_source:NpyStrips").load()
+
+
+# A grid turned by 3-4-5 and finer by 2.5 that covers its whole scene: target pixel (x, y) lies at source column
+# 0.32 x + 0.24 y - 0.48 height and source row -0.24 x + 0.32 y + 0.36 height.
+TURNED = """
+SELECT scene_id, {a} * 0.32e0 - {b} * 0.24e0 AS ta, {a} * 0.24e0 + {b} * 0.32e0 AS tb, {b} * (0.36e0 * height) - {a} * (0.48e0 * height) + {c} AS tc,
+  {d} * 0.32e0 - {e} * 0.24e0 AS td, {d} * 0.24e0 + {e} * 0.32e0 AS te, {e} * (0.36e0 * height) - {d} * (0.48e0 * height) + {f} AS tf,
+  {a} AS sa, {b} AS sb, {c} AS sc, {d} AS sd, {e} AS se, {f} AS sf,
+  CAST(ceil(2.5e0 * (0.8e0 * width + 0.6e0 * height)) AS BIGINT) AS tw, CAST(ceil(2.5e0 * (0.6e0 * width + 0.8e0 * height)) AS BIGINT) AS th
+FROM {scenes}
+"""
+AFFINE = {k: f"CAST(aff_{k} AS DOUBLE)" for k in "abcdef"}
+
+
+@query(
+    "band_warp",
+    f"""
+WITH g AS ({TURNED.format(scenes="scenes", **AFFINE)}), m AS (
+  SELECT *, (se * ta - sb * td) / (sa * se - sb * sd) AS m0, (se * tb - sb * te) / (sa * se - sb * sd) AS m1,
+    (se * (tc - sc) - sb * (tf - sf)) / (sa * se - sb * sd) AS m2, (sa * td - sd * ta) / (sa * se - sb * sd) AS m3,
+    (sa * te - sd * tb) / (sa * se - sb * sd) AS m4, (sa * (tf - sf) - sd * (tc - sc)) / (sa * se - sb * sd) AS m5 FROM g
+), rows_ AS (SELECT *, unnest(range(0, th)) AS y FROM m), px AS (
+  SELECT *, m0 * (x + 0.5e0) + m1 * (y + 0.5e0) + m2 AS u, m3 * (x + 0.5e0) + m4 * (y + 0.5e0) + m5 AS v
+  FROM (SELECT *, unnest(range(0, tw)) AS x FROM rows_)
+), corners AS (
+  SELECT scene_id, y, x, CAST(floor(v - 0.5e0) AS BIGINT) + dy AS sy, CAST(floor(u - 0.5e0) AS BIGINT) + dx AS sx,
+    (CASE WHEN dy = 1 THEN v - 0.5e0 - floor(v - 0.5e0) ELSE 1 - (v - 0.5e0 - floor(v - 0.5e0)) END)
+    * (CASE WHEN dx = 1 THEN u - 0.5e0 - floor(u - 0.5e0) ELSE 1 - (u - 0.5e0 - floor(u - 0.5e0)) END) AS w
+  FROM px, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)
+), smooth AS (
+  SELECT c.scene_id, c.y, c.x, CASE WHEN sum(w) > 0 THEN sum(w * b08) / sum(w) END AS b08 FROM corners c
+  JOIN raster r ON r.scene_id = c.scene_id AND r.y = c.sy AND r.x = c.sx GROUP BY ALL
+)
+SELECT px.scene_id, px.y, px.x, round(s.b08, 6) AS b08, CAST(r.scl AS DOUBLE) AS scl FROM px
+LEFT JOIN smooth s ON s.scene_id = px.scene_id AND s.y = px.y AND s.x = px.x
+LEFT JOIN raster r ON r.scene_id = px.scene_id AND r.y = CAST(floor(v) AS BIGINT) AND r.x = CAST(floor(u) AS BIGINT)""",
+    ("raster", "scenes"),
+)
+def band_warp(d: Data):
+    grids = d.sql(TURNED.format(scenes="{scenes}", **AFFINE).replace("BIGINT", "LONG"), "scenes")
+    grids = grids.select(
+        "scene_id",
+        F.array("ta", "tb", "tc", "td", "te", "tf").alias("target"),
+        F.array("sa", "sb", "sc", "sd", "se", "sf").alias("source"),
+        F.col("tw").alias("width"),
+        F.col("th").alias("height"),
+    )
+    found = warp.warp(packed(d, ["b08", "scl"]), grids, ["b08"], ["scl"], BLOCK)
+    return found.withColumn("b08", F.round("b08", 6))
