@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tilescope.functions import identity
-from tilescope.operators import hotspots, ledger, provenance, review, spectral
+from tilescope.operators import containment, hotspots, ledger, provenance, review, spectral
 from tilescope.operators.quality import cloud_ratio
 from tilescope.plans.registry import D1, D3, REGISTRY, Data, query, r6, text_of
 from tilescope.plans.search_queries import EXTENT, UTM_SQL
@@ -601,3 +601,26 @@ def hotspot_decide_store(d: Data):
     return left.unionByName(
         store.read("queue").select(F.lit("queue").alias("source"), "tile_id", "status", F.coalesce("remarks", F.lit("none")).alias("remarks"))
     )
+
+
+@query(
+    "record_fuzzy_match_table",
+    """
+WITH asked AS (
+  SELECT DISTINCT tile_id AS wanted FROM review_queue
+  UNION SELECT 'tile ' || tile_id || ' of the queue' FROM review_queue WHERE id % 100 = 0
+  UNION SELECT CAST(id AS VARCHAR) FROM review_queue WHERE id % 100 = 0
+)
+SELECT wanted, id, tile_id, CASE WHEN CAST(id AS VARCHAR) = wanted THEN 0 WHEN tile_id = wanted THEN 1 ELSE 2 END AS match_grade
+FROM asked JOIN review_queue ON CAST(id AS VARCHAR) = wanted OR contains(tile_id, wanted) OR contains(wanted, tile_id)
+QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY match_grade, created_at DESC, id DESC) <= 2""",
+    ("review_queue",),
+)
+def record_fuzzy_match_table(d: Data):
+    queue = d.view("review_queue")
+    tiles = queue.select(F.col("tile_id").alias("wanted"))
+    some = queue.filter("id % 100 = 0")
+    longer = some.select(F.concat(F.lit("tile "), "tile_id", F.lit(" of the queue")).alias("wanted"))
+    numbers = some.select(F.col("id").cast("string").alias("wanted"))
+    found = containment.records_of_requests(queue, tiles.union(longer).union(numbers), 2)
+    return found.select("wanted", "id", "tile_id", "match_grade")

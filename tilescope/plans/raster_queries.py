@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tilescope.functions import identity, vectors
-from tilescope.operators import blocks, catalog, embedding, ledger, quality, search, tiling, warp
+from tilescope.operators import blocks, catalog, embedding, ledger, overlap, quality, search, tiling, warp
 from tilescope.plans.registry import REGISTRY, Data, query, r6
 from tilescope.session import shared_folder
 from tilescope.sources.raster_source import NpyStrips, RasterWindows
@@ -495,3 +495,30 @@ def band_warp(d: Data):
     )
     found = warp.warp(packed(d, ["b08", "scl"]), grids, ["b08"], ["scl"], BLOCK)
     return found.withColumn("b08", F.round("b08", 6))
+
+
+# Areas of many sizes, one of them the whole world.
+AREAS = """
+SELECT c_custkey AS area_id, CASE WHEN c_custkey = 7 THEN -180e0 ELSE CAST(c_custkey % 89 AS DOUBLE) + 0.25e0 END AS left_x,
+  CASE WHEN c_custkey = 7 THEN -90e0 ELSE CAST(c_custkey % 53 AS DOUBLE) - 0.5e0 END AS bottom_y,
+  CASE WHEN c_custkey = 7 THEN 180e0 ELSE CAST(c_custkey % 89 AS DOUBLE) + 0.25e0 + CAST(c_custkey % 6 AS DOUBLE) / 4e0 END AS right_x,
+  CASE WHEN c_custkey = 7 THEN 90e0 ELSE CAST(c_custkey % 53 AS DOUBLE) - 0.5e0 + CAST(c_custkey % 11 AS DOUBLE) END AS top_y FROM {customer}
+"""
+
+
+@query(
+    "scene_catalogue_join",
+    f"""
+WITH areas AS ({AREAS.format(customer="customer")})
+SELECT area_id, scene_id, c.date, row_number() OVER (PARTITION BY area_id ORDER BY c.date DESC, scene_id) AS rank
+FROM areas a JOIN catalogue c ON c.left_x <= a.right_x AND c.right_x >= a.left_x AND c.bottom_y <= a.top_y AND c.top_y >= a.bottom_y
+WHERE c.date BETWEEN '1995-01-01' AND '1997-12-31' AND cloud_cover < 60
+QUALIFY rank <= 3""",
+    ("catalogue",),
+)
+def scene_catalogue_join(d: Data):
+    box = F.array("left_x", "bottom_y", "right_x", "top_y").alias("bounds")
+    areas = d.sql(AREAS, "customer").select("area_id", box)
+    items = d.view("catalogue").withColumn("bounds", box)
+    found = overlap.scenes_of_areas(items, areas, "1995-01-01", "1997-12-31", 60.0, 3)
+    return found.select("area_id", "scene_id", "date", F.col("rank").cast("long").alias("rank"))
