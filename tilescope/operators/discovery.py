@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -79,17 +79,21 @@ def kmeans(tiles: DataFrame, starts: Model, max_iter: int = 50, vector: str = "e
     """
     centroids = [list(map(float, c)) for c in starts]
     previous: Model | None = None
-    base = tiles.filter(F.col(vector).isNotNull()).select(vector)
-    for _ in range(max_iter):
-        rows = lloyd_round(base, centroids, previous).collect()
-        if sum(r["moved"] for r in rows) == 0:
-            return centroids
-        previous = centroids
-        centroids = list(centroids)
-        for r in rows:
-            centroids[r["label"]] = (r["total"].toArray() / r["n"]).tolist()
-    # The last assignment was made with the centroids before the last update.
-    return previous or centroids
+    # Vectors alone stay with the executors between rounds; a lost part is read again.
+    base = tiles.filter(F.col(vector).isNotNull()).select(vector).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(max_iter):
+            rows = lloyd_round(base, centroids, previous).collect()
+            if sum(r["moved"] for r in rows) == 0:
+                return centroids
+            previous = centroids
+            centroids = list(centroids)
+            for r in rows:
+                centroids[r["label"]] = (r["total"].toArray() / r["n"]).tolist()
+        # The last assignment was made with the centroids before the last update.
+        return previous or centroids
+    finally:
+        base.unpersist()
 
 
 def with_cluster(tiles: DataFrame, model: Model, vector: str = "embedding") -> DataFrame:

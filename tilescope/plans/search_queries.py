@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tilescope.config import SceneExtent
-from tilescope.functions import geodesy, identity, vectors
+from tilescope.functions import geodesy, identity, projection, vectors
 from tilescope.operators import hotspots, search
 from tilescope.plans.registry import D1, D3, REGISTRY, Data, query, r6
 from tilescope.session import shared_folder
@@ -217,6 +217,14 @@ def bbox_center_wgs84(d: Data):
     return spots.select("tile_id", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"))
 
 
+@query("bbox_center_by_definition", REGISTRY["bbox_center_wgs84"].sql)
+def bbox_center_by_definition(d: Data):
+    systems = projection.system_table(d.spark, {"EPSG:32643": "+proj=utm +zone=43 +datum=WGS84"})
+    x, y = geodesy.bbox_center(F.col("bounds"))
+    spots = projection.add_degrees(d.tile_points, systems, x, y)
+    return spots.select("tile_id", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"))
+
+
 @query(
     "grid_geolocate",
     r"""
