@@ -364,3 +364,41 @@ def test_jaccard_pairs_of_copies_over_batch_borders():
     for cuts in ([0, 321], [0, 320, 321], [0, 100, 300, 321]):
         got = [tuple(r.values()) for out in _pairs(85, 100)(batches(cuts)) for r in out.to_pylist()]
         assert {(a, b) for a, b, _ in got} == want and all(e > 0 for *_, e in got)
+
+
+def test_url_rules_of_long_slugs(spark):
+    """Six bad urls share a slug of 25 words, alone and with words that good urls hold too; rules are few and match."""
+    slug = "-".join(f"w{c}" for c in "abcdefghijklmnopqrstuvwxy")
+    often = "-".join(f"o{c}" for c in "abcdefghijklmnopqrstuvwxy")
+    bad = [f"http://a.example.com/{slug}/{often}/{k}" for k in range(6)]
+    good = [f"http://a.example.com/x/{often}/{k}" for k in range(6)] + [f"http://a.example.com/y/{k}" for k in range(30)]
+    labelled = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good], "url string, bad boolean")
+    pages = spark.createDataFrame(
+        [(1, f"http://b.example.com/{slug}"), (2, "http://b.example.com/wc"), (3, f"http://b.example.com/{often}"), (4, "http://a.example.com/y/1")],
+        "page_id long, url string",
+    )
+    assert [(r["page_id"], r["mined"]) for r in judge_urls(pages, labelled).orderBy("page_id").collect()] == [(1, True), (2, True), (3, False), (4, False)]
+
+
+def test_url_rules_equal_all_combinations(spark):
+    """Mined rules against counting every combination of tokens."""
+    import itertools
+
+    from tilescope.llm.url_filter import match_rules, mine_rules
+
+    rng = random.Random(12)
+    sets = [(sorted(rng.sample("abcdefg", rng.randint(1, 5))), rng.random() < 0.5) for _ in range(60)]
+    sets += [(sorted({*t, "x", "y"} if "a" in t and "b" in t else t), bad) for t, bad in sets]
+    sets += [(["a", "b", "x", "y"], True)] * 12
+    df = spark.createDataFrame(sets, "tokens array<string>, bad boolean")
+    rules = []
+    for n in range(1, 5):
+        for combo in itertools.combinations("abcdefgxy", n):
+            seen = [bad for t, bad in sets if set(combo) <= set(t)]
+            if sum(seen) >= 6 and sum(seen) >= 0.7 * len(seen) and not any(set(r) < set(combo) for r in rules):
+                rules.append(combo)
+    assert rules and any(len(r) > 1 for r in rules)
+    asked = [list(c) for n in range(1, 6) for c in itertools.combinations("abcdefgxy", n)]
+    keyed = spark.createDataFrame([("".join(t), t) for t in asked], "key string, tokens array<string>")
+    got = {r["key"] for r in match_rules(keyed, *mine_rules(df, 6, 0.7)).collect()}
+    assert got == {"".join(t) for t in asked if any(set(r) <= set(t) for r in rules)}

@@ -5,6 +5,11 @@ judged by mined rules: FP-growth finds the combinations of url tokens that go wi
 among labelled urls; combinations of enough support and confidence, reduced to the minimal ones,
 block every url that holds all their tokens. Rules are looked up by their rarest token.
 
+Before the mining, what cannot change its result is taken out, so that urls with a long common slug do not
+make a rule of every part of it: tokens of too few bad urls are in no rule, a token that is a rule by itself is
+in no other minimal one, and tokens that stand in exactly the same labelled urls are one item, of which a url
+needs to hold any.
+
 Only DataFrame operations and Spark's own FP-growth. Distinct token sets are matched, not urls, so a
 host with a third of all pages is matched once per combination.
 
@@ -16,7 +21,7 @@ labelled rows nothing is mined.
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilescope.llm.common import lower_ascii, stored
@@ -44,21 +49,32 @@ def url_tokens(host: Column, path: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, support: int, confidence: float) -> DataFrame:
-    """(tokens, bad, seen): minimal token combinations of labelled(tokens, bad boolean).
+def mine_rules(labelled: DataFrame, support: int, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """(tokens, bad, seen): minimal combinations of items of labelled(tokens, bad boolean); and (token, item) where they differ.
 
     support is the least number of bad urls with the combination, confidence the least bad share.
     """
     spark = labelled.sparkSession
-    rows = stored(
-        labelled.filter("tokens is not null and bad is not null and size(tokens) > 0").select(
-            F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
-        )
+    rows = stored(labelled.filter("tokens is not null and bad is not null and size(tokens) > 0").select("tokens", "bad"))
+    spread = rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad").withColumn("token", F.explode("tokens"))
+    mark = F.xxhash64("tokens", "bad")
+    facts = spread.groupBy("token").agg(
+        F.count_if("bad").alias("bad"),
+        F.count("*").alias("seen"),
+        *(F.sum(m.cast("decimal(20,0)")).alias(name) for name, m in (("m1", mark), ("m2", F.xxhash64(mark, F.lit(1))))),
     )
-    n = rows.count()
+    facts = stored(facts.filter(F.col("bad") >= support))
+    alone = F.col("bad") >= F.lit(confidence) * F.col("seen")
+    single = facts.filter(alone).select(F.array("token").alias("tokens"), "bad", "seen")
+    same = Window.partitionBy("m1", "m2", "seen", "bad")
+    items = stored(facts.filter(~alone).select("token", F.min("token").over(same).alias("item")))
     schema = "tokens array<string>, bad long, seen long"
+    baskets = spread.join(items, "token").groupBy("row", "bad").agg(F.collect_set("item").alias("items"))
+    rows = stored(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
+    n = rows.count()
+    classes = items.filter("item <> token")
     if not n:
-        return spark.createDataFrame([], schema)
+        return single.unionByName(spark.createDataFrame([], schema)), classes
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / n), minConfidence=0.0).fit(rows)
     sets = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     with_bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(
@@ -72,13 +88,15 @@ def mine_rules(labelled: DataFrame, support: int, confidence: float) -> DataFram
         F.col("tokens").alias("longer"), F.array_remove("tokens", F.col("out")).alias("tokens")
     )
     lesser = parts.join(rules.select("tokens"), "tokens", "left_semi").select(F.col("longer").alias("tokens")).distinct()
-    return rules.join(lesser, "tokens", "left_anti")
+    return rules.join(lesser, "tokens", "left_anti").select("tokens", "bad", "seen").unionByName(single), classes
 
 
-def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key): keys of token_sets(key, tokens) that hold all tokens of some rule, by the rule's rarest token."""
+def match_rules(token_sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key): keys of token_sets(key, tokens) that hold all items of some rule, by the rule's rarest item."""
     common = rules.select(F.explode("tokens").alias("token")).distinct()
-    spread = token_sets.select("key", "tokens", F.explode("tokens").alias("token"))
+    spread = token_sets.select("key", F.explode("tokens").alias("token")).join(classes, "token", "left")
+    whole = spread.groupBy("key").agg(F.collect_set(F.coalesce("item", "token")).alias("tokens"))
+    spread = whole.select("key", "tokens", F.explode("tokens").alias("token"))
     frequency = spread.groupBy("token").agg(F.count("*").alias("f")).join(common, "token", "left_semi")
     index = rules.select(F.col("tokens").alias("rule"), F.explode("tokens").alias("token")).join(frequency, "token", "left")
     index = index.groupBy("rule").agg(
@@ -105,8 +123,8 @@ def judge_urls(
     rows = rows.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     rows = rows.withColumn("key", F.concat_ws(" ", "tokens"))
     known = labelled.select(url_tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "bad")
-    found = mine_rules(known, support, confidence)
-    blocked = match_rules(rows.select("key", "tokens").distinct(), found)
+    found, classes = mine_rules(known, support, confidence)
+    blocked = match_rules(rows.select("key", "tokens").distinct(), found, classes)
     blocked = blocked.select(F.col("key").alias("blocked_key"), F.lit(True).alias("mined"))
     fits = []
     for rule, action in rules:
