@@ -402,3 +402,43 @@ def test_url_rules_equal_all_combinations(spark):
     keyed = spark.createDataFrame([("".join(t), t) for t in asked], "key string, tokens array<string>")
     got = {r["key"] for r in match_rules(keyed, *mine_rules(df, 6, 0.7)).collect()}
     assert got == {"".join(t) for t in asked if any(set(r) <= set(t) for r in rules)}
+
+
+def test_decontamination_recall_and_slim_joins(spark, monkeypatch):
+    """Edited passages with similarities about the threshold: every pair of 0.8 or more is found, with and without broadcasts."""
+    import re
+
+    import tilescope.llm.decontaminate as module
+
+    rng = random.Random(21)
+    items = [(k, passage(400 + k, rng.randint(12, 60))) for k in range(25)]
+    docs = []
+    for k, text in items:
+        for copy in range(12):
+            words = text.split()
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = "changed"
+            docs.append((len(docs), f"{passage(900 + k, 7)} {' '.join(words)} {passage(950 + copy, 9)}"))
+
+    def words(text):
+        return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text)) if w]
+
+    def shingles(w):
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want, near = {}, 0
+    for i, text in docs:
+        w = words(text)
+        for item, other in items:
+            o = words(other)
+            sets = [(shingles(w[s : s + len(o)]), s) for s in range(len(w) - len(o) + 1)]
+            best = max((sum(map(len, a & shingles(o))) / sum(map(len, a | shingles(o))) for a, _ in sets), default=0)
+            near += 0.8 <= best < 0.9
+            if best >= 0.8:
+                want[i, item] = best
+    assert near > 20
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (module.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in find_contamination(df, bench).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)

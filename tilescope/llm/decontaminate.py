@@ -6,11 +6,13 @@ words and weigh their number of characters. A window of a document has as many w
 1. Windows that share no shingle with any item have similarity 0. A shared shingle puts the item's
    start at one place of the document: that window is taken, once.
 2. Windows and items get 60-bit SimHash fingerprints from their weighted shingles.
-3. The fingerprints are cut into 15 blocks of 4 bits, and windows meet the items of their size in any
-   equal block: within a Hamming distance of 14 at least one block is equal, so no pair is missed.
+3. The fingerprints are cut into 30 blocks of 2 bits, and windows meet the items of their size in any
+   equal block: within a Hamming distance of 29 at least one block is equal. Sets of similarity 0.8 lie
+   at 9 of 60 bits in the mean, with a deviation of 3, so the radius is seven deviations away.
 4. A pair within the radius is verified by the exact weighted Jaccard similarity of its shingle sets.
 
-Only DataFrame operations. The item side is broadcast if it is counted and small, else joined.
+Only DataFrame operations. What comes from the items is broadcast if its bytes are counted and few. Else
+places meet marks in a join of slim rows (key, place, hash), and texts are fetched for what was hit.
 
 Items of fewer than five words hold no shingle and contaminate nothing; a document with fewer words
 than an item is one window with all its words. Null texts hold nothing. A null id is reported as
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from tilescope.llm.common import lower_ascii, stored
 
 WIDTH = 5
-DIGITS = 15  # blocks of four bits in a fingerprint
-RADIUS = DIGITS - 1
+BITS = 60
+BLOCKS = 30  # of two bits each
+RADIUS = BLOCKS - 1
 THRESHOLD = 0.8
-BROADCAST_ROWS = 500_000  # of at most 100 bytes
+BROADCAST_BYTES = 64 << 20
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,9 +56,9 @@ def _shingles(words: str) -> Column:
 
 def _fingerprint(shingles: str) -> Column:
     """60 bits: the sign of the weighted sum of every bit over the shingles' md5."""
-    pairs = f"transform({shingles}, s -> struct(cast(conv(substr(md5(s), 1, {DIGITS}), 16, 10) as bigint) as h, length(s) as w))"
+    pairs = f"transform({shingles}, s -> struct(cast(conv(substr(md5(s), 1, {BITS // 4}), 16, 10) as bigint) as h, length(s) as w))"
     total = "aggregate(p, 0L, (t, x) -> t + x.w * (2L * (shiftright(x.h, b) & 1L) - 1L))"
-    bits = f"transform(array({pairs}), p -> aggregate(sequence(0, {4 * DIGITS - 1}), 0L, (f, b) -> if({total} > 0, f | shiftleft(1L, b), f)))"
+    bits = f"transform(array({pairs}), p -> aggregate(sequence(0, {BITS - 1}), 0L, (f, b) -> if({total} > 0, f | shiftleft(1L, b), f)))"
     return F.expr(f"{bits}[0]")
 
 
@@ -63,8 +66,23 @@ def _weight(shingles: str) -> str:
     return f"aggregate({shingles}, 0L, (t, s) -> t + length(s))"
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
+
+
+def _windows(docs: DataFrame, marks: DataFrame, mark_bytes: int) -> DataFrame:
+    """(doc_id, text_key, n, s, window) of docs(doc_id, text_key, words): where a mark puts an item's start."""
+    cut = F.array_join(F.expr("slice(words, s + 1, n)"), " ").alias("window")
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n")))
+    places = F.posexplode(_hashed("words")).alias("p", "h")
+    if mark_bytes <= BROADCAST_BYTES:
+        hits = docs.select("doc_id", "text_key", "words", F.size("words").alias("size"), places).join(F.broadcast(marks), "h")
+        return hits.withColumn("s", start).select("doc_id", "text_key", "n", "s", cut).distinct()
+    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), "text_key").alias("key")
+    docs = docs.withColumn("key", key)
+    hits = docs.select("key", F.size("words").alias("size"), places).join(marks, "h")
+    hits = hits.withColumn("s", start).select("key", "n", "s").distinct()
+    return hits.join(docs, "key").select("doc_id", "text_key", "n", "s", cut).distinct()
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -75,35 +93,32 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: fl
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text")).alias("iw"))
     items = items.filter(F.size("iw") >= WIDTH).withColumn("n", F.size("iw")).withColumn("item_shingles", _shingles("iw"))
-    items = stored(items.withColumn("item_print", _fingerprint("item_shingles")))
-    n_items = items.count()
+    items = items.withColumn("item_key", F.xxhash64(F.coalesce("item_id", F.lit(0)), F.col("item_id").isNull(), "iw"))
+    items = stored(items.dropDuplicates(["item_key"]).withColumn("item_print", _fingerprint("item_shingles")))
+    size = F.sum(F.aggregate("item_shingles", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x) + 24))
+    n_items, item_bytes = items.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
     marks = stored(items.select("n", F.posexplode(_hashed("iw")).alias("q", "h")).distinct())
-    n_marks = marks.count()
+    mark_bytes = 32 * marks.count()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.filter("text is not null").withColumn("words", plain_words(F.col("text")))
-    hits = docs.select("doc_id", "text", "words", F.posexplode(_hashed("words")).alias("p", "h"))
-    hits = hits.join(_small(marks, n_marks), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("words") - F.col("n")))
-    hits = hits.withColumn("s", start)
-    windows = hits.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), "n", "s", F.array_join(F.expr("slice(words, s + 1, n)"), " ").alias("window")
-    ).distinct()
+    docs = docs.filter("text is not null")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), plain_words(F.col("text")).alias("words"))
+    windows = _windows(docs, marks, mark_bytes)
     windows = windows.withColumn("window_words", F.split("window", " ")).withColumn("shingles", _shingles("window_words"))
     windows = windows.withColumn("print", _fingerprint("shingles")).drop("window", "window_words")
 
     def blocks(print_: str) -> Column:
-        digit = f"cast(shiftright({print_}, 4 * b) & 15L as int)"
-        return F.explode(F.expr(f"transform(sequence(0, {DIGITS - 1}), b -> struct(b, {digit} as d))")).alias("block")
+        pair = f"cast(shiftright({print_}, 2 * b) & 3L as int)"
+        return F.explode(F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b, {pair} as d))")).alias("block")
 
-    index = items.select(F.col("n").alias("i_n"), "item_id", "item_shingles", "item_print", blocks("item_print"))
+    index = items.select(F.col("n").alias("i_n"), "item_id", "item_key", "item_print", blocks("item_print").alias("i_block"))
     probes = windows.select("*", blocks("print"))
-    index = _small(index.withColumnRenamed("block", "i_block"), DIGITS * n_items)
-    met = probes.join(index, (F.col("n") == F.col("i_n")) & (F.col("block") == F.col("i_block")))
+    met = probes.join(_small(index, 64 * BLOCKS * n_items), (F.col("n") == F.col("i_n")) & (F.col("block") == F.col("i_block")))
     met = met.withColumn("x", F.col("print").bitwiseXOR(F.col("item_print")))
     # A pair is met in every equal block; the first stands for it.
-    first = F.expr(f"filter(sequence(0, {DIGITS - 1}), b -> (shiftright(x, 4 * b) & 15L) = 0)[0]")
+    first = F.expr(f"filter(sequence(0, {BLOCKS - 1}), b -> (shiftright(x, 2 * b) & 3L) = 0)[0]")
     met = met.filter((F.bit_count("x") <= RADIUS) & (first == F.col("block.b")))
+    met = met.join(_small(items.select("item_key", "item_shingles"), item_bytes), "item_key")
     both = F.expr(_weight("array_intersect(shingles, item_shingles)"))
     either = F.expr(_weight("array_union(shingles, item_shingles)"))
     met = met.withColumn("similarity", both / either).filter(F.col("similarity") >= threshold)
@@ -132,24 +147,19 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: flo
 
 
 def contamination_sql(docs: str = "documents") -> str:
-    """(doc_id, text, item_id, first_word, n_words, similarity) over a relation; without the blocks, which lose nothing."""
+    """(doc_id, text, item_id, first_word, n_words, similarity) over a relation, without fingerprints: windows with a shared shingle, exactly."""
     lower = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
     def shingles(w: str) -> str:
         return f"list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i : i + 4], ' '))"
 
-    prints = """CAST(list_sum(list_transform(range(0, 60), lambda b: CASE WHEN list_sum(list_transform(sh,
-        lambda s: length(s) * (2 * ((CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) >> b) & 1) - 1))) > 0
-        THEN CAST(1 AS BIGINT) << b ELSE CAST(0 AS BIGINT) END)) AS BIGINT)"""
     weight = "list_sum(list_transform({}, lambda s: length(s)))"
     return f"""
 item0 AS (
   SELECT item_id, {words} AS w FROM benchmark
 ), item AS (
   SELECT *, len(w) AS n, list_distinct({shingles("w")}) AS sh FROM item0 WHERE len(w) >= 5
-), itemp AS (
-  SELECT *, {prints} AS fp FROM item
 ), marks AS (
   SELECT DISTINCT n, sh1 AS sh, q FROM (
     SELECT n, unnest({shingles("w")}) AS sh1, unnest(range(0, len(w) - 4)) AS q FROM item)
@@ -163,13 +173,11 @@ item0 AS (
   FROM placed JOIN marks ON placed.sh = marks.sh
 ), wins AS (
   SELECT *, list_distinct({shingles("ww")}) AS sh FROM win
-), winp AS (
-  SELECT *, {prints} AS fp FROM wins
 ), met AS (
-  SELECT winp.doc_id, winp.text, item_id, winp.s, winp.n,
-    CAST({weight.format("list_intersect(winp.sh, itemp.sh)")} AS DOUBLE)
-      / {weight.format("list_distinct(list_concat(winp.sh, itemp.sh))")} AS similarity
-  FROM winp JOIN itemp ON winp.n = itemp.n AND bit_count(xor(winp.fp, itemp.fp)) <= 14
+  SELECT wins.doc_id, wins.text, item_id, wins.s, wins.n,
+    CAST({weight.format("list_intersect(wins.sh, item.sh)")} AS DOUBLE)
+      / {weight.format("list_distinct(list_concat(wins.sh, item.sh))")} AS similarity
+  FROM wins JOIN item ON wins.n = item.n
 ), leaked AS (
   SELECT * FROM met WHERE similarity >= 0.8
   QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY similarity DESC, s) = 1
