@@ -414,7 +414,7 @@ def test_decontamination_recall_and_slim_joins(spark, monkeypatch):
     items = [(k, passage(400 + k, rng.randint(12, 60))) for k in range(25)]
     docs = []
     for k, text in items:
-        for copy in range(12):
+        for copy in range(24):
             words = text.split()
             for _ in range(rng.randint(0, 2)):
                 words[rng.randrange(len(words))] = "changed"
