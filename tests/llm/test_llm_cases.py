@@ -431,8 +431,11 @@ def test_decontamination_recall_and_slim_joins(spark, monkeypatch):
         w = words(text)
         for item, other in items:
             o = words(other)
-            sets = [(shingles(w[s : s + len(o)]), s) for s in range(len(w) - len(o) + 1)]
-            best = max((sum(map(len, a & shingles(o))) / sum(map(len, a | shingles(o))) for a, _ in sets), default=0)
+            # The windows that a shared shingle lines up with the item.
+            shared = [(p, q) for p in range(len(w) - 4) for q in range(len(o) - 4) if w[p : p + 5] == o[q : q + 5]]
+            starts = {max(0, min(p - q, len(w) - len(o))) for p, q in shared}
+            sets = [shingles(w[start : start + len(o)]) for start in starts]
+            best = max((sum(map(len, a & shingles(o))) / sum(map(len, a | shingles(o))) for a in sets), default=0)
             near += 0.8 <= best < 0.9
             if best >= 0.8:
                 want[i, item] = best
