@@ -8,9 +8,9 @@ stratum its share up to a row or two, so every shard has the mixture of the whol
 
 Only DataFrame operations. Both orders are exact and nothing is ordered in one task: a row's place is its
 place in a cell plus the rows of the cells before it. Cells of the first order are equal ranges of the
-seeded hash, those of the second equal ranges of the fractional rank, both about CELL_ROWS rows of the
-largest stratum. A stratum that holds a third of all rows has as many cells as it needs; joins are by cell.
-Running sums go over cells alone: at most rows / CELL_ROWS of them for a stratum, and for all rows.
+seeded hash, those of the second equal ranges of the fractional rank; a cell has at most about CELL_ROWS rows
+however large its stratum, and joins are by cell. Running sums go over counts of cells, and inside blocks of
+BLOCK_CELLS cells first: a task adds up at most rows / (CELL_ROWS * BLOCK_CELLS) numbers at a time beyond that.
 
 The order depends on seed, id and text, not on how rows are dealt. Rows equal in all of these are
 interchangeable. A null source is a stratum of its own, a null text has no bytes, null ids are ids like
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tilescope.llm.common import stored
 
-CELL_ROWS = 65_536
+CELL_ROWS = 2048
+BLOCK_CELLS = 4096
 SEED = 20240817
 LAW = "rows"
 
@@ -38,6 +39,29 @@ def _seeded(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def _ahead(sizes: DataFrame, group: list[str]) -> DataFrame:
+    """sizes(group, cell, n) as (_group, _cell, n, before): rows of the whole group, and of its cells before this one."""
+
+    def before(*keys: str):
+        return Window.partitionBy(F.lit(0), *keys).rowsBetween(Window.unboundedPreceding, -1)
+
+    sizes = sizes.withColumn("block", F.expr(f"cell div {BLOCK_CELLS}"))
+    blocks = sizes.groupBy(*group, "block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select(
+        *(F.col(c).alias(f"_{c}") for c in group),
+        F.col("block").alias("_block"),
+        F.sum("m").over(Window.partitionBy(F.lit(0), *group)).alias("whole"),
+        F.coalesce(F.sum("m").over(before(*group).orderBy("block")), F.lit(0)).alias("earlier"),
+    )
+    same = F.col("block") == F.col("_block")
+    for c in group:
+        same &= F.col(c) == F.col(f"_{c}")
+    within = F.coalesce(F.sum("n").over(before(*group, "block").orderBy("cell")), F.lit(0))
+    return sizes.withColumn("within", within).join(blocks, same).select(
+        *(f"_{c}" for c in group), F.col("cell").alias("_cell"), F.col("whole").alias("n"), (F.col("earlier") + F.col("within")).alias("before")
+    )
+
+
 def interleaved(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(row, shard, slot) of rows(stratum string, identity string, row struct); slots run from 0 in every shard.
 
@@ -50,25 +74,15 @@ def interleaved(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         _seeded(seed, F.coalesce("identity", F.lit("null"))).alias("digits"),
         "row",
     ).withColumn("cell", F.floor(_unit(F.col("digits")) * cells).cast("int"))
-    sizes = r.groupBy("skey", "cell").agg(F.count("*").alias("n"))
-    stratum = Window.partitionBy("skey")
-    ahead = stratum.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        F.col("skey").alias("_skey"),
-        F.col("cell").alias("_cell"),
-        F.sum("n").over(stratum).alias("n"),
-        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"),
-    )
+    sizes = _ahead(r.groupBy("skey", "cell").agg(F.count("*").alias("n")), ["skey"])
     r = r.join(sizes, (F.col("skey") == F.col("_skey")) & (F.col("cell") == F.col("_cell")))
     within = Window.partitionBy("skey", "cell").orderBy("digits")
     place = (F.col("before") + F.row_number().over(within) - 1).cast("double")
     rank = (place + _unit(_seeded(seed, F.col("skey")))) / F.col("n").cast("double")
     r = stored(r.select("skey", "digits", "row", rank.alias("rank")))
     r = r.withColumn("cell", F.least(F.lit(cells - 1), F.floor(F.col("rank") * cells)).cast("int"))
-    sizes = r.groupBy("cell").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("cell").alias("_cell"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    r = r.join(sizes, F.col("cell") == F.col("_cell"))
+    sizes = _ahead(r.groupBy("cell").agg(F.count("*").alias("n")), [])
+    r = r.join(sizes.drop("n"), F.col("cell") == F.col("_cell"))
     within = Window.partitionBy("cell").orderBy("rank", "digits", "skey")
     r = r.withColumn("place", F.col("before") + F.row_number().over(within) - 1)
     # Shard s has the places p with floor(p * shards / n) = s; its first is ceil(s * n / shards).
