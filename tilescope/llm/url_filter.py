@@ -124,7 +124,8 @@ def judge_urls(
     rows = rows.withColumn("key", F.concat_ws(" ", "tokens"))
     known = labelled.select(url_tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "bad")
     found, classes = mine_rules(known, support, confidence)
-    blocked = match_rules(rows.select("key", "tokens").distinct(), found, classes)
+    # Written, so that its bytes are known: if they are few the pages of a hot host stay where they are.
+    blocked = stored(match_rules(rows.select("key", "tokens").distinct(), found, classes))
     blocked = blocked.select(F.col("key").alias("blocked_key"), F.lit(True).alias("mined"))
     fits = []
     for rule, action in rules:
