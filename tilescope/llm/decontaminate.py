@@ -11,8 +11,8 @@ words and weigh their number of characters. A window of a document has as many w
    at 9 of 60 bits in the mean, with a deviation of 3, so the radius is seven deviations away.
 4. A pair within the radius is verified by the exact weighted Jaccard similarity of its shingle sets.
 
-Only DataFrame operations. What comes from the items is broadcast if its bytes are counted and few. Else
-places meet marks in a join of slim rows (key, place, hash), and texts are fetched for what was hit.
+Only DataFrame operations. Places meet marks in a join of slim rows (key, place, hash), and texts are fetched
+for what was hit. What comes from the items or the hits is broadcast if its bytes are counted and few.
 
 Items of fewer than five words hold no shingle and contaminate nothing; a document with fewer words
 than an item is one window with all its words. Null texts hold nothing. A null id is reported as
@@ -71,18 +71,24 @@ def _small(df: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, marks: DataFrame, mark_bytes: int) -> DataFrame:
-    """(doc_id, text_key, n, s, window) of docs(doc_id, text_key, words): where a mark puts an item's start."""
+    """(doc_id, text_key, n, s, window) of docs(doc_id, text): where a mark puts an item's start.
+
+    Only keys, places and hashes meet the marks; a text is read again, and cut into words once, if it was hit.
+    """
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text").alias("key")
+    docs = docs.select("doc_id", "text", key)
+    words = docs.select("key", plain_words(F.col("text")).alias("words"))
+    places = words.select("key", F.posexplode(_hashed("words")).alias("p", "h"))
+    hits = places.join(_small(marks, mark_bytes), "h").groupBy("key").agg(
+        F.collect_set(F.struct((F.col("p") - F.col("q")).alias("start"), "n")).alias("hits")
+    )
+    hits = stored(hits)
+    hit_bytes = hits.agg(F.coalesce(F.sum(F.lit(64) + 16 * F.size("hits")), F.lit(0))).first()[0]
+    hit = docs.join(_small(hits, hit_bytes), "key").withColumn("words", plain_words(F.col("text")))
+    hit = hit.select("doc_id", F.xxhash64("text").alias("text_key"), "words", F.inline("hits"))
+    start = F.greatest(F.lit(0), F.least(F.col("start"), F.size("words") - F.col("n")))
     cut = F.array_join(F.expr("slice(words, s + 1, n)"), " ").alias("window")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n")))
-    places = F.posexplode(_hashed("words")).alias("p", "h")
-    if mark_bytes <= BROADCAST_BYTES:
-        hits = docs.select("doc_id", "text_key", "words", F.size("words").alias("size"), places).join(F.broadcast(marks), "h")
-        return hits.withColumn("s", start).select("doc_id", "text_key", "n", "s", cut).distinct()
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), "text_key").alias("key")
-    docs = docs.withColumn("key", key)
-    hits = docs.select("key", F.size("words").alias("size"), places).join(marks, "h")
-    hits = hits.withColumn("s", start).select("key", "n", "s").distinct()
-    return hits.join(docs, "key").select("doc_id", "text_key", "n", "s", cut).distinct()
+    return hit.withColumn("s", start).select("doc_id", "text_key", "n", "s", cut).distinct()
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,9 +107,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, threshold: fl
     mark_bytes = 32 * marks.count()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.filter("text is not null")
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), plain_words(F.col("text")).alias("words"))
-    windows = _windows(docs, marks, mark_bytes)
+    windows = _windows(docs.filter("text is not null"), marks, mark_bytes)
     windows = windows.withColumn("window_words", F.split("window", " ")).withColumn("shingles", _shingles("window_words"))
     windows = windows.withColumn("print", _fingerprint("shingles")).drop("window", "window_words")
 
