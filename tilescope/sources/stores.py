@@ -1,4 +1,4 @@
-"""Versioned tables on a shared file system, and file sinks.
+"""Versioned tables on a shared file system, and raster files.
 
 There is no table format here, so an update reads one version and writes the
 next; the version being read is never overwritten. A version counts once its
@@ -76,15 +76,6 @@ class VersionedTable:
         return self.write(change(self.read()))
 
 
-def write_documents(exports: DataFrame, folder: str) -> None:
-    """Documents as JSON text, one per line, under a folder named after each file's first characters.
-
-    Written in parallel; nothing passes through the driver.
-    """
-    named = exports.selectExpr("json AS value", "substring(sha1(file_name), 1, 2) AS shard")
-    named.write.mode("errorifexists").partitionBy("shard").text(folder)
-
-
 def read_rasters(spark: SparkSession, folder: str, decode, schema: str, pattern: str = "*") -> DataFrame:
     """Pixels from raster files by a caller's decoder (pandas iterator -> pandas iterator).
 

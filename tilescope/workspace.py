@@ -18,7 +18,8 @@ from tilescope.functions import geodesy
 from tilescope.operators import change, discovery, embedding, hotspots, learning, ledger, provenance, review, search, tiling
 from tilescope.session import checkpointed, ship_package
 from tilescope.sources.bucket_store import BucketStore, Transaction
-from tilescope.sources.stores import VersionedTable, write_documents
+from tilescope.sources.document_sink import write_documents
+from tilescope.sources.stores import VersionedTable
 
 # Columns of the two ledgers.
 LEDGER_SCHEMA = (
