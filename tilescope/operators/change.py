@@ -199,7 +199,18 @@ def cell_history(
     if need_ends:
         by_cell = by_cell.filter(F.col("slot_0").isNotNull() & F.col(f"slot_{len(dates) - 1}").isNotNull())
     seen = F.filter(F.array(*[F.col(f"slot_{i}") for i in range(len(dates))]), lambda x: x.isNotNull())
-    listed = by_cell.select(*CELL, seen.alias("seen")).withColumn("n_dates", F.size("seen"))
+    return history_of_seen(by_cell.select(*CELL, seen.alias("seen")), rules, max_ratio, model, matched)
+
+
+def history_of_seen(
+    cells: DataFrame,
+    rules: ChangeRules = ChangeRules(),
+    max_ratio: float = config.CLOUD_SHADOW_MAX_RATIO,
+    model: PipelineModel | None = None,
+    matched: DataFrame | None = None,
+) -> DataFrame:
+    """cell_history of cells that come with `seen`, one struct (point_id, tile_id, embedding, cloud, date) per date, in date order."""
+    listed = cells.select(*CELL, "seen").withColumn("n_dates", F.size("seen"))
 
     # Steps 1..n-1 are the intervals; step n is the whole span.
     stepped = listed.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n_dates")))).withColumn(
