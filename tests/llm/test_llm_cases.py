@@ -304,6 +304,28 @@ def test_top_k(spark):
     assert exact_top_k(few, few.filter("vec_id = 0"), 7).count() == 3
 
 
+def test_long_pre_tokens_are_merged_in_arrays(monkeypatch):
+    """Long pre-tokens against the library: chains of one letter, pieces in a row, unknown characters; no order is lost."""
+    import sentencepiece
+
+    from tilescope.llm import token_counts as module
+
+    path = _piece_model()
+    model, table = sentencepiece.SentencePieceProcessor(model_file=path), module.MergeTable(path)
+    rng = random.Random(8)
+    pieces = [model.id_to_piece(k) for k in range(300, model.vocab_size(), 7)]
+    pieces = [p for p in pieces if module.SPACE not in p]
+    alphabets = [pieces, list("abehinorst"), list("aah"), ["a", "\u00e9", "\u6f22", "\u5b57", "\U0001f600", "\n", "==", "the", "ing", "aaaa"]]
+    words = [" " + "".join(rng.choice(alphabets[k % 4]) for _ in range(rng.randint(150, 900))) for k in range(80)]
+    want = [len(model.encode(w[1:])) for w in words]
+    monkeypatch.setattr(module, "LONG", 2)  # all of them, and several sweeps
+    monkeypatch.setattr(module, "SWEEP", 9_000)
+    assert table.counts(words).tolist() == want
+    whole = " " + "a" * 200_000 + "".join(words).replace(" ", "")
+    assert table.counts([whole, " b"]).tolist() == [len(model.encode(whole[1:])), len(model.encode("b"))]
+
+
+
 def test_license_scan(spark, odd, none):
     got = scan_licenses(odd).collect()
     assert len(got) == odd.count()

@@ -8,8 +8,8 @@ first, all sequences at once, until no pair is left. Symbols that survive are th
 character outside the vocabulary counts one token per UTF-8 byte.
 
 A null or empty text has no bytes and no tokens. Repeated rows are counted each. Whole texts are
-counted whatever their length; pre-tokens of more than LONG symbols are merged one pair at a time
-off a heap, in the same order.
+counted whatever their length. Pre-tokens of more than LONG symbols are merged in arrays too, about
+SWEEP symbols together, but all non-overlapping places of the lowest pair in one step.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 LONG = 512
+SWEEP = 2_000_000
 CACHE_WORDS = 300_000
 NONE = np.iinfo(np.int32).max
 _PRE_TOKEN = re.compile(" *[^ ]+| +")
@@ -81,8 +82,9 @@ class MergeTable:
         """Number of tokens of every pre-token."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(words), np.int64)
-        for k in np.flatnonzero(lengths > LONG):
-            out[k] = self._count_long(words[k])
+        long = np.flatnonzero(lengths > LONG)
+        for part in np.split(long, np.flatnonzero(np.diff(np.cumsum(lengths[long]) // SWEEP)) + 1) if len(long) else []:
+            out[part] = self._counts_long([words[k] for k in part])
         ids = np.flatnonzero(lengths <= LONG)
         if not len(ids):
             return out
@@ -121,40 +123,81 @@ class MergeTable:
             symbol, owner, extra = symbol[~done], owner[~done], extra[~done]
         return out
 
-    def _count_long(self, word: str) -> int:
-        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _counts_long(self, words: list[str]) -> np.ndarray:
+        """counts() by a sweep over ranks: one step merges the lowest rank wherever it stands in any sequence.
+
+        The flat arrays keep every symbol's place and link it to its neighbours, and places wait under the rank of
+        their pair, so a step touches only what it merges. Of overlapping places the left one goes first. A merge may
+        make a pair of the same or a lower rank: in that sequence the places to the right of it wait, as such a pair
+        has to go first.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = self.chars[code].copy()
         extra = np.where(code < 0x80, 0, np.where(code < 0x800, 1, np.where(code < 0x10000, 2, 3)))
-        first = self.chars[code]
-        rank, merged = self.look_up(first[:-1], first[1:])
-        symbol: list[int] = first.tolist()
-        after, before = list(range(1, len(symbol))) + [-1], list(range(-1, len(symbol) - 1))
-        heap = [(int(rank[k]), int(k), symbol[k], symbol[k + 1], int(merged[k])) for k in np.flatnonzero(rank != NONE)]
-        heapq.heapify(heap)
-        table: dict[int, tuple[int, int]] = {}
-
-        def push(k: int) -> None:
-            key = symbol[k] * self.size + symbol[after[k]]
-            if key not in table:
-                at = min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)
-                table[key] = (int(self.ranks[at]), int(self.merged[at])) if self.keys[at] == key else (-1, -1)
-            found = table[key]
-            if found[0] >= 0:
-                heapq.heappush(heap, (found[0], k, symbol[k], symbol[after[k]], found[1]))
-
-        while heap:
-            _, k, left, right, new = heapq.heappop(heap)
-            n = after[k]
-            if n < 0 or symbol[k] != left or symbol[n] != right:
+        owner = np.repeat(np.arange(len(words)), lengths)
+        ends, begins = np.cumsum(lengths) - 1, np.cumsum(lengths) - lengths
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        after[ends], before[begins] = -1, -1
+        alive = np.ones(len(symbol), bool)
+        rank = np.full(len(symbol), NONE, np.int32)
+        merged = np.zeros(len(symbol), np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(level: int, places: np.ndarray) -> None:
+            if level not in waiting:
+                waiting[level] = []
+                heapq.heappush(ranks, level)
+            waiting[level].append(places)
+
+        def renew(places: np.ndarray) -> None:
+            """Ranks of the pairs that begin at some places, which then wait under them."""
+            rank[places] = NONE
+            places = places[after[places] >= 0]
+            rank[places], merged[places] = self.look_up(symbol[places], symbol[after[places]])
+            places = places[rank[places] != NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[places])) + 1
+            for part in np.split(places, cuts) if len(places) else []:
+                wait(int(rank[part[0]]), part)
+
+        renew(np.arange(len(symbol)))
+        while ranks:
+            level = heapq.heappop(ranks)
+            found = np.unique(np.concatenate(waiting.pop(level)))
+            found = found[alive[found] & (rank[found] == level)]
+            if not len(found):
                 continue
-            symbol[k], symbol[n] = new, -1
-            after[k] = after[n]
-            after[n] = -1
-            if after[k] >= 0:
-                before[after[k]] = k
-                push(k)
-            if before[k] >= 0:
-                push(before[k])
-        return sum(1 if self.known[s] else 1 + int(extra[k]) for k, s in enumerate(symbol) if s >= 0)
+            # Every other place of a chain of overlapping ones.
+            linked = np.r_[False, after[found[:-1]] == found[1:]]
+            chain = np.maximum.accumulate(np.where(linked, 0, np.arange(len(found))))
+            place = found[(np.arange(len(found)) - chain) % 2 == 0]
+            new, second, left = merged[place], after[place], before[place]
+            right = after[second]
+            # Neighbours at the time of the merge: left ones may be merged already, right ones are not.
+            beside = np.r_[False, (second[:-1] == left[1:])]
+            left_symbol = np.where(beside, np.r_[0, new[:-1]], symbol[left])
+            least = np.where(left >= 0, self.look_up(left_symbol, new)[0], NONE)
+            least = np.minimum(least, np.where(right >= 0, self.look_up(new, symbol[right])[0], NONE))
+            hinders = least <= level
+            if hinders.any():
+                earlier = np.cumsum(hinders) - hinders
+                first = np.r_[True, owner[place[1:]] != owner[place[:-1]]]
+                earlier -= np.maximum.accumulate(np.where(first, earlier, 0))
+                wait(level, found[np.isin(owner[found], owner[place[hinders]])])
+                place = place[earlier == 0]
+                new, second = new[earlier == 0], second[earlier == 0]
+                right = after[second]
+            symbol[place] = new
+            alive[second] = False
+            after[place] = right
+            inner = right >= 0
+            before[right[inner]] = place[inner]
+            left = before[place]
+            renew(np.unique(np.r_[place, left[left >= 0]]))
+        tokens = 1 + np.where(self.known[symbol[alive]], 0, extra[alive])
+        return np.bincount(owner[alive], tokens, minlength=len(words)).astype(np.int64)
 
 
 def _counter(path: Callable[[], str]):
