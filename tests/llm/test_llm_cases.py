@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and planted cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +12,8 @@ from tilescope.llm.decontaminate import drop_contaminated, find_contamination
 from tilescope.llm.html_wrapper import _off, extract_main_text, slots
 from tilescope.llm.jaccard_join import ngram_jaccard_join, trie_links
 from tilescope.llm.language_id import identify_languages, learn_languages
-from tilescope.llm.license_scan import scan_licenses
+from tilescope.llm.license_scan import TEMPLATES, scan_licenses, scan_sql
+from tilescope.llm.license_texts import LICENSE_TEXTS
 from tilescope.llm.mixing import mix_sources
 from tilescope.llm.ngram_lm import CODES, EliasFano, TrieShard, quantised, score_texts
 from tilescope.llm.queries import _piece_model
@@ -341,6 +343,48 @@ def test_license_scan(spark, odd, none):
     assert scan_licenses(none).count() == 0
 
 
+def _contained(templates, words, threshold):
+    """(label, first word) of blocks by trying every place of every template."""
+    found = set()
+    for label, text in templates:
+        template = set(_plain(text))
+        width, need = -(-5 * len(_plain(text)) // 4), int(np.ceil(threshold * len(template) - 1e-9))
+        for k, word in enumerate(words):
+            if word in template and len(template.intersection(words[k : k + width])) >= need:
+                found.add((label, k))
+    return found
+
+
+def _plain(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def test_whole_licences_against_every_block(spark):
+    """Licences inside prose, rewrapped, with words left out or put between; labels, places and SQL."""
+    import duckdb
+
+    rng = random.Random(11)
+    texts = ["", None, "the software is provided as is " * 30]
+    for label, text in LICENSE_TEXTS:
+        words = text.split()
+        few = [w for w in words if rng.random() > 0.04]
+        half = [w for w in words if rng.random() > 0.5]
+        mixed = [x for w in words for x in ([w, "zebra"] if rng.random() < 0.1 else [w])]
+        texts += [f"{passage(1, 40)}\n{text} {passage(2, 9)}", " ".join(few), " ".join(half), "\n * ".join(mixed).upper(), text * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan_licenses(df).collect()}
+    for k, text in enumerate(texts):
+        want = _contained(TEMPLATES, _plain(text or ""), 0.9)
+        assert {(b["label"], b["first_word"]) for b in got[k]["blocks"]} == want
+    for k, (label, _) in enumerate(LICENSE_TEXTS):
+        assert label in got[3 + 5 * k]["labels"].split(",") and label in got[7 + 5 * k]["labels"].split(",")
+        assert label not in got[5 + 5 * k]["labels"].split(","), "half a licence is none"
+    documents = df.toPandas()  # noqa: F841
+    sql = duckdb.sql(scan_sql()).fetchall()
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels"]
+    assert sorted(r[:7] for r in sql) == sorted(tuple(got[k][n] for n in names) for k in got)
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path):
     import corpus_pipeline
 

@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join.
 
-A template is the set of its words; a text block is a run of at most 1.25 times as many words of one
-text. Every block that holds at least `threshold` of a template's words is found:
+A template is the set of its words; a text block is a run of words of one text, at most 1.25 times as
+many as the template's text has with its repeats. Templates are whole licences with their conditions
+and disclaimers as well as notices of a line. Every block that holds at least `threshold` of a template's words is found:
 
 * template words are ordered by how often they occur in all documents, rare ones first;
 * prefix filter: such a block holds one of the first m - ceil(threshold * m) + 1 words;
@@ -17,6 +18,7 @@ texts are scanned; blocks may begin anywhere.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilescope.llm import wordhash
+from tilescope.llm.license_texts import LICENSE_TEXTS
 
 #: Wording of common licence notices, (label, text).
-TEMPLATES = (
+NOTICES = (
     ("all-rights-reserved", "all rights reserved"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -39,6 +42,8 @@ TEMPLATES = (
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0"),
     ("public-domain", "this is free and unencumbered software released into the public domain"),
 )
+#: One-line notices, and whole licences with their conditions and disclaimers.
+TEMPLATES = NOTICES + LICENSE_TEXTS
 #: Phrases that must stand word by word, (label, text).
 PHRASES = (("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"), ("mit", "under the mit license"))
 SCHEMA = (
@@ -85,10 +90,11 @@ class _Templates:
         number = lambda text: np.searchsorted(vocabulary, _hashes(text))
         self.sets = []
         for label, text in templates:
-            words = np.unique(number(text))
+            spelled = number(text)
+            words = np.unique(spelled)
             need = int(np.ceil(threshold * len(words) - 1e-9))
             rare = words[np.argsort(order[words])][: len(words) - need + 1]
-            self.sets.append((label, words, need, np.isin(np.arange(len(vocabulary)), rare), -(-5 * len(words) // 4)))
+            self.sets.append((label, words, need, np.isin(np.arange(len(vocabulary)), rare), -(-5 * len(spelled) // 4)))
         self.phrases = []
         for label, text in phrases:
             words = number(text)
@@ -183,13 +189,16 @@ def scan_licenses(
 
 
 def scan_sql(docs: str = "documents") -> str:
+    def words(text: str) -> str:
+        return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
+
     def rows(pairs) -> str:
-        return ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(pairs))
+        return ", ".join(f"({k}, '{label}', '{words(text)}')" for k, (label, text) in enumerate(pairs))
 
     return rf"""
 WITH templates(t, label, body) AS (VALUES {rows(TEMPLATES)}), phrases(t, label, body) AS (VALUES {rows(PHRASES)}),
 tw AS (
-  SELECT t, label, list_distinct(string_split(body, ' ')) AS words FROM templates
+  SELECT t, label, list_distinct(string_split(body, ' ')) AS words, len(string_split(body, ' ')) AS spelled FROM templates
 ), d AS (
   SELECT doc_id, regexp_extract_all(
     translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -206,12 +215,14 @@ tw AS (
     array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels, list(label) AS bl
   FROM base GROUP BY doc_id
 ), occ AS (
-  SELECT doc_id, t, label, words, pos, word FROM spread, tw WHERE list_contains(words, word)
+  SELECT doc_id, t, label, words, spelled, pos, word FROM spread JOIN (SELECT *, unnest(words) AS word FROM tw) USING (word)
+  -- a document holds no block without enough different words of the template
+  QUALIFY count(DISTINCT word) OVER (PARTITION BY doc_id, t) >= ceil(0.9 * len(words) - 1e-9)
 ), held AS (
   SELECT a.doc_id, a.label, a.t, a.pos, count(DISTINCT b.word) / len(any_value(a.words)) AS containment,
     count(DISTINCT b.word) >= ceil(0.9 * len(any_value(a.words)) - 1e-9) AS ok
   FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND a.t = b.t
-    AND b.pos BETWEEN a.pos AND a.pos + CAST(ceil(5 * len(a.words) / 4) AS INT) - 1
+    AND b.pos BETWEEN a.pos AND a.pos + CAST(ceil(5 * a.spelled / 4) AS INT) - 1
   GROUP BY a.doc_id, a.label, a.t, a.pos
 ), found AS (
   SELECT doc_id, list(label) AS ml, max(containment) AS best FROM held WHERE ok GROUP BY doc_id
