@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilescope.config import ChangeRules
 from tilescope.functions import identity, vectors
 from tilescope.operators import change, matching, quality
-from tilescope.plans.registry import D1, D3, DATES, Data, query, r6
+from tilescope.plans.registry import D1, D3, DATES, REGISTRY, Data, query, r6
+from tilescope.session import shared_folder
+from tilescope.streaming import arrivals
 
 
 RULES = ChangeRules(drift_threshold=1.0, confidence_threshold=0.9, calibration=1.2, top_k=50)
@@ -298,6 +302,21 @@ def earliest_change(d: Data):
     return history.select(cell.alias("cell"), F.coalesce("earliest_change", F.lit("never")).alias("earliest_change"))
 
 
+@query("earliest_change_stream", REGISTRY["earliest_change"].sql)
+def earliest_change_stream(d: Data):
+    """The same from a stream: scenes arrive newest first, so every further one splits or extends what is there."""
+    points = measured_points(d).filter(F.col("date").isin(DATES))
+    folder = f"{shared_folder(d.spark).rstrip('/')}/arrivals/{uuid.uuid4().hex}"
+    store = arrivals.history_store(d.spark, f"{folder}/store", buckets=8)
+    for date in sorted(DATES, reverse=True):
+        points.filter(F.col("date") == date).write.mode("append").parquet(f"{folder}/in")
+        stream = d.spark.readStream.schema(points.schema).parquet(f"{folder}/in")
+        arrivals.keep_history(stream, store, f"{folder}/marks", RULES).awaitTermination()
+    cell = (F.col("tile_row") / 256 * 26 + F.col("tile_col") / 256).cast("long")
+    found = store.read(arrivals.TABLE)
+    return found.select(cell.alias("cell"), F.coalesce("earliest_change", F.lit("never")).alias("earliest_change"))
+
+
 CANDIDATES = (
     INTERVALS
     + """, found AS (

@@ -13,6 +13,7 @@ from tilescope.plans.registry import D1, D3, REGISTRY, Data, query, r6, text_of
 from tilescope.plans.search_queries import EXTENT, UTM_SQL
 from tilescope.session import shared_folder
 from tilescope.sources.bucket_store import BucketStore
+from tilescope.sources.document_sink import HASH_CHARS, write_documents
 
 CUT = "2024-01-15"
 ORDER = ["ts", "event_id"]
@@ -529,6 +530,25 @@ def provenance_export(d: Data):
     )
 
 
+@query("provenance_files", REGISTRY["provenance_export"].sql)
+def provenance_files(d: Data):
+    """The same from the written files: one per document, read back under their names."""
+    exports = provenance.provenance_export(documents(d))
+    folder = f"{shared_folder(d.spark).rstrip('/')}/documents/{uuid.uuid4().hex}"
+    write_documents(exports, folder, shards=1)
+    files = d.spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    field = lambda path: F.get_json_object("value", path)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    number = F.regexp_extract(name, "^provenance_hotspot_([0-9]+)_", 1)
+    return files.select(
+        F.when(number != "", number.cast("long")).otherwise(F.lit(-1)).alias("id"),
+        F.regexp_replace(name, f"_[0-9a-f]{{{HASH_CHARS}}}[.]json$", ".json").alias("file_name"),
+        field("$.analyst_review.decision_display").alias("decision"),
+        field("$.metrics_and_classification.drift_score").cast("double").alias("drift"),
+        field("$.source_scenes.acquisition_dates.temporal_interval_days").cast("long").alias("days_between"),
+    )
+
+
 # The same updates through a stored table in buckets: rows before, then the update as a commit of its own.
 
 
