@@ -40,10 +40,13 @@ def index_change(pixels: DataFrame, tile_keys: Sequence[str], time: str = "t") -
 
 
 def cloud_change(pixels: DataFrame, tile_keys: Sequence[str], time: str = "t", scl: str = "scl") -> DataFrame:
+    return pixels.groupBy(*tile_keys).agg(*cloud_shares(time, scl))
+
+
+def cloud_shares(time: str = "t", scl: str = "scl") -> list[Column]:
+    """Cloud percentages of both dates: a hundred times the share, as the texts round it."""
     murky = F.col(scl).isin(*config.SCL_CLOUDY).cast("double")
-    return pixels.groupBy(*tile_keys).agg(
-        *[F.avg(F.when(F.col(time) == t, murky) * 100).alias(f"cloud_pct_t{t}") for t in (1, 2)]
-    )
+    return [(F.avg(F.when(F.col(time) == t, murky)) * 100).alias(f"cloud_pct_t{t}") for t in (1, 2)]
 
 
 def pixel_difference(first: DataFrame, second: DataFrame, pixel_keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
@@ -122,14 +125,16 @@ def change_text(key: str, change: Column, strong: float = 0.1, slight: float = 0
 
 
 def clarity_text(cloud_t1: Column, cloud_t2: Column, limit: float = 20.0) -> Column:
-    """Sentence on cloud percentages of both dates."""
+    """Sentence on cloud percentages of both dates; null if one of them is not known."""
     verdict = F.when(F.greatest(cloud_t1, cloud_t2) <= limit, F.lit(config.NARRATIVE["clear"])).otherwise(
         F.lit(config.NARRATIVE["unclear"])
     )
-    return F.format_string(
-        "Cloud/shadow contamination: %s%% (T1) → %s%% (T2) — %s",
+    return F.concat(
+        F.lit("Cloud/shadow contamination: "),
         F.format_number(cloud_t1, 1),
+        F.lit("% (T1) → "),
         F.format_number(cloud_t2, 1),
+        F.lit("% (T2) — "),
         verdict,
     )
 
@@ -151,9 +156,7 @@ def spectral_report(pixels: DataFrame, diff: DataFrame, tile_keys: Sequence[str]
     measures = []
     for name, index in indices().items():
         measures += [F.avg(F.when(F.col(time) == t, index)).alias(f"{name}_t{t}") for t in (1, 2)]
-    murky = F.col("scl").isin(*config.SCL_CLOUDY).cast("double") * 100
-    measures += [F.avg(F.when(F.col(time) == t, murky)).alias(f"cloud_pct_t{t}") for t in (1, 2)]
-    per_tile = pixels.groupBy(*keys).agg(*measures)
+    per_tile = pixels.groupBy(*keys).agg(*measures, *cloud_shares(time))
     changed = per_tile.withColumns(
         {f"{n}_change": F.round(F.round(f"{n}_t2", 4) - F.round(f"{n}_t1", 4), 4) for n in indices()}
     )

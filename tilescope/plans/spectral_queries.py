@@ -195,7 +195,8 @@ def change_narrative(d: Data):
     rounded = change.withColumns(
         {f"{n}_change": F.round(f"{n}_t2", 4) - F.round(f"{n}_t1", 4) for n in ("ndvi", "ndbi", "ndwi")}
     )
-    told = spectral.change_narrative(rounded.join(spectral.cloud_change(pixels, ["tile"]), "tile"))
+    cloud = spectral.cloud_change(pixels, ["tile"]).withColumnRenamed("tile", "cloud_tile")
+    told = spectral.change_narrative(rounded.join(cloud, F.col("tile").eqNullSafe(F.col("cloud_tile"))))
     return told.select("tile", "vegetation", "infrastructure", "water", "atmosphere")
 
 
