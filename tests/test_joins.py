@@ -67,3 +67,39 @@ def test_a_huge_area_is_many_tasks(spark):
     assert found.count() == 4000
     salts = b.groupBy(F.pmod(F.xxhash64("right_id"), F.lit(overlap.SALTS))).count().collect()
     assert len(salts) == overlap.SALTS and max(r["count"] for r in salts) < 400
+
+
+def test_scenes_of_areas_meet_by_different_boxes(spark, monkeypatch):
+    """400 areas on three boxes and 300 scenes on two: five boxes meet, and every area still has its whole list."""
+    boxes = {0: [0.0, 0.0, 2.0, 2.0], 1: [5.0, 5.0, 6.0, 9.0], 2: [0.5, 0.5, 5.5, 5.5]}
+    areas = [(k, boxes[k % 3]) for k in range(400)] + [(3, boxes[1]), (900, None), (901, [9.0, 9.0, 1.0, 1.0]), (902, [1e3, 1e3, 1e3, 1e3])]
+    scenes = [(k, f"2020-01-{1 + k * 7 % 28:02d}", float(k % 90), [5.2, 8.0, 7.0, 8.5] if k % 2 else [1.0, 1.0, 1.5, 1.5]) for k in range(300)]
+    met = []
+    pairs_of = overlap.overlap_pairs
+
+    def counted(left, right):
+        found = pairs_of(left, right)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(overlap, "overlap_pairs", counted)
+    a = spark.createDataFrame(areas, "area_id long, bounds array<double>")
+    c = spark.createDataFrame(scenes, "scene_id long, date string, cloud_cover double, bounds array<double>")
+    got = {(r["area_id"], r["rank"], r["scene_id"], r["date"]) for r in overlap.scenes_of_areas(c, a, "2020-01-03", "2020-01-20", 60.0, 5).collect()}
+    hits = {}
+    for i, p in areas:
+        for scene, date, cloud, q in scenes if p and p[0] <= p[2] else []:
+            if "2020-01-03" <= date <= "2020-01-20" and cloud < 60 and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]:
+                hits.setdefault(i, []).append((date, scene))
+    want = set()
+    for i, own in hits.items():
+        first = sorted(own, key=lambda h: ([-ord(x) for x in h[0]], h[1]))[:5]
+        want |= {(i, k + 1, scene, date) for k, (date, scene) in enumerate(first)}
+    assert got == want and met[0] < 7
+
+
+def test_cells_of_boxes_are_not_broadcast(spark):
+    a = spark.range(50).select(F.col("id").alias("left_id"), F.array(*[F.col("id").cast("double") + k for k in (0, 0, 1, 1)]).alias("bounds"))
+    found = overlap.overlap_pairs(a, a.withColumnRenamed("left_id", "right_id"))
+    assert found.count() == 148
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -62,7 +62,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     a = _cells(a.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), on(on_c))
     c = _cells(c.withColumn("salt", F.pmod(F.xxhash64("right_id"), F.lit(SALTS)).cast("int")), on(on_a))
     a = a.select("left_id", "salt", "level", "cx", "cy", F.col("b").alias("a"), F.col("own").alias("own_a"))
-    met = a.join(c, ["salt", "level", "cx", "cy"]).filter(F.col("level") == F.greatest("own_a", "own"))
+    # The optimizer knows the bytes of the boxes, not of their cells, and would broadcast these by the salt and cell.
+    met = a.join(c.hint("merge"), ["salt", "level", "cx", "cy"]).filter(F.col("level") == F.greatest("own_a", "own"))
     met = met.filter((F.col("a")[0] <= F.col("b")[2]) & (F.col("b")[0] <= F.col("a")[2]))
     met = met.filter((F.col("a")[1] <= F.col("b")[3]) & (F.col("b")[1] <= F.col("a")[3]))
     corner_x, corner_y = (F.greatest(F.col("a")[k], F.col("b")[k]) for k in (0, 1))
@@ -73,8 +74,18 @@ def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 def scenes_of_areas(
     catalogue: DataFrame, areas: DataFrame, start: str, end: str, max_cloud: float = 10.0, max_items: int = 10
 ) -> DataFrame:
-    """(area_id, rank, scene columns): for each of areas(area_id, bounds) what scene_catalogue_search gives."""
+    """(area_id, rank, scene columns): for each of areas(area_id, bounds) what scene_catalogue_search gives.
+
+    Only different boxes meet: areas of one box share a list, and of the scenes of one box only the first max_items
+    can be in any list. Each box's list is cut before its areas are looked up.
+    """
     fit = catalogue.filter(F.col("date").between(start, end) & (F.col("cloud_cover") < max_cloud))
-    pairs = overlap_pairs(areas.withColumnRenamed("area_id", "left_id"), fit.withColumnRenamed("scene_id", "right_id"))
-    found = pairs.select(F.col("left_id").alias("area_id"), F.col("right_id").alias("scene_id")).join(fit, "scene_id")
-    return top_per_key(found, ["area_id"], [F.col("date").desc(), F.col("scene_id")], max_items, rank="rank")
+    order = [F.col("date").desc(), F.col("scene_id")]
+    box = F.col("bounds").cast("array<double>")
+    best = top_per_key(fit.withColumn("right_id", box), ["right_id"], order, max_items)
+    members = areas.select("area_id", box.alias("left_id"))
+    sides = members.select("left_id").distinct(), best.select("right_id").distinct()
+    pairs = overlap_pairs(*(df.withColumn("bounds", F.col(df.columns[0])) for df in sides))
+    found = top_per_key(pairs.join(best, "right_id").drop("right_id"), ["left_id"], order, max_items)
+    lists = found.join(members.hint("merge"), "left_id").drop("left_id")
+    return top_per_key(lists, ["area_id"], order, max_items, rank="rank")
