@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tilescope.operators import blocks, embedding, tiling
@@ -116,3 +117,13 @@ def test_more_windows_than_partitions(folder, monkeypatch):
     assert len(parts) <= 7 and sum(len(p.windows) for p in parts) == 90
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 90
     assert RasterWindows({"folder": folder, "decoder": "tilescope.sources.raster_source:NpyStrips", "size": "16"}).schema().endswith("`b` binary")
+
+
+def test_many_small_windows_share_partitions_and_tasks_get_no_file_list(folder):
+    files = [f | {"top": 64 * k, "path": f"{k}_{f['path']}"} for k in range(200) for f in NpyStrips().scenes(folder)]
+    reader = WindowReader(files, NpyStrips(), 16, BANDS)
+    parts = reader.partitions()
+    windows = sum(-(-f["height"] // 16) * -(-f["width"] // 16) for f in files)
+    assert len(parts) <= 256 < windows == sum(len(p.windows) for p in parts)
+    few = WindowReader(files[:2], NpyStrips(), 16, BANDS)
+    assert len(cloudpickle.dumps(reader)) == len(cloudpickle.dumps(few))

@@ -1,4 +1,4 @@
-"""Raster files as a Spark data source: one partition per window, and filters that decide which windows open.
+"""Raster files as a Spark data source: partitions of windows, and filters that decide which windows open.
 
     spark.dataSource.register(RasterWindows)
     spark.read.format("raster_windows").option("folder", ...).option("decoder", "package.module:Decoder").option("size", 256).load()
@@ -9,8 +9,9 @@ row in the scene), height, width and bands; `read(file, y, x, height, width)` re
 window of the file, missing pixels as NaN. It runs where the partition does, so a file is opened there and
 only the window is read.
 
-Filters on scene_id, date, block_row and block_col choose the partitions. More windows than MOST_PARTITIONS
-are dealt to partitions in stretches; each still reads window by window.
+Filters on scene_id, date, block_row and block_col choose the partitions. More windows than FEW_PARTITIONS are
+dealt to partitions in stretches, so that starting tasks does not outweigh reading; a stretch holds about
+PARTITION_PIXELS, unless that would make more than MOST_PARTITIONS. Each still reads window by window.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+FEW_PARTITIONS = 256
+PARTITION_PIXELS = 1 << 22
 MOST_PARTITIONS = 50_000
 _TESTS = {
     EqualTo: lambda a, b: a == b,
@@ -93,6 +96,10 @@ class WindowReader(DataSourceReader):
         self.files, self.decoder, self.size, self.bands = files, decoder, size, bands
         self.tests: list[tuple[str, Any, Any]] = []
 
+    def __getstate__(self) -> dict:
+        """What a task reads with: its partition names its files, so the list of all of them stays behind."""
+        return self.__dict__ | {"files": []}
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if type(f) in _TESTS and f.attribute in (("scene_id",), ("date",), ("block_row",), ("block_col",)):
@@ -113,7 +120,8 @@ class WindowReader(DataSourceReader):
             rows = range(f["top"] // size, -(-(f["top"] + f["height"]) // size))
             for r in (r for r in rows if self._wanted(block_row=r)):
                 found += [(f, r, c) for c in range(-(-f["width"] // size)) if self._wanted(block_col=c)]
-        each = max(1, -(-len(found) // MOST_PARTITIONS))
+        wanted = min(MOST_PARTITIONS, max(FEW_PARTITIONS, -(-len(found) * size * size // PARTITION_PIXELS)))
+        each = max(1, -(-len(found) // wanted))
         return [Windows(found[k : k + each]) for k in range(0, len(found), each)]
 
     def read(self, partition: Windows) -> Iterator[pa.RecordBatch]:
