@@ -117,3 +117,17 @@ def test_rows_without_a_key_are_refused(spark, store):
     assert store.versions() == [0]
     store.merge("t", rows(spark, [], "x"), lambda old, new: new)
     assert len(content(store)) == 200
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """Sixteen small pieces of one bucket, far more than a task should hold by the setting: more files than one, the same rows."""
+    store = BucketStore(spark, str(tmp_path / "big"), {"t": "id"}, buckets=1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        with store.transaction() as t:
+            t.upsert("t", spark.range(0, 60000, 1, 16).withColumn("value", F.sha2(F.col("id").cast("string"), 256)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (path,) = store.state()["tables"]["t"]["files"]["0"]
+    assert len(spark.read.parquet(f"{store.folder}/{path}").inputFiles()) > 3
+    assert store.read("t").distinct().count() == 60000

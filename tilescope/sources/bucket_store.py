@@ -207,7 +207,8 @@ class Transaction:
         store = self.store
         path = f"data/{uuid.uuid4().hex}"
         rows = rows.withColumns({BUCKET: store.bucket_of(F.col(key)), SEQ: F.lit(self.base["version"] + 1).cast("long")})
-        rows.repartition(store.buckets, BUCKET).write.partitionBy(BUCKET).parquet(f"{store.folder}/{path}")
+        # Rebalanced: a bucket larger than a task should hold goes to several, and none waits for others of its hash.
+        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{store.folder}/{path}")
         names = [s.getPath().getName() for s in store._fs.listStatus(store._path(f"{store.folder}/{path}"))]
         return {n.split("=")[1]: f"{path}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
 
