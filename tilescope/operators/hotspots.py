@@ -100,6 +100,7 @@ def mirror_decisions(queue: DataFrame, mirror: DataFrame) -> DataFrame:
     )
 
 
+SMALL = 100_000  # rows of squares or places that every task may hold
 MOST_LEVELS = 12  # squares of reach / 8**12, far below the precision of a position
 
 
@@ -135,9 +136,13 @@ def nearest_hotspot(
             f"__x{level}", square(F.col("lng"), level)
         )
 
+    # The optimizer does not know how many squares a click is given and would broadcast the clicks with all of them.
+    # No level has more squares than there are places, so these are broadcast where they are few, else merged.
+    how = "broadcast" if places.count() <= SMALL else "merge"
+    tasks = 3 * clicks.sparkSession.sparkContext.defaultParallelism
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     front = (
-        clicks.select("click_id", F.col("lat").alias("click_lat"), F.col("lng").alias("click_lng"))
+        clicks.repartition(tasks, "click_id").select("click_id", F.col("lat").alias("click_lat"), F.col("lng").alias("click_lng"))
         .withColumn("__dy", F.explode(near))
         .withColumn("__dx", F.explode(near))
         .withColumn("__y0", square(F.col("click_lat"), 0) + F.col("__dy"))
@@ -149,7 +154,7 @@ def nearest_hotspot(
         parent = [f"__y{level - 1}", f"__x{level - 1}"] if level else here
         occupied = places.select(*dict.fromkeys([*parent, *here])).distinct()
         side = reach / fan**level
-        front = front.join(occupied, parent)
+        front = front.join(occupied.hint(how), parent)
 
         def gap(at: str, cell: str) -> tuple[Column, Column]:
             low, high = F.col(cell) * side - F.col(at), (F.col(cell) + 1) * side - F.col(at)
@@ -168,7 +173,7 @@ def nearest_hotspot(
     keep = [c for c in hotspots.columns]
     distance = F.sqrt(F.pow(F.col("lat") - F.col("click_lat"), 2) + F.pow(F.col("lng") - F.col("click_lng"), 2))
     found = (
-        front.join(places.select(*keep, *leaf), leaf)
+        front.join(places.select(*keep, *leaf).hint(how), leaf)
         .drop(*leaf)
         .withColumn("distance", distance)
         .filter(F.col("distance") <= reach)
