@@ -44,6 +44,20 @@ def test_chips_of_blocks_do_not_move_pixels(packed):
     assert "Exchange" not in plan and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(16, 0), (16, 8)])
+def test_batches_of_chips_are_bounded(packed, monkeypatch, size, overlap):
+    """However many blocks a task is handed at once, it gives chips and pieces back a few at a time."""
+    limit, caught = 20_000, []
+    monkeypatch.setattr(blocks, "BATCH_BYTES", limit, raising=False)
+    real = type(packed).mapInArrow
+    monkeypatch.setattr(type(packed), "mapInArrow", lambda df, f, schema: caught.append(f) or real(df, f, schema))
+    blocks.chips_of_blocks(packed, BANDS, 16, size, overlap)
+    (given,) = packed.select(*blocks.BLOCK_KEYS, "seen", *BANDS).toArrow().combine_chunks().to_batches()
+    back = list(caught[0](iter([given])))
+    assert sum(b.num_rows for b in back) >= given.num_rows == 60
+    assert max(b.nbytes for b in back) < 2 * limit
+
+
 def test_window_reads_few_files_and_bands(packed):
     found = blocks.window_of_blocks(packed, 20, 33, ["g"], 16, 16)
     plan = found._jdf.queryExecution().executedPlan().toString()

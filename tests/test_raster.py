@@ -171,3 +171,16 @@ def test_narrative_rounds_like_the_texts(spark):
     assert told[0] == f"Built-up index increased slightly by {0.0315 * 100:.1f}% — minor surface alteration observed."
     assert told[1] == "Vegetation cover decreased by 25.0% — consistent with clearance or construction activity."
     assert told[2] == "Water index increased slightly by 2.0% — subtle seasonal moisture shift."
+
+
+def test_models_are_given_few_inputs_at_once(spark):
+    """Of one partition of 700 texts, some null, in order and each with its own vector."""
+    texts = spark.range(700, numPartitions=1).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("text"))
+
+    def factory():
+        return lambda inputs: np.array([[len(inputs), -1.0 if t is None else len(t)] for t in inputs])
+
+    for r in embedding.embed_text(texts, factory).collect():
+        length = r["id"] if r["id"] % 9 > 0 else -1
+        given = 700 % 256 if r["id"] >= 512 else 256
+        assert np.allclose(r["embedding"], np.array([given, length]) / np.hypot(given, length))

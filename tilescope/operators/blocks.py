@@ -11,6 +11,7 @@ Copies of a pixel count once; of unequal ones the largest bands stand, one by on
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -25,6 +26,7 @@ from tilescope.operators import tiling
 
 BLOCK_KEYS = ["scene_id", "block_row", "block_col"]
 Z_BITS = 24
+BATCH_BYTES = 4_000_000  # of chips or pieces in one batch that a task gives back, however many blocks it was handed at once
 
 
 def z_value(row: Column, col: Column) -> Column:
@@ -151,7 +153,8 @@ def chips_of_blocks(blocks: DataFrame, bands: Sequence[str], block: int, size: i
         return np.stack([v[seen] for v in values], axis=-1).ravel()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = max(1, BATCH_BYTES // (8 * block * block * len(bands)))
+        for batch in (given.slice(first, step) for given in batches for first in range(0, given.num_rows, step)):
             chips = [chip(seen, list(values.values())) for _, seen, values in _opened(batch, bands, block)]
             ends = np.cumsum([0, *map(len, chips)]).astype("int32")
             packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *chips])))
@@ -168,19 +171,23 @@ def chips_of_blocks(blocks: DataFrame, bands: Sequence[str], block: int, size: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = [batch.column("scene_id").type, *[pa.int64()] * 5, pa.binary()]
             scene, br, bc = (batch.column(c).to_pylist() for c in BLOCK_KEYS)
             out: dict[str, list] = {c: [] for c in ("scene_id", "tile_row", "tile_col", "top", "left", "height", "piece")}
+            held = 0
             for k, seen, values in _opened(batch, bands, block):
                 layers = np.stack([seen.astype("float64"), *values.values()])
-                for y in starts(br[k]):
-                    for x in starts(bc[k]):
-                        top, left = max(0, br[k] * block - y), max(0, bc[k] * block - x)
-                        a, b = y + top - br[k] * block, x + left - bc[k] * block
-                        piece = layers[:, a : a + size - top, b : b + size - left]
-                        if piece.size and piece[0].any():
-                            for c, v in zip(out, (scene[k], y, x, top, left, piece.shape[1], piece.tobytes()), strict=True):
-                                out[c].append(v)
-            kinds = [batch.column("scene_id").type, *[pa.int64()] * 5, pa.binary()]
+                for y, x in itertools.product(starts(br[k]), starts(bc[k])):
+                    top, left = max(0, br[k] * block - y), max(0, bc[k] * block - x)
+                    a, b = y + top - br[k] * block, x + left - bc[k] * block
+                    piece = layers[:, a : a + size - top, b : b + size - left]
+                    if piece.size and piece[0].any():
+                        for c, v in zip(out, (scene[k], y, x, top, left, piece.shape[1], piece.tobytes()), strict=True):
+                            out[c].append(v)
+                        held += piece.nbytes
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+                        out, held = {c: [] for c in out}, 0
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     def join(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +20,23 @@ from tilescope.operators.matching import match_images
 Model = Callable[[list], np.ndarray]
 ModelFactory = Callable[[], Model]
 
+AT_ONCE = 256
+
 
 def _run(values: Column, factory: ModelFactory) -> Column:
-    """Unit-length model output; the norm is clamped away from zero."""
+    """Unit-length model output; the norm is clamped away from zero. A model is given AT_ONCE inputs at most."""
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for batch in batches:
-            out = np.asarray(model(batch.tolist()), dtype="float64")
-            length = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), ZERO_NORM)
-            yield pd.Series(list(out / length), index=batch.index)
+            parts = [pa.array([], pa.list_(pa.float64()))]
+            for first in range(0, len(batch), AT_ONCE):
+                inputs = batch.slice(first, AT_ONCE).to_numpy(zero_copy_only=False).tolist()
+                out = np.asarray(model(inputs), dtype="float64")
+                length = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), ZERO_NORM)
+                parts.append(pa.array(list(out / length), pa.list_(pa.float64())))
+            yield pa.concat_arrays(parts)
 
     return embed(values)
 
