@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tilescope.operators import search
+from tilescope.sources import metric_index
 from tilescope.sources.metric_index import MetricIndex
 
 COLUMNS = "point_id string, tile_id string, date string, sensor string, version long, embedding array<float>"
@@ -87,3 +90,23 @@ def test_copies_and_empty_tables(spark, tmp_path):
         index.search([1.0, 2.0], 3)
     index.upsert(spark.createDataFrame(copies, COLUMNS))
     assert [r["tile_id"] for r in index.search([1.0, 2.0], 3).collect()] == ["t0", "t1", "t10"]
+
+
+def test_rows_are_placed_once_and_a_few_at_a_time(spark, rows, index, monkeypatch):
+    centres = index.centres()
+    bins = index._bins(index.slices())
+    placed = index._placed(rows, centres).join(F.broadcast(bins), ["_cell", "_bin"])
+    # The adaptive plan's text holds one plan as long as it has not run.
+    assert placed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {r["point_id"]: (r["_cell"], r["_bin"]) for r in placed.collect()}
+    assert len(want) == rows.count()
+    seen = []
+    real = metric_index._unit
+    monkeypatch.setattr(metric_index, "_unit", lambda m: seen.append(len(m)) or real(m))
+    caught = []
+    monkeypatch.setattr(metric_index.F, "arrow_udf", lambda kind: lambda f: caught.append(f) or arrow_udf(kind)(f))
+    index._placed(rows, centres)
+    batch = rows.select("point_id", "embedding").filter("embedding is not null").toArrow().combine_chunks()
+    found = np.array(caught[0](batch["embedding"].chunk(0)).to_pylist())
+    assert sum(seen) == len(found) == batch.num_rows > 4000 and max(seen) <= 512
+    assert [want[p][0] for p in batch["point_id"].to_pylist()] == found[:, 0].astype(int).tolist()

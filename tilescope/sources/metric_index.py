@@ -39,6 +39,7 @@ BINS = 256  # steps of distance (0 to 2) at which a cell can be cut
 SLICE_ROWS = 16_384
 MOST_SLICES = 32_768  # beside one per cell; larger tables get larger slices
 ROUNDS = 12
+PLACED_AT_ONCE = 512  # rows whose cosines with all centres a task holds
 MARGIN = 1e-6  # more than rounding can shift a distance
 OWN = ["_cell", "_r", "_bin", "_slice"]
 
@@ -89,18 +90,23 @@ class MetricIndex:
     def _placed(self, rows: DataFrame, centres: np.ndarray) -> DataFrame:
         """Rows with their cell, distance to its centre, and bin; odd vectors are in the cell behind the last."""
 
+        def at(matrix: np.ndarray) -> np.ndarray:
+            odd = ~(np.linalg.norm(matrix, axis=1) > config.ZERO_NORM)
+            cosine = np.where(odd[:, None], -1.0, _unit(matrix) @ centres.T)
+            cell = np.where(odd, len(centres), cosine.argmax(axis=1))
+            return np.stack([cell, np.where(odd, 0.0, np.sqrt(np.maximum(0.0, 2 - 2 * cosine.max(axis=1))))], 1)
+
         @F.arrow_udf("array<double>")
         def place(batch: pa.Array) -> pa.Array:
             if not len(centres):
                 return pa.array([[0.0, 0.0]] * len(batch), pa.list_(pa.float64()))
-            matrix = vectors.batch_matrix(batch, centres.shape[1])
-            odd = ~(np.linalg.norm(matrix, axis=1) > config.ZERO_NORM)
-            cosine = np.where(odd[:, None], -1.0, _unit(matrix) @ centres.T)
-            cell = np.where(odd, len(centres), cosine.argmax(axis=1))
-            r = np.where(odd, 0.0, np.sqrt(np.maximum(0.0, 2 - 2 * cosine.max(axis=1))))
-            offsets = np.arange(0, 2 * len(cell) + 1, 2, dtype="int32")
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.stack([cell, r], 1).ravel()))
+            parts = [batch.slice(first, PLACED_AT_ONCE) for first in range(0, len(batch), PLACED_AT_ONCE)]
+            found = np.concatenate([np.zeros((0, 2)), *(at(vectors.batch_matrix(p, centres.shape[1])) for p in parts)])
+            offsets = np.arange(0, found.size + 1, 2, dtype="int32")
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
+        # Not to be pushed into the filters of joins on the cell, where Spark would place every row once more.
+        place = place.asNondeterministic()
         placed = rows.withColumn("_at", place(F.col(self.vector)))
         placed = placed.withColumns({"_cell": F.col("_at")[0].cast("int"), "_r": F.col("_at")[1]}).drop("_at")
         return placed.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_r") * (BINS / 2))).cast("int"))
