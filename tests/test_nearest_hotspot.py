@@ -31,3 +31,20 @@ def test_clicks_are_not_broadcast(spark, tmp_path, monkeypatch, small):
     want = clicks.crossJoin(spots).groupBy("click_id").agg(F.min(away).alias("d")).filter("d <= 0.25")
     assert got == {(r["click_id"], round(r["d"], 9)) for r in want.collect()}
     assert max(broadcast_rows(found._jdf.queryExecution().executedPlan()), default=0) <= 40
+
+
+def test_the_query_reaches_as_far_as_a_click_on_the_map(spark, duck):
+    """Half a degree, as the map's own search: every click with a tile inside it gets the nearest one."""
+    from tests.conftest import ROOT
+    from tilescope.functions import geodesy
+    from tilescope.plans import all_queries
+    from tilescope.plans.registry import Data
+
+    d = Data(spark, ROOT)
+    spots = geodesy.add_center_wgs84(d.tile_points).select("lat", "lng").distinct().collect()
+    clicks = d.view("clicks").collect()
+    near = {c["click_id"]: min(((s["lat"] - c["lat"]) ** 2 + (s["lng"] - c["lng"]) ** 2) ** 0.5 for s in spots) for c in clicks}
+    query = all_queries()["nearest_hotspot"]
+    got = {r["click_id"]: r["distance"] for r in query.run(spark, ROOT).collect()}
+    assert got == {c: pytest.approx(m, abs=1e-6) for c, m in near.items() if m <= 0.5}
+    assert set(got) == {r[0] for r in duck.execute(query.sql).fetchall()} and max(got.values()) > 0.05

@@ -246,13 +246,13 @@ def grid_geolocate(d: Data):
     + """, spots AS (SELECT tile_id, lat, lng FROM located), near AS (
   SELECT c.click_id, s.tile_id, sqrt((s.lat - c.lat) ** 2 + (s.lng - c.lng) ** 2) AS distance FROM clicks c, spots s
 )
-SELECT click_id, tile_id, round(distance, 6) AS distance FROM near WHERE distance <= 0.05
+SELECT click_id, tile_id, round(distance, 6) AS distance FROM near WHERE distance <= 0.5
 QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY round(distance, 12), tile_id DESC) = 1""",
     ("tile_points", "clicks"),
 )
 def nearest_hotspot(d: Data):
     spots = geodesy.add_center_wgs84(d.tile_points).select("tile_id", "lat", "lng")
-    found = hotspots.nearest_hotspot(d.view("clicks"), spots, reach=0.05, order="tile_id")
+    found = hotspots.nearest_hotspot(d.view("clicks"), spots, reach=0.5, order="tile_id")
     return found.select("click_id", "tile_id", r6("distance"))
 
 
