@@ -66,14 +66,14 @@ def knn_batch(d: Data):
 @query(
     "knn_table",
     """
-WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 scored AS (SELECT q.vec_id, t.tile_id, list_cosine_similarity(CAST(t.embedding AS DOUBLE[]), q.v) AS score FROM tiles t, q)
 SELECT CAST(vec_id AS VARCHAR) AS query, tile_id, round(score, 6) AS score,
   row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, tile_id) AS rank FROM scored QUALIFY rank <= 5""",
     ("tiles",),
 )
 def knn_table(d: Data):
-    asked = d.table("embeddings").filter("vec_id % 100 = 0")
+    asked = d.table("embeddings")
     asked = asked.select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vector"))
     hits = search.knn_table(d.tiles, asked, 5)
     return hits.select("query", "tile_id", r6("score"), F.col("rank").cast("long").alias("rank"))
